@@ -1,0 +1,73 @@
+"""The daily jobs: everything for all sensors, written to shared storage.
+
+Each step reads the tables an earlier step has written, not its plan: a lost executor repeats
+one step's tasks, and an interrupted run goes on with ``backfill``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.functions import day_start
+from fleetlens.functions.times import Moment
+from fleetlens.operators import anomaly, cohort
+from fleetlens.operators.enriched import enriched_daily_series
+from fleetlens.plans.reports import anomaly_report, cohort_report
+from fleetlens.sinks import backfill_targets, read_dataset, write_dataset
+from fleetlens.sources.catalogue import catalogue_frame
+from fleetlens.sources.tables import Fleet
+
+REPORT_DAYS = 30
+ANOMALY_DAYS = 365
+
+
+def _store(df: DataFrame, root: str, name: str, replace_all: bool = True) -> DataFrame:
+    write_dataset(df, root, name, replace_all=replace_all)
+    return read_dataset(df.sparkSession, root, name, df.schema)
+
+
+def daily_refresh(
+    fleet: Fleet, sensors: Sequence[str], root: str, as_of: Moment, *, replace_all: bool = True
+) -> None:
+    """Writes the 30-day report of all sensors: results, timeline, all report datasets, silent sensors."""
+    start, end = day_start(as_of, -REPORT_DAYS).date(), day_start(as_of).date()
+    results = _store(cohort.sensor_results(fleet, start, end, sensors), root, "results", replace_all)
+    write_dataset(cohort.timeline(results), root, "timeline", replace_all=replace_all)
+    machines = _store(cohort.cohort(results), root, "cohort", replace_all)
+    for name, dataset in cohort_report(fleet, machines, start, end, as_of).items():
+        write_dataset(dataset, root, name, replace_all=replace_all)
+    # Last, as its presence says that the run is complete.
+    silent = cohort.silent_sensors(catalogue_frame(fleet.spark, sensors), machines)
+    silent.write.mode("overwrite" if replace_all else "append").parquet(f"{root}/silent_sensors")
+
+
+def backfill(fleet: Fleet, sensors: Sequence[str], root: str, as_of: Moment) -> list[str]:
+    """Runs ``daily_refresh`` for the sensors that are not stored yet; returns their names."""
+    targets = backfill_targets(catalogue_frame(fleet.spark, sensors), root, "results")
+    # Names of the catalogue, which the caller passed in; not data.
+    missing = sorted(row.sensor for row in targets.collect())
+    if missing:
+        daily_refresh(fleet, missing, root, as_of, replace_all=False)
+    return missing
+
+
+def anomaly_refresh(fleet: Fleet, sensors: Sequence[str], root: str, as_of: Moment) -> None:
+    """Writes one year of series with anomalies, and the report of the anomalous days."""
+    start, end = day_start(as_of, -ANOMALY_DAYS).date(), day_start(as_of).date()
+    series = enriched_daily_series(fleet, start, end, sensors)
+    points = _store(anomaly.trend_anomalies(series), root, "points")
+    days = anomaly.anomaly_days(points)
+    results = cohort.on_days(
+        cohort.sensor_results(fleet, start, end, sensors, pair_keys=("wguid", "resulttime")), days
+    )
+    results = _store(results, root, "results")
+    write_dataset(cohort.timeline(results), root, "timeline")
+    ranged = _store(anomaly.ranged_cohort(cohort.cohort(results), days), root, "cohort")
+    earliest = day_start(as_of, -ANOMALY_DAYS - anomaly.LOOKBACK_DAYS).date()
+    for name, dataset in anomaly_report(fleet, ranged, earliest, end, as_of).items():
+        write_dataset(dataset, root, name)
+    silent = days.select(F.col("sensor")).distinct()
+    cohort.silent_sensors(silent, ranged).write.mode("overwrite").parquet(f"{root}/silent_sensors")

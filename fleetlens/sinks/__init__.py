@@ -1,0 +1,3 @@
+from fleetlens.sinks.datasets import backfill_targets, publish_view, read_dataset, write_csv, write_dataset
+
+__all__ = ["backfill_targets", "publish_view", "read_dataset", "write_csv", "write_dataset"]

@@ -14,7 +14,7 @@ from fleetlens.functions.measures import (
     percent_change,
     percentage,
 )
-from fleetlens.functions.rows import latest_per
+from fleetlens.functions.rows import fits_broadcast, latest_per, of_machines
 from fleetlens.functions.times import day_start, in_range, is_workday, moment
 
 __all__ = [
@@ -22,6 +22,7 @@ __all__ = [
     "city_label",
     "day_start",
     "file_key",
+    "fits_broadcast",
     "health_category",
     "host_name",
     "host_part",
@@ -31,6 +32,7 @@ __all__ = [
     "joined_label",
     "latest_per",
     "moment",
+    "of_machines",
     "percent_change",
     "percentage",
     "short_label",

@@ -11,15 +11,15 @@ PAIR_KEYS = ("wguid", "sensorsystemid", "resulttime")
 
 
 def _sides(pairs: Sequence[str]) -> Column:
-    """For a row's sensor: one ``(pair, side)`` entry per wanted pair it belongs to (side 1 or 2)."""
-    name = F.col("sensor")
-    entries = []
-    for pair in pairs:
-        first, second = sorted(pair.split(":"))
-        written = F.lit(f"{first}:{second}").alias("pair")
-        entries.append(F.when(name == first, F.struct(written, F.lit(1).alias("side"))))
-        entries.append(F.when(name == second, F.struct(written, F.lit(2).alias("side"))))
-    return F.array_compact(F.array(*entries))
+    """A constant map: sensor -> its ``(pair, side)`` entries among the wanted pairs (side 1 or 2)."""
+    entries: dict[str, list[Column]] = {}
+    for pair in dict.fromkeys(pairs):
+        names = sorted(pair.split(":"))
+        written = F.lit(":".join(names)).alias("pair")
+        for side, name in enumerate(names, start=1):
+            entries.setdefault(name, []).append(F.struct(written, F.lit(side).alias("side")))
+    cells = [cell for name, sides in entries.items() for cell in (F.lit(name), F.array(*sides))]
+    return F.create_map(*cells)
 
 
 def cosensor_results(results: DataFrame, pairs: Sequence[str], *, keys: Sequence[str] = PAIR_KEYS) -> DataFrame:
@@ -29,6 +29,6 @@ def cosensor_results(results: DataFrame, pairs: Sequence[str], *, keys: Sequence
     side before the shuffle. No group's combinations are listed, however many rows it has.
     """
     present = results.dropna(subset=[*keys, "sensor"])
-    sides = present.select(*keys, F.explode(_sides(pairs)).alias("hit")).select(*keys, "hit.pair", "hit.side")
+    sides = present.select(*keys, F.explode(F.try_element_at(_sides(pairs), "sensor")).alias("hit")).select(*keys, "hit.pair", "hit.side")
     both = sides.groupBy(*keys, "pair").agg(F.bit_or("side").alias("found")).filter(F.col("found") == 3)
     return both.select(*keys, F.col("pair").alias("sensor"))

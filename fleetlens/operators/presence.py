@@ -12,7 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from fleetlens.functions import day_start, in_range, joined_label, latest_per, moment, percentage, short_label
+from fleetlens.functions import (
+    day_start,
+    in_range,
+    joined_label,
+    latest_per,
+    moment,
+    of_machines,
+    percentage,
+    short_label,
+)
 from fleetlens.functions.times import Moment
 from fleetlens.sources.tables import Fleet
 
@@ -79,6 +88,7 @@ def presence_pct(
         raise ValueError(f"mode must be 'rows' or 'machines', not {mode!r}")
     text = [k for k in keys if isinstance(facts.schema[k].dataType, StringType)]
     facts = facts.na.fill(" ", subset=text) if text else facts
+    facts = of_machines(facts, cohort)
     if "sensor" in facts.columns:
         counts = _machine_counts(facts, ["sensor", *within], keys, mode)
     elif has_own_range(cohort) and time is not None:
@@ -113,6 +123,7 @@ def _latest_in_range(
     facts: DataFrame, cohort: DataFrame, key: str, time: str, range_time: str, carry: Sequence[str]
 ) -> DataFrame:
     """Newest row per machine and key. With per-sensor ranges: per sensor, among the rows in its range."""
+    facts = of_machines(facts, cohort)
     if not has_own_range(cohort):
         return latest_per(facts, ["wguid", key], time, carry)
     days = facts.select("*", *_day_columns(range_time))
@@ -198,6 +209,7 @@ def app_fault_presence(
     30-day list keeps as many entries as the sensor's 7-day list, the highest percentages first.
     """
     facts = in_range(fleet["app_faults"], "vwtime", day_start(as_of, -30), day_start(as_of, 1))
+    facts = of_machines(facts, cohort)
     # NULL in name or version makes a NULL label, which is then counted as one blank.
     label = F.concat(F.col("appname"), F.lit(" "), F.col("appver")).alias("app")
     latest = latest_per(facts.select("wguid", "appname", "vwtime", label), ["wguid", "appname"], "vwtime", ["app"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions import city_label, host_part
+from fleetlens.functions import city_label, host_part, of_machines
 from fleetlens.sources.tables import Fleet
 
 
@@ -22,8 +22,8 @@ def _weighted(machines: DataFrame, cohort: DataFrame, label: str) -> DataFrame:
     return joined.groupBy("sensor", label).agg(F.sum("n").alias("count"))
 
 
-def _hosts(fleet: Fleet, *columns: str) -> DataFrame:
-    config = fleet["system_config"].select("wguid", host_part("systemid").alias("hostname"), *columns)
+def _hosts(fleet: Fleet, cohort: DataFrame, *columns: str) -> DataFrame:
+    config = of_machines(fleet["system_config"], cohort).select("wguid", host_part("systemid").alias("hostname"), *columns)
     return config.groupBy("wguid", "hostname", *columns).agg(F.count(F.lit(1)).alias("n_hosts"))
 
 
@@ -45,12 +45,12 @@ def _product(hosts: DataFrame, assets: DataFrame) -> DataFrame:
 def manufacture_year_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     """Asset rows per purchase year."""
     assets = _assets(fleet, F.year("invoicedt").alias("year"))
-    return _weighted(_product(_hosts(fleet), assets), cohort, "year")
+    return _weighted(_product(_hosts(fleet, cohort), assets), cohort, "year")
 
 
 def model_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     """Asset rows per machine model."""
-    return _weighted(_product(_hosts(fleet, "model"), _assets(fleet)), cohort, "model")
+    return _weighted(_product(_hosts(fleet, cohort, "model"), _assets(fleet)), cohort, "model")
 
 
 def location_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
@@ -61,16 +61,15 @@ def location_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     located = assets.agg(F.count(F.lit(1)).alias("n_rows")).join(places, "loc_id")
     rows = F.sum(F.col("n_rows") * F.col("n_places")).alias("n_assets")
     per_host = located.groupBy("hostname", "location").agg(rows)
-    return _weighted(_product(_hosts(fleet), per_host), cohort, "location")
+    return _weighted(_product(_hosts(fleet, cohort), per_host), cohort, "location")
 
 
 def asset_info(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     """The asset rows of the cohort's machines, with model and location, per sensor."""
     machines = cohort.select("sensor", "wguid")
-    config = fleet["system_config"].select(
+    config = of_machines(fleet["system_config"], machines).select(
         "wguid", "manufacturer", "model", host_part("systemid").alias("hostname")
     )
-    config = config.join(machines.select("wguid").distinct(), "wguid", "left_semi")
     assets = fleet["assets"].select("hostname", "invoicedt", "assetlocation")
     places = fleet["locations"].select(F.col("loc_id").alias("assetlocation"), "loc_remark", "country")
     rows = config.join(assets, "hostname").join(places, "assetlocation", "left")
@@ -91,7 +90,7 @@ def job_title_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     """Rows per job title of users whose machine is in the directory."""
     listed = fleet["directory_computers"].groupBy(F.col("name").alias("systemid"))
     listed = listed.agg(F.count(F.lit(1)).alias("n_listed"))
-    users = fleet["users"].groupBy("wguid", "systemid", "jobtitle").agg(F.count(F.lit(1)).alias("n_users"))
+    users = of_machines(fleet["users"], cohort).groupBy("wguid", "systemid", "jobtitle").agg(F.count(F.lit(1)).alias("n_users"))
     joined = users.join(listed, "systemid").withColumn("n", F.col("n_users") * F.col("n_listed"))
     return _weighted(joined, cohort, "jobtitle")
 

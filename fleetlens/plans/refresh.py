@@ -15,7 +15,7 @@ from fleetlens.functions import day_start
 from fleetlens.functions.times import Moment
 from fleetlens.operators import anomaly, cohort
 from fleetlens.operators.enriched import enriched_daily_series
-from fleetlens.plans.reports import anomaly_report, cohort_report
+from fleetlens.plans.reports import cohort_report
 from fleetlens.sinks import backfill_targets, read_dataset, write_dataset
 from fleetlens.sources.catalogue import catalogue_frame
 from fleetlens.sources.tables import Fleet
@@ -67,7 +67,7 @@ def anomaly_refresh(fleet: Fleet, sensors: Sequence[str], root: str, as_of: Mome
     write_dataset(cohort.timeline(results), root, "timeline")
     ranged = _store(anomaly.ranged_cohort(cohort.cohort(results), days), root, "cohort")
     earliest = day_start(as_of, -ANOMALY_DAYS - anomaly.LOOKBACK_DAYS).date()
-    for name, dataset in anomaly_report(fleet, ranged, earliest, end, as_of).items():
+    for name, dataset in cohort_report(fleet, ranged, earliest, end, as_of).items():
         write_dataset(dataset, root, name)
     silent = days.select(F.col("sensor")).distinct()
     cohort.silent_sensors(silent, ranged).write.mode("overwrite").parquet(f"{root}/silent_sensors")

@@ -1,13 +1,33 @@
-"""Reports: all datasets of a cohort."""
+"""Reports: the datasets of a cohort, for all its sensors at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 
 from fleetlens.functions.times import Moment
 from fleetlens.operators import health, presence, profile
 from fleetlens.sources.tables import Fleet
 
+# (fleet, cohort, start, end, as_of) -> dataset. Fault and health datasets hold both windows, in ``days``.
+DATASETS: dict[str, Callable[[Fleet, DataFrame, Moment | None, Moment | None, Moment], DataFrame]] = {
+    "patches": lambda f, c, start, end, _: presence.patch_presence(f, c, start, end),
+    "controllers": lambda f, c, start, end, _: presence.controller_presence(f, c, start, end),
+    "software": lambda f, c, start, end, _: presence.software_presence(f, c, start, end),
+    "software_changes": lambda f, c, start, end, _: presence.software_change_presence(f, c, start, end),
+    "bios": lambda f, c, *_: presence.bios_presence(f, c),
+    "app_faults": lambda f, c, start, end, as_of: presence.app_fault_presence(f, c, as_of),
+    "app_usage": lambda f, c, start, end, _: presence.app_usage_presence(f, c, start, end),
+    "manufacture_years": lambda f, c, *_: profile.manufacture_year_counts(f, c),
+    "models": lambda f, c, *_: profile.model_counts(f, c),
+    "locations": lambda f, c, *_: profile.location_counts(f, c),
+    "assets": lambda f, c, *_: profile.asset_info(f, c),
+    "job_titles": lambda f, c, *_: profile.top_job_titles(f, c),
+    "health": lambda f, c, start, end, as_of: health.health_summary(f, c, as_of),
+    "health_members": lambda f, c, start, end, as_of: health.health_members(f, c, as_of),
+}
+
 
 def cohort_report(
     fleet: Fleet,
@@ -15,29 +35,16 @@ def cohort_report(
     start: Moment | None,
     end: Moment | None,
     as_of: Moment,
+    datasets: Sequence[str] = tuple(DATASETS),
 ) -> dict[str, DataFrame]:
-    """The datasets of a report, by name, for all sensors of the cohort. Lazy: each runs when used.
+    """The wanted datasets by name. Lazy: each runs when it is used.
 
-    The cohort is read by every dataset; pass a stored one (as ``daily_refresh`` does).
-    Fault and health datasets hold both windows, in the column ``days``.
+    Every dataset reads the cohort, so pass a stored one, as ``daily_refresh`` does. With a cohort
+    ``(sensor, wguid, date_from, date_to)`` every sensor has its own range, and ``start`` and
+    ``end`` should enclose all ranges: they reach the scans, which the ranges, known only when
+    the job runs, cannot.
     """
-    assets = profile.asset_info(fleet, cohort)
-    return {
-        "patches": presence.patch_presence(fleet, cohort, start, end),
-        "controllers": presence.controller_presence(fleet, cohort, start, end),
-        "software": presence.software_presence(fleet, cohort, start, end),
-        "software_changes": presence.software_change_presence(fleet, cohort, start, end),
-        "bios": presence.bios_presence(fleet, cohort),
-        "app_faults": presence.app_fault_presence(fleet, cohort, as_of),
-        "app_usage": presence.app_usage_presence(fleet, cohort, start, end),
-        "manufacture_years": profile.manufacture_year_counts(fleet, cohort),
-        "models": profile.model_counts(fleet, cohort),
-        "locations": profile.location_counts(fleet, cohort),
-        "assets": assets,
-        "job_titles": profile.top_job_titles(fleet, cohort),
-        "health": health.health_summary(fleet, cohort, as_of),
-        "health_members": health.health_members(fleet, cohort, as_of),
-    }
+    return {name: DATASETS[name](fleet, cohort, start, end, as_of) for name in datasets}
 
 
 def drilldown(
@@ -49,22 +56,8 @@ def drilldown(
     *,
     model: str | None = None,
     year: int | None = None,
+    datasets: Sequence[str] = tuple(DATASETS),
 ) -> dict[str, DataFrame]:
     """The report of only those machines that have the model or the purchase year."""
     part = profile.machines_with(profile.asset_info(fleet, cohort), model=model, year=year)
-    return cohort_report(fleet, part, start, end, as_of)
-
-
-def anomaly_report(
-    fleet: Fleet,
-    ranged: DataFrame,
-    earliest: Moment | None,
-    latest: Moment | None,
-    as_of: Moment,
-) -> dict[str, DataFrame]:
-    """The report of a cohort ``(sensor, wguid, date_from, date_to)``: every sensor in its own range.
-
-    ``earliest`` and ``latest`` enclose all ranges. They reach the scans, which the ranges,
-    known only when the job runs, cannot.
-    """
-    return cohort_report(fleet, ranged, earliest, latest, as_of)
+    return cohort_report(fleet, part, start, end, as_of, datasets)

@@ -1,8 +1,11 @@
-"""Where the fleet tables are: a catalogue database, a folder of Parquet files, or given frames."""
+"""Where the fleet tables are: a catalogue database, a folder of Parquet files, or given frames.
+
+A frame may be given as a function; it is called when the table is first used.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +25,7 @@ class Fleet:
         *,
         database: str | None = None,
         root: str | None = None,
-        frames: Mapping[str, DataFrame] | None = None,
+        frames: Mapping[str, DataFrame | Callable[[], DataFrame]] | None = None,
     ):
         self.spark = spark
         self._database = database
@@ -30,8 +33,11 @@ class Fleet:
         self._frames = dict(frames or {})
 
     def __getitem__(self, table: str) -> DataFrame:
-        if table in self._frames:
-            return self._frames[table]
+        frame = self._frames.get(table)
+        if frame is not None:
+            if not isinstance(frame, DataFrame):
+                frame = self._frames[table] = frame()
+            return frame
         if table not in TABLES:
             raise KeyError(f"unknown table {table!r}; known: {', '.join(TABLES)}")
         if self._database:

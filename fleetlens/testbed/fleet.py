@@ -6,6 +6,8 @@ Every fleet table is derived from whole test tables; ``oracle.py`` writes the sa
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,151 +16,153 @@ from fleetlens.sources.tables import Fleet
 DOMAIN = ".FLEET.EXAMPLE"
 USER_PREFIX = "CORP\\"
 
+# Columns and types of the test tables.
+_DDL = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    ),
+}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_DDL[name]).parquet(f"{sf_dir}/{name}.parquet")
+
 
 def standin_fleet(spark: SparkSession, sf_dir: str) -> Fleet:
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    events, orders, customer = table("events"), table("orders"), table("customer")
-    nation, region, lineitem, part = table("nation"), table("region"), table("lineitem"), table("part")
-
-    initial = F.upper(F.substring("event_type", 1, 1))
-    system_id = F.concat(initial, F.lit("-"), F.col("user_id").cast("string"))
-    k = F.get_json_object("props", "$.k")
-    results = events.select(
-        F.col("user_id").alias("wguid"),
-        system_id.alias("systemid"),
-        k.alias("sensorid"),
-        F.col("event_type").alias("sensorname"),
-        F.floor("value").cast("int").alias("severity"),
-        F.col("ts").alias("resulttime"),
-        F.col("props").alias("instancevalue"),
-    )
-    derived = orders.select(
-        F.col("o_custkey").alias("wguid"),
-        F.concat("o_orderstatus", F.lit("-"), F.col("o_custkey").cast("string")).alias("sensorsystemid"),
-        F.lit(None).cast("string").alias("sensorid"),
-        F.col("o_orderpriority").alias("sensorname"),
-        F.floor(F.col("o_totalprice") / 10000).cast("int").alias("severity"),
-        F.col("o_orderdate").alias("resulttime"),
-        F.col("o_orderstatus").alias("instancevalue"),
-    )
-    lines = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    installs = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    machine = F.col("o_custkey").alias("wguid")
-    part_id = F.col("l_partkey").cast("string")
-    owned = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    host = F.concat(F.lit("HOST-0"), F.substring("c_name", 10, 9))
+    """Each fleet table is set up when a query first asks for it."""
 
-    return Fleet(
-        spark,
-        frames={
-            "sensor_results_daily": results.select(
-                "wguid", "sensorname", F.col("systemid").alias("sensorsystemid"), "resulttime"
-            ),
-            "sensor_results_raw": results,
-            "derived_sensors": derived,
-            "system_config": customer.select(
-                F.col("c_custkey").alias("wguid"),
-                F.concat(host, F.lit(DOMAIN)).alias("systemid"),
-                F.round(F.col("c_acctbal") * 100).cast("long").alias("totalphysicalmemory"),
-                F.concat(F.lit("Maker-"), F.col("c_nationkey").cast("string")).alias("manufacturer"),
-                F.col("c_mktsegment").alias("model"),
-            ),
-            "sensor_information": nation.select(
-                F.col("n_nationkey").cast("string").alias("ruleid"),
-                F.col("n_regionkey").cast("string").alias("sensorcategory"),
-                F.col("n_name").alias("description"),
-            ),
-            "user_info": customer.select(
-                F.col("c_custkey").alias("wguid"),
-                F.concat(host, F.lit(DOMAIN)).alias("systemid"),
-                F.concat(F.lit(USER_PREFIX), F.col("c_name")).alias("username"),
-            ),
-            "patches": installs.select(
-                machine,
-                part_id.alias("patch_id"),
-                F.col("p_name").alias("patchname"),
-                F.col("l_shipdate").alias("installdate"),
-            ),
-            "controllers": installs.select(
-                machine,
-                F.col("p_type").alias("caption"),
-                F.col("p_brand").alias("manufacturer"),
-                F.col("l_linestatus").alias("devicestatus"),
-                F.col("l_shipdate").alias("datemodified"),
-            ),
-            "software": installs.select(
-                machine,
-                F.col("p_type").alias("packagename"),
-                part_id.alias("package_id"),
-                F.col("p_brand").alias("version"),
-                F.col("l_shipdate").alias("installdate"),
-            ),
-            "software_changes": installs.select(
-                machine,
-                F.col("p_type").alias("software"),
-                F.col("p_brand").alias("newversion"),
-                F.col("l_shipdate").alias("changetime"),
-            ),
-            "bios": owned.select(
-                machine,
-                F.col("o_orderpriority").alias("name"),
-                F.to_date(F.date_trunc("year", "o_orderdate")).alias("date"),
-            ),
-            "app_faults": events.select(
-                F.col("user_id").alias("wguid"),
-                F.col("ts").alias("vwtime"),
-                F.col("event_type").alias("appname"),
-                F.substring(k, 1, 1).alias("appver"),
-            ),
-            "app_usage": installs.select(
-                machine,
-                F.col("p_name").alias("applicationname"),
-                F.col("o_orderdate").alias("starttime"),
-                F.col("l_shipdate").alias("endtime"),
-            ),
-            "users": customer.select(
-                F.col("c_custkey").alias("wguid"),
-                F.col("c_name").alias("systemid"),
-                F.concat(F.lit("Title "), F.col("c_nationkey").cast("string")).alias("jobtitle"),
-            ),
-            "directory_computers": owned.select(
-                F.col("c_name").alias("name"), F.col("o_orderdate").alias("createddate")
-            ),
-            "assets": owned.select(
-                host.alias("hostname"),
-                F.col("o_orderdate").alias("invoicedt"),
-                F.col("c_nationkey").alias("assetlocation"),
-            ),
-            "locations": nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-                F.col("n_nationkey").alias("loc_id"),
-                F.concat(F.lit("SITE-"), F.col("n_name"), F.lit("-A")).alias("loc_remark"),
-                F.col("r_name").alias("country"),
-            ),
-            "health_daily": events.select(
-                F.col("user_id").alias("wguid"),
-                F.col("ts").alias("vwtime"),
-                (F.col("value") * 1.8).alias("wscore"),
-                F.when(F.col("event_type") == "view", 0).otherwise(1).alias("activestatus"),
-            ),
-            "devices": installs.select(
-                machine,
-                F.col("p_brand").alias("caption"),
-                F.col("p_type").alias("classguid"),
-                F.col("l_shipdate").alias("adddate"),
-            ),
-            "changes_daily": installs.select(
-                machine,
-                F.col("p_size").cast("string").alias("changedesc"),
-                F.col("p_type").alias("changeclass"),
-                F.col("l_shipdate").alias("changetime"),
-            ),
-            "sensor_definitions": region.join(nation, F.col("n_regionkey") == F.col("r_regionkey")).select(
-                F.col("n_name").alias("sensorname"), F.col("r_name").alias("description")
-            ),
-        },
-    )
+    @cache
+    def table(name: str) -> DataFrame:
+        return read_table(spark, sf_dir, name)
+
+    @cache
+    def results() -> DataFrame:
+        initial = F.upper(F.substring("event_type", 1, 1))
+        return table("events").select(
+            F.col("user_id").alias("wguid"),
+            F.concat(initial, F.lit("-"), F.col("user_id").cast("string")).alias("systemid"),
+            F.get_json_object("props", "$.k").alias("sensorid"),
+            F.col("event_type").alias("sensorname"),
+            F.floor("value").cast("int").alias("severity"),
+            F.col("ts").alias("resulttime"),
+            F.col("props").alias("instancevalue"),
+        )
+
+    @cache
+    def installs() -> DataFrame:
+        """Order lines with their machine and item; each fleet table names the columns it uses."""
+        lines = table("lineitem").join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+
+    def items(**columns: str) -> DataFrame:
+        named = [F.expr(source).alias(name) for name, source in columns.items()]
+        return installs().select(F.col("o_custkey").alias("wguid"), *named)
+
+    @cache
+    def owned() -> DataFrame:
+        return table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+
+    def places() -> DataFrame:
+        return table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+    host = "concat('HOST-0', substring(c_name, 10, 9))"
+    frames = {
+        "sensor_results_raw": results,
+        "sensor_results_daily": lambda: results().select(
+            "wguid", "sensorname", F.col("systemid").alias("sensorsystemid"), "resulttime"
+        ),
+        "derived_sensors": lambda: table("orders").selectExpr(
+            "o_custkey AS wguid",
+            "concat(o_orderstatus, '-', CAST(o_custkey AS STRING)) AS sensorsystemid",
+            "CAST(NULL AS STRING) AS sensorid",
+            "o_orderpriority AS sensorname",
+            "CAST(floor(o_totalprice / 10000) AS INT) AS severity",
+            "o_orderdate AS resulttime",
+            "o_orderstatus AS instancevalue",
+        ),
+        "system_config": lambda: table("customer").selectExpr(
+            "c_custkey AS wguid",
+            f"concat({host}, '{DOMAIN}') AS systemid",
+            "CAST(round(c_acctbal * 100) AS BIGINT) AS totalphysicalmemory",
+            "concat('Maker-', CAST(c_nationkey AS STRING)) AS manufacturer",
+            "c_mktsegment AS model",
+        ),
+        "sensor_information": lambda: table("nation").selectExpr(
+            "CAST(n_nationkey AS STRING) AS ruleid",
+            "CAST(n_regionkey AS STRING) AS sensorcategory",
+            "n_name AS description",
+        ),
+        "user_info": lambda: table("customer").select(
+            F.col("c_custkey").alias("wguid"),
+            F.expr(f"concat({host}, '{DOMAIN}') AS systemid"),
+            F.concat(F.lit(USER_PREFIX), F.col("c_name")).alias("username"),
+        ),
+        "patches": lambda: items(
+            patch_id="CAST(l_partkey AS STRING)", patchname="p_name", installdate="l_shipdate"
+        ),
+        "controllers": lambda: items(
+            caption="p_type", manufacturer="p_brand", devicestatus="l_linestatus", datemodified="l_shipdate"
+        ),
+        "software": lambda: items(
+            packagename="p_type",
+            package_id="CAST(l_partkey AS STRING)",
+            version="p_brand",
+            installdate="l_shipdate",
+        ),
+        "software_changes": lambda: items(software="p_type", newversion="p_brand", changetime="l_shipdate"),
+        "bios": lambda: owned().selectExpr(
+            "o_custkey AS wguid",
+            "o_orderpriority AS name",
+            "CAST(date_trunc('year', o_orderdate) AS DATE) AS date",
+        ),
+        "app_faults": lambda: table("events").selectExpr(
+            "user_id AS wguid",
+            "ts AS vwtime",
+            "event_type AS appname",
+            "substring(get_json_object(props, '$.k'), 1, 1) AS appver",
+        ),
+        "app_usage": lambda: items(
+            applicationname="p_name", starttime="o_orderdate", endtime="l_shipdate"
+        ),
+        "users": lambda: table("customer").selectExpr(
+            "c_custkey AS wguid",
+            "c_name AS systemid",
+            "concat('Title ', CAST(c_nationkey AS STRING)) AS jobtitle",
+        ),
+        "directory_computers": lambda: owned().selectExpr("c_name AS name", "o_orderdate AS createddate"),
+        "assets": lambda: owned().selectExpr(
+            f"{host} AS hostname", "o_orderdate AS invoicedt", "c_nationkey AS assetlocation"
+        ),
+        "locations": lambda: places().selectExpr(
+            "n_nationkey AS loc_id", "concat('SITE-', n_name, '-A') AS loc_remark", "r_name AS country"
+        ),
+        "health_daily": lambda: table("events").selectExpr(
+            "user_id AS wguid",
+            "ts AS vwtime",
+            "value * 1.8D AS wscore",
+            "CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS activestatus",
+        ),
+        "devices": lambda: items(caption="p_brand", classguid="p_type", adddate="l_shipdate"),
+        "changes_daily": lambda: items(
+            changedesc="CAST(p_size AS STRING)", changeclass="p_type", changetime="l_shipdate"
+        ),
+        "sensor_definitions": lambda: places().selectExpr("n_name AS sensorname", "r_name AS description"),
+    }
+    return Fleet(spark, frames=frames)
 
 
 def order_fleet(fleet: Fleet) -> Fleet:
@@ -166,22 +170,28 @@ def order_fleet(fleet: Fleet) -> Fleet:
 
     They cover the years of the installed items; the events cover one later month.
     """
-    tables = ("patches", "software_changes", "app_usage")
-    frames = {name: fleet[name] for name in tables}
-    derived = fleet["derived_sensors"]
-    frames["sensor_results_daily"] = derived.select("wguid", "sensorname", "sensorsystemid", "resulttime")
-    return Fleet(fleet.spark, frames=frames)
+    return Fleet(
+        fleet.spark,
+        frames={
+            "sensor_results_daily": lambda: fleet["derived_sensors"].select(
+                "wguid", "sensorname", "sensorsystemid", "resulttime"
+            ),
+            "patches": lambda: fleet["patches"],
+            "software_changes": lambda: fleet["software_changes"],
+            "app_usage": lambda: fleet["app_usage"],
+        },
+    )
 
 
 def uploaded_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as an uploaded host list; the names are longer than a stored host name."""
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    supplier = read_table(spark, sf_dir, "supplier")
     return supplier.select(F.concat(F.lit("HOST-0"), F.substring("s_name", 10, 9), F.lit("-DOCK")).alias("name"))
 
 
 def uploaded_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as an uploaded user list, some with and some without the prefix."""
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    supplier = read_table(spark, sf_dir, "supplier")
     bare = F.concat(F.lit("Customer#"), F.substring("s_name", 10, 9))
     prefixed = F.concat(F.lit(USER_PREFIX), bare)
     return supplier.select(F.when(F.col("s_acctbal") > 0, bare).otherwise(prefixed).alias("name"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,20 +61,12 @@ def order_points(orders: Fleet) -> DataFrame:
     return anomaly.sigma_anomalies(series, sigmas=s.ORDER_SIGMAS)
 
 
-def order_report(fleet: Fleet, dataset: str) -> DataFrame:
+def order_report(fleet: Fleet, build: Callable[..., DataFrame]) -> DataFrame:
     orders = order_fleet(fleet)
     days = anomaly.anomaly_days(order_points(orders))
     hit = cohort.on_days(cohort.daily_results(orders), days)
     ranged = anomaly.ranged_cohort(cohort.cohort(hit), days)
-    build = {
-        "patches": lambda: presence.patch_presence(orders, ranged, None, None, threshold=s.LOW),
-        "patch_machines": lambda: presence.patch_presence(
-            orders, ranged, None, None, threshold=s.LOW, mode="machines"
-        ),
-        "software_changes": lambda: presence.software_change_presence(orders, ranged, None, None, threshold=s.LOW),
-        "app_usage": lambda: presence.app_usage_presence(orders, ranged, None, None, threshold=s.LOW),
-    }
-    return build[dataset]()
+    return build(orders, ranged, threshold=s.LOW)
 
 
 # Timeline and cohort
@@ -247,14 +240,17 @@ def fault_window_compare(fleet):
 
 @query
 def drilldown_model(fleet):
-    return reports.drilldown(
-        fleet, machines(fleet), s.ITEMS_FROM, s.ITEMS_TO, s.AS_OF, model="MACHINERY"
-    )["patches"]
+    return _drilldown(fleet, "patches", model="MACHINERY")
 
 
 @query
 def drilldown_year(fleet):
-    return reports.drilldown(fleet, machines(fleet), s.ITEMS_FROM, s.ITEMS_TO, s.AS_OF, year=1998)["controllers"]
+    return _drilldown(fleet, "controllers", year=1998)
+
+
+def _drilldown(fleet, dataset, **chosen):
+    wanted = {"datasets": [dataset], **chosen}
+    return reports.drilldown(fleet, machines(fleet), s.ITEMS_FROM, s.ITEMS_TO, s.AS_OF, **wanted)[dataset]
 
 
 # Profile and health
@@ -401,19 +397,19 @@ def snapshot_change(fleet):
 
 @query
 def anomaly_report_patches(fleet):
-    return order_report(fleet, "patches")
+    return order_report(fleet, presence.patch_presence)
 
 
 @query
 def anomaly_report_patch_machines(fleet):
-    return order_report(fleet, "patch_machines")
+    return order_report(fleet, partial(presence.patch_presence, mode="machines"))
 
 
 @query
 def anomaly_report_changes(fleet):
-    return order_report(fleet, "software_changes")
+    return order_report(fleet, presence.software_change_presence)
 
 
 @query
 def anomaly_report_usage(fleet):
-    return order_report(fleet, "app_usage")
+    return order_report(fleet, presence.app_usage_presence)

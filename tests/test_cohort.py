@@ -1,0 +1,110 @@
+from fleetlens.operators import cohort as c
+from fleetlens.operators.cosensor import cosensor_results
+from fleetlens.sources import catalogue_frame
+from frames import at, day, fleet, rows
+
+
+def daily(wguid, name, time, systemid="w1"):
+    return {"wguid": wguid, "sensorname": name, "sensorsystemid": systemid, "resulttime": at(time)}
+
+
+def raw(wguid, name, time, severity=8, systemid="w1"):
+    return {
+        "wguid": wguid,
+        "systemid": systemid,
+        "sensorname": name,
+        "severity": severity,
+        "resulttime": at(time),
+    }
+
+
+def test_timeline_has_no_weekend_but_the_cohort_has(spark):
+    week = [daily(f"m{d}", "S", f"2024-01-{d:02d} 10:00:00") for d in range(1, 8)]  # Monday to Sunday
+    results = c.daily_results(fleet(spark, sensor_results_daily=week))
+    assert [r[1] for r in rows(c.timeline(results))] == [day(f"2024-01-0{d}") for d in range(1, 6)]
+    assert len(rows(c.cohort(results))) == 7
+
+
+def test_upper_date_is_its_midnight(spark):
+    table = [daily("a", "S", "2024-01-02 00:00:00"), daily("b", "S", "2024-01-02 05:00:00")]
+    results = c.daily_results(fleet(spark, sensor_results_daily=table), "2024-01-01", "2024-01-02")
+    assert rows(results.select("wguid")) == [("a",)]
+
+
+def test_virtual_and_unknown_systems_are_excluded(spark):
+    table = [raw(m, "S", "2024-01-02 05:00:00", systemid=s) for m, s in (("a", "V1"), ("b", "W1"), ("c", None))]
+    table.append(raw("d", "S", "2024-01-02 05:00:00", severity=7))
+    assert rows(c.raw_results(fleet(spark, sensor_results_raw=table)).select("wguid")) == [("b",)]
+
+
+def test_pairs(spark):
+    moment = "2024-01-02 05:00:00"
+    table = [
+        raw("one", "A", moment),
+        raw("two", "A", moment),
+        raw("two", "B", moment),
+        raw("two", "B", moment),
+        raw("three", "C", moment),
+        raw("three", "B", moment),
+        raw("three", "A", moment),
+        raw("other", "A", moment, systemid="w1"),
+        raw("other", "B", moment, systemid="w2"),
+        raw(None, "A", moment),
+        raw(None, "B", moment),
+    ]
+    results = c.raw_results(fleet(spark, sensor_results_raw=table))
+    found = cosensor_results(results, ["A:B", "B:C", "A:C"]).select("wguid", "sensor")
+    assert rows(found) == [("three", "A:B"), ("three", "A:C"), ("three", "B:C"), ("two", "A:B")]
+    without_system = cosensor_results(results, ["A:B"], keys=["wguid", "resulttime"]).select("wguid", "sensor")
+    assert rows(without_system) == [("other", "A:B"), ("three", "A:B"), ("two", "A:B")]
+
+
+def test_single_and_pair_sensors_together(spark):
+    moment = "2024-01-02 05:00:00"
+    tables = fleet(
+        spark,
+        sensor_results_daily=[daily("m", "A", moment), daily("n", "Z", moment)],
+        sensor_results_raw=[raw("m", "A", moment), raw("m", "B", moment)],
+    )
+    results = c.sensor_results(tables, "2024-01-01", "2024-01-03", ["A", "A:B"])
+    assert rows(results.select("sensor", "wguid", "sensorsystemid")) == [("A", "m", "w1"), ("A:B", "m", "w1")]
+    by_time = c.sensor_results(tables, None, None, ["A:B"], pair_keys=("wguid", "resulttime"))
+    assert rows(by_time.select("sensor", "sensorsystemid")) == [("A:B", None)]
+
+
+def test_trailing_blank_is_part_of_the_name(spark):
+    table = [daily("a", "S ", "2024-01-02 05:00:00"), daily("b", "S", "2024-01-02 05:00:00")]
+    results = c.daily_results(fleet(spark, sensor_results_daily=table), sensors=["S "])
+    assert rows(results.select("sensor", "wguid")) == [("S ", "a")]
+
+
+def test_machine_results_are_distinct(spark):
+    moment = "2024-01-02 05:00:00"
+    tables = fleet(
+        spark,
+        sensor_results_daily=[daily("m", "A", moment), daily("x", "A", moment)],
+        sensor_results_raw=[raw("m", "A", moment), raw("m", "B", moment), raw("m", "C", moment)],
+    )
+    listed = spark.createDataFrame([("m",), ("m",)], "wguid string")
+    results = c.machine_results(tables, listed, "2024-01-01", "2024-01-03", ["A", "B"])
+    assert rows(c.sensor_breakdown(results)) == [("A", 1), ("B", 1)]
+
+
+def test_lookup_normalises_names(spark):
+    users = [
+        {"wguid": "1", "systemid": "ABCDEFGHIJKLMNO.D", "username": "D\\ann"},
+        {"wguid": "2", "systemid": "SHORT.D", "username": "D\\bob"},
+        {"wguid": "3", "systemid": "NOPE.D", "username": "D\\eve"},
+    ]
+    tables = fleet(spark, user_info=users)
+    names = spark.createDataFrame([("ABCDEFGHIJKLMNOPQR",), ("SHORT",), ("SHORT",)], "name string")
+    assert rows(c.machine_lookup(tables, names, by="host", domain=".D").select("wguid")) == [("1",), ("2",)]
+    names = spark.createDataFrame([("ann",), ("D\\bob",)], "name string")
+    assert rows(c.machine_lookup(tables, names, by="user", prefix="D\\").select("wguid")) == [("1",), ("2",)]
+
+
+def test_silent_sensors_and_catalogue(spark):
+    catalogue = catalogue_frame(spark, ["A", "B", "A:B", "A"])
+    assert rows(catalogue) == [("A", False, None, None), ("A:B", True, "A", "B"), ("B", False, None, None)]
+    raised = spark.createDataFrame([("A", "m"), ("A", "n")], "sensor string, wguid string")
+    assert rows(c.silent_sensors(catalogue, raised)) == [("A:B",), ("B",)]

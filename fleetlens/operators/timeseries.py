@@ -24,9 +24,11 @@ def daily_series(results: DataFrame, *, time: str = "resulttime", fill_gaps: boo
 
 
 def _with_all_days(series: DataFrame) -> DataFrame:
-    span = series.groupBy("sensor").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
-    days = span.select("sensor", F.explode(F.sequence("first", "last")).alias("ds"))
-    return days.join(series, ["sensor", "ds"], "left").select("sensor", "ds", F.coalesce("y", F.lit(0)).alias("y"))
+    """Each row also stands for the empty days up to the next row."""
+    before_next = F.date_sub(F.lead("ds").over(_by_day()), 1)
+    spans = series.withColumn("_last", F.coalesce(before_next, "ds"))
+    days = spans.select("sensor", F.col("ds").alias("_first"), "y", F.explode(F.sequence("ds", "_last")).alias("ds"))
+    return days.select("sensor", "ds", F.when(F.col("ds") == F.col("_first"), F.col("y")).otherwise(0).alias("y"))
 
 
 def _by_day():

@@ -97,7 +97,7 @@ def standin_fleet(spark: SparkSession, sf_dir: str) -> Fleet:
         "system_config": lambda: table("customer").selectExpr(
             "c_custkey AS wguid",
             f"concat({host}, '{DOMAIN}') AS systemid",
-            "CAST(round(c_acctbal * 100) AS BIGINT) AS totalphysicalmemory",
+            "CAST(round((c_acctbal + 1000) * 100) AS BIGINT) * 1000 AS totalphysicalmemory",
             "concat('Maker-', CAST(c_nationkey AS STRING)) AS manufacturer",
             "c_mktsegment AS model",
         ),

@@ -36,7 +36,7 @@ recent_installs AS (
 hosts AS (
   SELECT c_custkey AS wguid, c_name, 'HOST-0' || substr(c_name, 10, 9) AS hostname,
          c_mktsegment AS model, 'Maker-' || CAST(c_nationkey AS VARCHAR) AS manufacturer, c_nationkey,
-         CAST(round(c_acctbal * 100) AS BIGINT) AS memory
+         CAST(round((c_acctbal + 1000) * 100) AS BIGINT) * 1000 AS memory
   FROM customer),
 assets AS (
   SELECT hostname, o_orderdate AS invoicedt, c_nationkey AS assetlocation

@@ -34,20 +34,33 @@ def has_own_range(cohort: DataFrame) -> bool:
     return "date_from" in cohort.columns
 
 
-def _machine_counts(facts: DataFrame, by: Sequence[str], keys: Sequence[str], mode: str) -> DataFrame:
+def _machine_counts(
+    facts: DataFrame, by: Sequence[str], keys: Sequence[str], mode: str, weight: str | None = None
+) -> DataFrame:
     """Per machine: one row per key with its row count, and one row that says the machine has any.
 
-    Both come out of the same pass (grouping sets), so numerator and denominator need one scan.
-    ``by`` are the columns that separate denominators, besides the machine.
+    Both come out of the same pass, so numerator and denominator need one scan and one shuffle.
+    ``by`` are the columns that separate denominators, besides the machine; ``weight`` is the
+    number of rows a row stands for.
+
+    Every row is doubled by ``explode`` and not by grouping sets: these give the machine column a
+    new identity, and a partitioning by machine that the input already has would be lost.
     """
     group = [*by, "wguid"]
-    per_machine = facts.groupingSets([[*group, *keys], group], *group, *keys)
-    is_total = F.grouping_id() > 0
-    amount = F.count(F.lit(1)) if mode == "rows" else F.lit(1).cast("long")
-    return per_machine.agg(
-        F.when(is_total, F.lit(1).cast("long")).otherwise(amount).alias("n"),
-        is_total.alias("is_total"),
+    total = F.col("is_total")
+    doubled = facts.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_total"))
+    kept = doubled.select(
+        *group,
+        *[F.when(~total, F.col(k)).alias(k) for k in keys],
+        "is_total",
+        *([weight] if weight else []),
     )
+    if mode == "machines":
+        amount = F.lit(1).cast("long")
+    else:
+        amount = F.sum(weight) if weight else F.count(F.lit(1))
+    n = F.when(total, F.lit(1).cast("long")).otherwise(amount).alias("n")
+    return kept.groupBy(*group, *keys, "is_total").agg(n)
 
 
 def _day_columns(time: str) -> tuple[Column, Column]:
@@ -94,7 +107,7 @@ def presence_pct(
     elif has_own_range(cohort) and time is not None:
         daily = facts.groupBy("wguid", *within, *keys, *_day_columns(time)).agg(F.count(F.lit(1)).alias("rows"))
         ranged = daily.join(cohort, "wguid").filter(_inside_own_range())
-        counts = _range_counts(ranged, within, keys, mode)
+        counts = _machine_counts(ranged, ["sensor", *within], keys, mode, "rows")
     else:
         counts = _machine_counts(facts, within, keys, mode).join(cohort.select("sensor", "wguid"), "wguid")
     group = ["sensor", *within]
@@ -107,18 +120,6 @@ def presence_pct(
     return rated.filter(F.col("system_percentage") > threshold)
 
 
-def _range_counts(ranged: DataFrame, within: Sequence[str], keys: Sequence[str], mode: str) -> DataFrame:
-    """As ``_machine_counts``, for rows that are already counted per day and joined to their sensors."""
-    group = ["sensor", *within, "wguid"]
-    per_machine = ranged.groupingSets([[*group, *keys], group], *group, *keys)
-    is_total = F.grouping_id() > 0
-    amount = F.sum("rows") if mode == "rows" else F.lit(1).cast("long")
-    return per_machine.agg(
-        F.when(is_total, F.lit(1).cast("long")).otherwise(amount).alias("n"),
-        is_total.alias("is_total"),
-    )
-
-
 def _latest_in_range(
     facts: DataFrame, cohort: DataFrame, key: str, time: str, range_time: str, carry: Sequence[str]
 ) -> DataFrame:

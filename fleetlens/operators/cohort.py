@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions import host_name, in_range, is_pair, is_workday, user_name
+from fleetlens.functions import day_start, host_name, in_range, is_pair, is_workday, user_name
 from fleetlens.functions.times import Moment
 from fleetlens.operators.cosensor import PAIR_KEYS, cosensor_results
 from fleetlens.sources.catalogue import pair_members
@@ -110,6 +110,11 @@ def timeline(results: DataFrame) -> DataFrame:
     return days.agg(F.count(F.lit(1)).alias("count"))
 
 
+def with_day_label(days: DataFrame) -> DataFrame:
+    """Adds the day as display text, such as ``Jan 05 2024``."""
+    return days.withColumn("label", F.date_format("date", "MMM dd yyyy"))
+
+
 def machine_results(
     fleet: Fleet,
     machines: DataFrame,
@@ -149,6 +154,11 @@ def with_description(results: DataFrame, definitions: DataFrame) -> DataFrame:
     return results.join(lookup, "sensor", "left")
 
 
+def last_week(results: DataFrame, as_of: Moment) -> DataFrame:
+    """Result rows since the midnight seven days ago; no upper bound."""
+    return in_range(results, "resulttime", day_start(as_of, -7))
+
+
 def system_ids(results: DataFrame, start: Moment | None = None, end: Moment | None = None) -> DataFrame:
     """Export rows of a time range: system id, sensor, time."""
     rows = in_range(results, "resulttime", start, end)

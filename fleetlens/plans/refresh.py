@@ -16,7 +16,7 @@ from fleetlens.functions.times import Moment
 from fleetlens.operators import anomaly, cohort
 from fleetlens.operators.enriched import enriched_daily_series
 from fleetlens.plans.reports import cohort_report
-from fleetlens.sinks import backfill_targets, read_dataset, write_dataset
+from fleetlens.sinks import backfill_targets, read_dataset, write_csv, write_dataset
 from fleetlens.sources.catalogue import catalogue_frame
 from fleetlens.sources.tables import Fleet
 
@@ -55,11 +55,15 @@ def backfill(fleet: Fleet, sensors: Sequence[str], root: str, as_of: Moment) ->
 
 
 def anomaly_refresh(fleet: Fleet, sensors: Sequence[str], root: str, as_of: Moment) -> None:
-    """Writes one year of series with anomalies, and the report of the anomalous days."""
+    """Writes one year of series with anomalies, and the report of the anomalous days.
+
+    The anomalous days are also written as a CSV file with one column per sensor.
+    """
     start, end = day_start(as_of, -ANOMALY_DAYS).date(), day_start(as_of).date()
     series = enriched_daily_series(fleet, start, end, sensors)
     points = _store(anomaly.trend_anomalies(series), root, "points")
     days = anomaly.anomaly_days(points)
+    write_csv(anomaly.anomaly_days_wide(days).orderBy("position"), f"{root}/anomaly_days")
     results = cohort.on_days(
         cohort.sensor_results(fleet, start, end, sensors, pair_keys=("wguid", "resulttime")), days
     )

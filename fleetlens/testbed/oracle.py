@@ -240,6 +240,8 @@ _MATRIX = ", ".join(
 
 _QUERIES = {
     "sensor_timeline": _timeline("SELECT * FROM results"),
+    "timeline_labels": f"""
+        SELECT sensor, date, count, strftime(date, '%b %d %Y') AS label FROM ({_timeline("SELECT * FROM results")})""",
     "sensor_cohort": f"""SELECT {_RESULT} FROM results
         WHERE sensor IN ('error', 'click', 'purchase') AND {_IN_COHORT_RANGE}""",
     "severe_results": f"""SELECT {_RESULT} FROM severe
@@ -266,6 +268,7 @@ _QUERIES = {
         ON d.n_name = s.sensor""",
     "export_system_ids": f"""
         SELECT systemid AS sensorsystemid, sensor, resulttime AS date FROM results WHERE {_IN_COHORT_RANGE}""",
+    "export_last_week": f"SELECT {_RESULT} FROM results WHERE resulttime >= TIMESTAMP '2024-01-23'",
     "patch_presence": _presence(_PATCHES, ["patchname"], 50),
     "controller_presence": _presence(_CONTROLLERS, ["controller"], 50),
     "software_presence": _presence(_RECENT_SOFTWARE, ["packagename", "version"], s.LOW),

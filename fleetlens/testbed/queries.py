@@ -77,6 +77,11 @@ def sensor_timeline(fleet):
     return cohort.timeline(cohort.daily_results(fleet))
 
 
+@query
+def timeline_labels(fleet):
+    return cohort.with_day_label(cohort.timeline(cohort.daily_results(fleet)))
+
+
 @query
 def sensor_cohort(fleet):
     return cohort.sensor_results(fleet, s.COHORT_FROM, s.COHORT_TO, ["error", "click", "purchase"])
@@ -160,6 +165,11 @@ def export_system_ids(fleet):
     return cohort.system_ids(cohort.daily_results(fleet), s.COHORT_FROM, s.COHORT_TO)
 
 
+@query
+def export_last_week(fleet):
+    return cohort.last_week(cohort.daily_results(fleet), s.AS_OF)
+
+
 # Presence
 
 

@@ -102,6 +102,8 @@ def test_anomaly_refresh(spark, root):
     anomaly_refresh(whole_fleet(spark), ["S", "T", "U"], root, "2024-06-30")
     points = spark.read.parquet(f"{root}/points")
     flagged = {r.ds for r in points.filter("is_anomaly").collect()}
+    wide = read_csv(spark, f"{root}/anomaly_days", dates=["S"])
+    assert wide.columns == ["position", "S"] and {r.S for r in wide.collect()} == flagged
     spike = day("2024-06-30") - timedelta(days=102)
     assert spike in flagged
     ranged = spark.read.parquet(f"{root}/cohort").collect()
@@ -113,8 +115,9 @@ def test_anomaly_refresh(spark, root):
 
 def test_last_week_export(spark):
     results = c.daily_results(whole_fleet(spark))
-    last_week = c.system_ids(results, "2024-06-23")
-    assert {r.date.date() >= day("2024-06-23") for r in last_week.collect()} == {True}
+    exported = c.system_ids(c.last_week(results, "2024-06-30 09:00:00"))
+    assert min(r.date for r in exported.collect()) == at("2024-06-23 00:00:00")
+    assert rows(exported) == rows(c.system_ids(results, "2024-06-23"))
 
 
 def test_catalogue_is_lazy_text(spark):

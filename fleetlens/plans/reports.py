@@ -39,7 +39,8 @@ def cohort_report(
 ) -> dict[str, DataFrame]:
     """The wanted datasets by name. Lazy: each runs when it is used.
 
-    Every dataset reads the cohort, so pass a stored one, as ``daily_refresh`` does. With a cohort
+    Every dataset reads the cohort, so pass a stored one (``sinks.settle``, or as ``daily_refresh``
+    does). With a cohort
     ``(sensor, wguid, date_from, date_to)`` every sensor has its own range, and ``start`` and
     ``end`` should enclose all ranges: they reach the scans, which the ranges, known only when
     the job runs, cannot.

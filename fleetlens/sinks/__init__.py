@@ -1,3 +1,10 @@
-from fleetlens.sinks.datasets import backfill_targets, publish_view, read_dataset, write_csv, write_dataset
+from fleetlens.sinks.datasets import (
+    backfill_targets,
+    publish_view,
+    read_dataset,
+    settle,
+    write_csv,
+    write_dataset,
+)
 
-__all__ = ["backfill_targets", "publish_view", "read_dataset", "write_csv", "write_dataset"]
+__all__ = ["backfill_targets", "publish_view", "read_dataset", "settle", "write_csv", "write_dataset"]

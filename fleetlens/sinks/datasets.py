@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
@@ -35,6 +38,24 @@ def write_csv(df: DataFrame, path: str, *, time_format: str = "yyyy-MM-dd HH:mm:
     writer.option("timestampFormat", time_format).option("timestampNTZFormat", time_format).csv(path)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Writes a frame to the cluster's shared folder and reads it back.
+
+    For a cohort that several datasets use: its plan runs once, and Spark then knows its true size,
+    so that a small cohort can restrict the facts before they are shuffled. The folder is
+    ``spark.checkpoint.dir``; without it, only a local session gets a folder of its own.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="fleetlens-")
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def publish_view(df: DataFrame, name: str) -> DataFrame:
     """Names a frame for SQL in this session, replacing an earlier one of that name."""
     df.createOrReplaceTempView(name)

@@ -9,7 +9,8 @@ from fleetlens.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", "fleetlens-tests")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("8", "fleetlens-tests", **{"spark.checkpoint.dir": shared})
     yield session
     session.stop()

@@ -3,12 +3,12 @@ from datetime import timedelta
 
 import pytest
 
-from fleetlens.functions import file_key
+from fleetlens.functions import file_key, fits_broadcast
 from fleetlens.operators import cohort as c
 from fleetlens.plans import anomaly_refresh, backfill, daily_refresh
 from fleetlens.plans.reports import DATASETS
 from fleetlens.schemas import TABLES
-from fleetlens.sinks import publish_view, read_dataset, write_csv, write_dataset
+from fleetlens.sinks import publish_view, read_dataset, settle, write_csv, write_dataset
 from fleetlens.sources import Fleet, catalogue_frame, read_csv, read_indexed_csv, read_name_list, read_sensor_names
 from frames import at, day, fleet, make, rows
 
@@ -113,6 +113,15 @@ def test_anomaly_refresh(spark, root):
     assert {r.resultdate for r in results.select("resultdate").distinct().collect()} == flagged
 
 
+def test_settled_cohort_has_its_true_size(spark):
+    machines = c.cohort(c.daily_results(whole_fleet(spark)))
+    assert not fits_broadcast(machines)  # no estimate for rows given by hand
+    settled = settle(machines)
+    assert fits_broadcast(settled) and rows(settled) == rows(machines)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert any(name.startswith("settled-") for name in os.listdir(shared))
+
+
 def test_last_week_export(spark):
     results = c.daily_results(whole_fleet(spark))
     exported = c.system_ids(c.last_week(results, "2024-06-30 09:00:00"))

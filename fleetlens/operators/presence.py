@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from fleetlens.functions import (
     day_start,
+    fits_broadcast,
     in_range,
     joined_label,
     latest_per,
@@ -28,39 +29,42 @@ from fleetlens.sources.tables import Fleet
 COMMON = 50.0
 RARE = 5.0
 _DAY, _LATE = "_day", "_late"
+SALTS = 8
 
 
 def has_own_range(cohort: DataFrame) -> bool:
     return "date_from" in cohort.columns
 
 
-def _machine_counts(
-    facts: DataFrame, by: Sequence[str], keys: Sequence[str], mode: str, weight: str | None = None
-) -> DataFrame:
+def _machine_counts(facts: DataFrame, by: Sequence[str], keys: Sequence[str], mode: str) -> DataFrame:
     """Per machine: one row per key with its row count, and one row that says the machine has any.
 
     Both come out of the same pass, so numerator and denominator need one scan and one shuffle.
-    ``by`` are the columns that separate denominators, besides the machine; ``weight`` is the
-    number of rows a row stands for.
-
-    Every row is doubled by ``explode`` and not by grouping sets: these give the machine column a
-    new identity, and a partitioning by machine that the input already has would be lost.
+    ``by`` are further columns to keep apart.
     """
-    group = [*by, "wguid"]
     total = F.col("is_total")
     doubled = facts.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_total"))
-    kept = doubled.select(
-        *group,
-        *[F.when(~total, F.col(k)).alias(k) for k in keys],
-        "is_total",
-        *([weight] if weight else []),
-    )
-    if mode == "machines":
-        amount = F.lit(1).cast("long")
-    else:
-        amount = F.sum(weight) if weight else F.count(F.lit(1))
+    blanked = [F.when(~total, F.col(k)).alias(k) for k in keys]
+    amount = F.count(F.lit(1)) if mode == "rows" else F.lit(1).cast("long")
     n = F.when(total, F.lit(1).cast("long")).otherwise(amount).alias("n")
-    return kept.groupBy(*group, *keys, "is_total").agg(n)
+    return doubled.select(*by, "wguid", *blanked, "is_total").groupBy(*by, "wguid", *keys, "is_total").agg(n)
+
+
+def _join_own_ranges(daily: DataFrame, cohort: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Daily rows of the cohort's machines inside the range of each sensor of the machine.
+
+    What follows groups by sensor, machine and key. With a cohort too large to broadcast, machine
+    and salt are the join keys and the group reuses their partitioning; the salt, taken from the
+    keys, spreads the rows of one machine over several tasks.
+    """
+    if fits_broadcast(cohort):
+        joined = daily.join(cohort, "wguid").withColumn("_salt", F.lit(0))
+    else:
+        salts = F.array(*[F.lit(i) for i in range(SALTS)])
+        spread = cohort.select("*", F.explode(salts).alias("_salt"))
+        salted = daily.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+        joined = salted.join(spread, ["wguid", "_salt"])
+    return joined.filter(_inside_own_range())
 
 
 def _day_columns(time: str) -> tuple[Column, Column]:
@@ -101,15 +105,19 @@ def presence_pct(
         raise ValueError(f"mode must be 'rows' or 'machines', not {mode!r}")
     text = [k for k in keys if isinstance(facts.schema[k].dataType, StringType)]
     facts = facts.na.fill(" ", subset=text) if text else facts
-    facts = of_machines(facts, cohort)
-    if "sensor" in facts.columns:
+    if "sensor" in facts.columns:  # already joined with the cohort
         counts = _machine_counts(facts, ["sensor", *within], keys, mode)
     elif has_own_range(cohort) and time is not None:
-        daily = facts.groupBy("wguid", *within, *keys, *_day_columns(time)).agg(F.count(F.lit(1)).alias("rows"))
-        ranged = daily.join(cohort, "wguid").filter(_inside_own_range())
-        counts = _machine_counts(ranged, ["sensor", *within], keys, mode, "rows")
+        days = of_machines(facts, cohort).select("*", *_day_columns(time))
+        daily = _machine_counts(days, [*within, _DAY, _LATE], keys, mode)
+        ranged = _join_own_ranges(daily, cohort, [*keys, "is_total"])
+        once = F.col("is_total") | F.lit(mode == "machines")
+        n = F.when(F.max(once), F.lit(1).cast("long")).otherwise(F.sum("n")).alias("n")
+        counts = ranged.groupBy("sensor", *within, "wguid", "_salt", *keys, "is_total").agg(n)
     else:
-        counts = _machine_counts(facts, within, keys, mode).join(cohort.select("sensor", "wguid"), "wguid")
+        # The next shuffle is by key, so AQE is free to split a machine's partition of this join.
+        counts = _machine_counts(of_machines(facts, cohort), within, keys, mode)
+        counts = counts.join(cohort.select("sensor", "wguid"), "wguid")
     group = ["sensor", *within]
     sums = counts.groupBy(*group, *keys, "is_total").agg(F.sum("n").alias("n"))
     totals = sums.groupBy(*group).agg(F.max(F.when(F.col("is_total"), F.col("n"))).alias("machines"))
@@ -129,8 +137,8 @@ def _latest_in_range(
         return latest_per(facts, ["wguid", key], time, carry)
     days = facts.select("*", *_day_columns(range_time))
     daily = latest_per(days, ["wguid", key, _DAY, _LATE], time, carry)
-    ranged = daily.join(cohort, "wguid").filter(_inside_own_range())
-    return latest_per(ranged, ["sensor", "wguid", key], time, carry)
+    ranged = _join_own_ranges(daily, cohort, [key])
+    return latest_per(ranged, ["sensor", "wguid", "_salt", key], time, carry).drop("_salt")
 
 
 def patch_presence(

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from fleetlens.functions import fits_broadcast, latest_per
 from fleetlens.operators import presence as p
+from fleetlens.sinks import settle
 from frames import at, cohort, day, fleet, rows
 
 
@@ -135,6 +136,37 @@ def test_top_and_labels(spark):
     ]
 
 
+def test_own_ranges_with_a_hot_machine(spark):
+    """Half of the rows on one machine; both ways to join the ranges give what counting by hand gives."""
+    draw = random.Random(11)
+    when = [f"2024-01-{draw.randrange(1, 29):02d} {draw.choice(['00:00:00', '13:00:00'])}" for _ in range(1500)]
+    table = [patch("m0" if draw.random() < 0.5 else f"m{draw.randrange(9)}", f"k{draw.randrange(25)}", t) for t in when]
+    members = [
+        (f"s{i}", f"m{m}", day(f"2024-01-{3 + i:02d}"), day(f"2024-01-{12 + i:02d}")) for i in range(6) for m in range(0, 9, 1 + i % 3)
+    ]
+    ranged = spark.createDataFrame(members, "sensor string, wguid string, date_from date, date_to date")
+    expected = {}
+    for sensor in {m[0] for m in members}:
+        ranges = {m[1]: (at(f"{m[2]} 00:00:00"), at(f"{m[3]} 00:00:00")) for m in members if m[0] == sensor}
+        hits = [
+            (r["wguid"], r["patchname"])
+            for r in table
+            if r["wguid"] in ranges and ranges[r["wguid"]][0] <= r["installdate"] <= ranges[r["wguid"]][1]
+        ]
+        whole = len({m for m, _ in hits})
+        for mode, counted in (("rows", hits), ("machines", set(hits))):
+            for key, n in collections.Counter(k for _, k in counted).items():
+                expected[mode, sensor, key] = n / whole * 100
+    tables = fleet(spark, patches=table)
+    for cohort_rows in (ranged, settle(ranged)):
+        found = {
+            (mode, r.sensor, r.patchname): r.system_percentage
+            for mode in ("rows", "machines")
+            for r in p.patch_presence(tables, cohort_rows, threshold=0, mode=mode).collect()
+        }
+        assert found == pytest.approx(expected)
+
+
 def brute_force(facts, members, mode):
     result = {}
     for sensor in {s for s, _ in members}:

@@ -29,6 +29,7 @@ def cosensor_results(results: DataFrame, pairs: Sequence[str], *, keys: Sequence
     side before the shuffle. No group's combinations are listed, however many rows it has.
     """
     present = results.dropna(subset=[*keys, "sensor"])
-    sides = present.select(*keys, F.explode(F.try_element_at(_sides(pairs), "sensor")).alias("hit")).select(*keys, "hit.pair", "hit.side")
+    hits = F.explode(F.try_element_at(_sides(pairs), "sensor"))
+    sides = present.select(*keys, hits.alias("hit")).select(*keys, "hit.pair", "hit.side")
     both = sides.groupBy(*keys, "pair").agg(F.bit_or("side").alias("found")).filter(F.col("found") == 3)
     return both.select(*keys, F.col("pair").alias("sensor"))

@@ -23,7 +23,8 @@ def _weighted(machines: DataFrame, cohort: DataFrame, label: str) -> DataFrame:
 
 
 def _hosts(fleet: Fleet, cohort: DataFrame, *columns: str) -> DataFrame:
-    config = of_machines(fleet["system_config"], cohort).select("wguid", host_part("systemid").alias("hostname"), *columns)
+    config = of_machines(fleet["system_config"], cohort)
+    config = config.select("wguid", host_part("systemid").alias("hostname"), *columns)
     return config.groupBy("wguid", "hostname", *columns).agg(F.count(F.lit(1)).alias("n_hosts"))
 
 
@@ -90,7 +91,8 @@ def job_title_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     """Rows per job title of users whose machine is in the directory."""
     listed = fleet["directory_computers"].groupBy(F.col("name").alias("systemid"))
     listed = listed.agg(F.count(F.lit(1)).alias("n_listed"))
-    users = of_machines(fleet["users"], cohort).groupBy("wguid", "systemid", "jobtitle").agg(F.count(F.lit(1)).alias("n_users"))
+    users = of_machines(fleet["users"], cohort).groupBy("wguid", "systemid", "jobtitle")
+    users = users.agg(F.count(F.lit(1)).alias("n_users"))
     joined = users.join(listed, "systemid").withColumn("n", F.col("n_users") * F.col("n_listed"))
     return _weighted(joined, cohort, "jobtitle")
 

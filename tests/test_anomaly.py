@@ -72,7 +72,8 @@ def slow_mean_depth(values, size, limit, trees, rng):
         if depth == limit or min(sample) == max(sample):
             return len(sample)
         split = rng.uniform(min(sample), max(sample))
-        return split, grow([v for v in sample if v <= split], depth + 1), grow([v for v in sample if v > split], depth + 1)
+        left, right = [v for v in sample if v <= split], [v for v in sample if v > split]
+        return split, grow(left, depth + 1), grow(right, depth + 1)
 
     def path(node, value):
         if isinstance(node, int):
@@ -163,7 +164,12 @@ def test_duplicate_dimension_rows_repeat_results(spark):
 
     tables = fleet(
         spark,
-        sensor_results_raw=[result("2024-01-01"), result("2024-01-02"), result("2024-01-02", 4), result("2024-01-02", 5, "V2")],
+        sensor_results_raw=[
+            result("2024-01-01"),
+            result("2024-01-02"),
+            result("2024-01-02", 4),
+            result("2024-01-02", 5, "V2"),
+        ],
         derived_sensors=[result("2024-01-02"), result("2024-01-03")],
         system_config=[{"wguid": "a", "systemid": "h", "totalphysicalmemory": 25_000_000, "model": m} for m in "xy"],
         sensor_information=[{"ruleid": "r", "sensorcategory": "c", "description": "d"}],

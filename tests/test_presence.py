@@ -142,7 +142,9 @@ def test_own_ranges_with_a_hot_machine(spark):
     when = [f"2024-01-{draw.randrange(1, 29):02d} {draw.choice(['00:00:00', '13:00:00'])}" for _ in range(1500)]
     table = [patch("m0" if draw.random() < 0.5 else f"m{draw.randrange(9)}", f"k{draw.randrange(25)}", t) for t in when]
     members = [
-        (f"s{i}", f"m{m}", day(f"2024-01-{3 + i:02d}"), day(f"2024-01-{12 + i:02d}")) for i in range(6) for m in range(0, 9, 1 + i % 3)
+        (f"s{i}", f"m{m}", day(f"2024-01-{3 + i:02d}"), day(f"2024-01-{12 + i:02d}"))
+        for i in range(6)
+        for m in range(0, 9, 1 + i % 3)
     ]
     ranged = spark.createDataFrame(members, "sensor string, wguid string, date_from date, date_to date")
     expected = {}
@@ -183,9 +185,12 @@ def brute_force(facts, members, mode):
 def test_hot_machine_sensor_and_key(spark, mode, limit):
     """A third of all rows on one machine, one key and one sensor; with and without broadcasts."""
     draw = random.Random(7)
-    facts = [("m0" if draw.random() < 0.34 else f"m{draw.randrange(40)}",
-              "k0" if draw.random() < 0.34 else f"k{draw.randrange(60)}") for _ in range(3000)]
-    members = {("s0" if draw.random() < 0.34 else f"s{draw.randrange(20)}", f"m{draw.randrange(50)}") for _ in range(300)}
+
+    def name(letter, n):
+        return f"{letter}0" if draw.random() < 0.34 else f"{letter}{draw.randrange(n)}"
+
+    facts = [(name("m", 40), name("k", 60)) for _ in range(3000)]
+    members = {(name("s", 20), f"m{draw.randrange(50)}") for _ in range(300)}
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     try:

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from fleetlens.functions import percent_change, percentage
 from fleetlens.operators import compare, health, profile
@@ -73,8 +75,8 @@ def test_health(spark):
     table.append({"wguid": "b", "vwtime": at("2024-01-10"), "wscore": 100.0, "activestatus": 1})
     table.append({"wguid": "f", "vwtime": at("2024-01-29"), "wscore": 100.0, "activestatus": 0})
     tables, machines = fleet(spark, health_daily=table), cohort(spark, "abcdef")
-    summary = rows(health.health_summary(tables, machines, "2024-01-30").select("days", "rank", "health_score", "machine_count"))
-    assert summary == [
+    summary = health.health_summary(tables, machines, "2024-01-30")
+    assert rows(summary.select("days", "rank", "health_score", "machine_count")) == [
         (30, 1, "Poor", 1),
         (30, 2, "Fair", 2),
         (30, 3, "Good", 1),
@@ -124,6 +126,18 @@ def test_compare(spark):
     assert one_sided == [("software", "third machine", "first")]
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from("uvwxyz")), max_size=15))
+def test_compare_splits_the_items(spark, pairs):
+    items = spark.createDataFrame(
+        [("software", m, i, True) for m, i in pairs], "kind string, wguid string, item string, has_value boolean"
+    )
+    found = {r.item: r.side for r in compare.compare_machines(items, "a", "b").collect()}
+    of = {machine: {i for m, i in pairs if m == machine} for machine in "ab"}
+    assert {i for i, side in found.items() if side in ("both", "first")} == of["a"]
+    assert {i for i, side in found.items() if side in ("both", "second")} == of["b"]
+
+
 def test_change_rules(spark):
     pairs = [(0.0, 0.0), (5.0, 0.0), (0.0, 5.0), (5.0, 4.0), (201.0, 200.0), (2.5, 1.0)]
     df = spark.createDataFrame(pairs, "now double, before double")

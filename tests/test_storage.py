@@ -81,7 +81,9 @@ def whole_fleet(spark):
     tables = {name: [] for name in TABLES}
     tables["sensor_results_daily"], tables["sensor_results_raw"] = results, raw
     tables["patches"] = [
-        {"wguid": m, "patchname": "P", "installdate": at(f"{d} 05:00:00")} for m in "ab" for d in ("2024-03-15", "2024-06-15")
+        {"wguid": m, "patchname": "P", "installdate": at(f"{d} 05:00:00")}
+        for m in "ab"
+        for d in ("2024-03-15", "2024-06-15")
     ]
     return fleet(spark, **tables)
 

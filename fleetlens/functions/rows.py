@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def latest_per(df: DataFrame, keys: Sequence[str], time: str, carry: Sequence[str] = ()) -> DataFrame:
     """The newest row of every key, with the carried columns; equal times: largest carried values.
 
-    An aggregate instead of ``row_number``: it combines before the shuffle, so a key that holds
-    much of the table costs one row per map task and never a sort of all its rows in one task.
+    An aggregate, so rows combine before the shuffle: a key that holds much of the table costs one
+    row per map task.
     """
     newest = F.max(F.struct(time, *carry)).alias("newest")
     return df.groupBy(*keys).agg(newest).select(*keys, *[f"newest.{c}" for c in (time, *carry)])

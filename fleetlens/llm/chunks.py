@@ -1,0 +1,57 @@
+"""Texts cut before each space that starts a word, and a cache of what each chunk gives.
+
+A byte-level pattern of the form `` ?letters| ?digits| ?other|spaces`` never looks across a space that stands
+before a visible character, so the chunks between such spaces can be encoded alone. Words repeat, so a task
+encodes each distinct chunk about once.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+CUT = re.compile(r" (?=\S)")
+
+
+def cut(text: str) -> list[str]:
+    """The head and, without its space, each chunk that began with one."""
+    parts = text.split(" ")
+    for part in parts[1:]:
+        if not part or part[0].isspace():
+            return CUT.split(text)
+    return parts
+
+
+class ChunkCache:
+    """Chunk to bytes, in two generations: when the young one is full, what was not used since the last time goes."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 200_000) -> None:
+        self.encode, self.most = encode, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def join(self, parts: list[list[str]]) -> list[bytes]:
+        """For each list of chunks, their bytes in order."""
+        wanted = set().union(*parts) if parts else set()
+        young, old = self.young, self.old
+        if len(young) > self.most:
+            self.old = old = young
+            self.young = young = {}
+        missing = []
+        for chunk in wanted:
+            if chunk not in young:
+                value = old.get(chunk)
+                if value is None:
+                    missing.append(chunk)
+                else:
+                    young[chunk] = value
+        young.update(zip(missing, self.encode(missing), strict=True))
+        get = young.__getitem__
+        return [b"".join(map(get, part)) for part in parts]
+
+
+def encode_texts(texts: list[str], cache: ChunkCache, head: Callable[[str], bytes]) -> list[bytes]:
+    """Each text's bytes: those of its head (no space before it), then those of its chunks."""
+    parts = [cut(text) for text in texts]
+    tails = cache.join([part[1:] for part in parts])
+    return [(head(part[0]) if part[0] else b"") + tail for part, tail in zip(parts, tails, strict=True)]

@@ -76,3 +76,50 @@ def word_offsets(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     full = pc.greater(pc.binary_length(flat), 0)
     kept = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False).astype(np.int64))))
     return flat.filter(full), kept[bounds]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit numbers (the finaliser of a public hash; fixed multipliers)."""
+    h = h.astype(np.uint64, copy=True)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two sequences one after the other, from the hashes of both."""
+    return mixed(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))))
+
+
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of every ``length`` consecutive words, by doubling; equal runs have equal hashes."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    hashes, size = words, 1
+    while 2 * size <= length:
+        hashes = joined_hash(hashes[:-size], hashes[size:])
+        size *= 2
+    return hashes if size == length else joined_hash(hashes[:n], hashes[length - size : length - size + n])
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, each distinct word hashed once, and where each text's begin.
+
+    ``lower`` turns A to Z into lower case first, and no other letter.
+    """
+    import xxhash
+
+    flat, starts = word_offsets(texts)
+    coded = flat.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    if lower:
+        table = {c: c + 32 for c in range(0x41, 0x5B)}
+        names = [w.lower() if w.isascii() else w.translate(table) for w in names]
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.array([digest(w.encode("utf-8", "surrogatepass")) for w in names], np.uint64)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    return (hashes[codes] if len(codes) else np.zeros(0, np.uint64)), starts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import merge_replay, packing, token_counts, token_files
+from fleetlens.llm import importance, merge_replay, packing, quality_rules, token_counts, token_files
 from fleetlens.llm.common import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +43,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), BYTE_BPE).drop("ids")
 
 
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules.rated(docs, quality_rules.language_references(docs))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir), WORD_BPE, 2048)
 
 
+@query
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.sampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {}

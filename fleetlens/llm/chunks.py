@@ -50,8 +50,10 @@ class ChunkCache:
         return [b"".join(map(get, part)) for part in parts]
 
 
-def encode_texts(texts: list[str], cache: ChunkCache, head: Callable[[str], bytes]) -> list[bytes]:
+def encode_texts(texts: list[str], cache: ChunkCache, heads: Callable[[list[str]], list[bytes]]) -> list[bytes]:
     """Each text's bytes: those of its head (no space before it), then those of its chunks."""
     parts = [cut(text) for text in texts]
+    first = list({part[0] for part in parts if part[0]})
+    of = dict(zip(first, heads(first), strict=True)) | {"": b""}
     tails = cache.join([part[1:] for part in parts])
-    return [(head(part[0]) if part[0] else b"") + tail for part, tail in zip(parts, tails, strict=True)]
+    return [of[part[0]] + tail for part, tail in zip(parts, tails, strict=True)]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 from fleetlens.llm.chunks import ChunkCache, encode_texts
 
+MARKS = ".,;:!?"
+
 
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte (fixed by their format)."""
@@ -33,8 +36,9 @@ class LibraryEncoder:
         self.words = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = {i: c for i, c in byte_letters().items()}
-        self.cache = ChunkCache(self.chunks)
+        self.letters = byte_letters()
+        self.cache = ChunkCache(self.chunks, 400_000)
+        self.marks: dict[str, bytes] = {}
 
     def piece(self, text: str) -> list[int]:
         tokenize = self.model.tokenize
@@ -42,24 +46,38 @@ class LibraryEncoder:
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         tokenize, letters, space = self.model.tokenize, self.letters, self.letters[0x20]
+        known, marks = self.cache.young, self.marks
+
+        def letters_only(chunk: str) -> bytes:  # one word of the pattern
+            word = space + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(letters))
+            return array("I", [token.id for token in tokenize(word)]).tobytes()
+
         found = []
         for chunk in chunks:
-            if chunk.isalpha():  # letters alone are one word of the pattern
-                word = space + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(letters))
-                ids = [token.id for token in tokenize(word)]
+            if chunk.isalpha():
+                found.append(letters_only(chunk))
+                continue
+            stem = chunk.rstrip(MARKS)
+            if stem != chunk and stem.isalpha():  # letters and marks are two words
+                tail = chunk[len(stem) :]
+                ids = known.get(stem) or known.setdefault(stem, letters_only(stem))
+                after = marks.get(tail) or marks.setdefault(tail, self.ids(tail))
+                found.append(ids + after)
             else:
-                ids = self.piece(" " + chunk)
-            found.append(np.array(ids, "<u4").tobytes())
+                found.append(self.ids(" " + chunk))
         return found
 
-    def head(self, text: str) -> bytes:
+    def ids(self, text: str) -> bytes:
         return np.array(self.piece(text), "<u4").tobytes()
 
+    def heads(self, texts: list[str]) -> list[bytes]:
+        return [self.ids(text) for text in texts]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not any(s in text for s in self.special for text in texts):
-            return encode_texts(texts, self.cache, self.head)
+            return encode_texts(texts, self.cache, self.heads)
         whole = {i for i, text in enumerate(texts) if any(s in text for s in self.special)}
-        plain = iter(encode_texts([t for i, t in enumerate(texts) if i not in whole], self.cache, self.head))
+        plain = iter(encode_texts([t for i, t in enumerate(texts) if i not in whole], self.cache, self.heads))
         return [self.whole(text) if i in whole else next(plain) for i, text in enumerate(texts)]
 
     def whole(self, text: str) -> bytes:

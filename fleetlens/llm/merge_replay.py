@@ -1,8 +1,8 @@
 """Byte-level BPE by replaying the merges over all words of a block at once.
 
-The distinct words of many documents are laid out as one list of symbols. An inverted index leads from each
+The distinct words of many documents are laid out as one array of symbols. An inverted index leads from each
 token that a neighbouring pair would make to the positions of such pairs. Merges are applied in rank order, each
-to all its positions, and only the two neighbours of a merged pair are looked at again.
+to all its positions at once, and only the two neighbours of a merged pair are looked at again.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,10 @@ from fleetlens.llm.common import id_and_text, map_steps
 
 # The pattern of the vocabulary files; fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# Symbols of one replay: bounds the index to some tens of MB.
-BLOCK_SYMBOLS = 300_000
-SEPARATOR = -1
+# Text whose new words are replayed together, in bytes: bounds the index to some tens of MB.
+BLOCK_BYTES = 8_000_000
+BORDER = 0xFF  # stands between words; no byte of UTF-8
+GONE = -1  # a symbol that was merged into the one before it, or a border
 
 
 class MergeTable:
@@ -34,120 +35,154 @@ class MergeTable:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.tokens = [b""] * (max(ranks.values()) + 1)
-        self.made: dict[tuple[int, int], int] = {}
+        made: dict[int, int] = {}
         for token, rank in ranks.items():
             self.tokens[rank] = token
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    self.made[left, right] = rank
-        self.ranks = ranks
-        self.single = [ranks[bytes([b])] for b in range(256)]
-
-
-def replay(words: list[bytes], table: MergeTable) -> list[list[int]]:
-    """Token ids of each word, none of them empty.
-
-    A merge can make a pair of a lower rank than its own. Its word is then brought up to date with a small heap
-    before the merge goes on there, so each word sees its merges as if it were encoded alone: the lowest rank
-    first and, of equal ranks, the leftmost.
+                    made[left << 32 | right] = rank
+        self.made = made
+        self.pairs = np.array(sorted(made), np.int64)
+        self.ranks_of_pairs = np.array([made[p] for p in self.pairs.tolist()] or [0], np.int64)
+        self.single = np.array([ranks.get(bytes([b]), GONE) for b in range(256)], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token each pair makes, or -1."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.pairs, keys)
+        at[at == len(self.pairs)] = 0
+        found = self.ranks_of_pairs[at]
+        found[(self.pairs[at] != keys) | (left < 0) | (right < 0)] = GONE
+        return found
+
+
+def merged_alone(word: list[int], made: dict[int, int]) -> list[int]:
+    """Ids of one word from its bytes' ids: the lowest rank first and, of equal ranks, the leftmost."""
+    symbols = list(word)
+    while len(symbols) > 1:
+        ranks = [made.get(a << 32 | b, 1 << 60) for a, b in zip(symbols, symbols[1:], strict=False)]
+        best = min(ranks)
+        if best == 1 << 60:
+            break
+        at = ranks.index(best)
+        symbols[at : at + 2] = [best]
+    return symbols
+
+
+def replay(text: bytes, table: MergeTable) -> np.ndarray:
+    """Ids at their places for words with ``BORDER`` between them; -1 where a byte was merged and at borders.
+
+    ``text`` ends with a border. All places of a rank are merged at once, leftmost first where two overlap. If a
+    merge makes a pair of a lower rank than its own, its word needs that pair before its other places of the
+    present rank; such a word (none in vocabularies in training order) is encoded again on its own.
     """
-    made, single = table.made, table.single
-    symbols: list[int] = []
-    starts = []
-    for word in words:
-        starts.append(len(symbols))
-        symbols += [single[b] for b in word]
-        symbols.append(SEPARATOR)
-    n = len(symbols)
-    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}
-    for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
-        rank = made.get(pair)
-        if rank is not None:
-            index.setdefault(rank, []).append(i)
-    waiting = list(index)
-    heapify(waiting)
-
-    def merge(at: int, rank: int, urgent: list[tuple[int, int]], current: int) -> None:
-        right = following[at]
-        symbols[at] = rank
-        symbols[right] = SEPARATOR
-        after = following[right]
-        following[at] = after
-        before[after] = at
-        left = before[at]
-        for place, new in ((left, made.get((symbols[left], rank)) if left >= 0 else None), (at, made.get((rank, symbols[after])))):
-            if new is None:
-                continue
-            if new < current:
-                heappush(urgent, (new, place))
-            elif new in index:
-                index[new].append(place)
+    raw = np.frombuffer(text, np.uint8)
+    n = len(raw)
+    symbols = np.where(raw == BORDER, GONE, table.single[raw])
+    following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    again: list[np.ndarray] = []
+    index: dict[int, list[np.ndarray]] = {}
+    waiting: list[int] = []
+
+    def add(ranks: np.ndarray, places: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        firsts = [0, *cuts.tolist()]
+        for first, last, rank in zip(firsts, [*firsts[1:], len(ranks)], ranks[firsts].tolist(), strict=True):
+            held = index.get(rank)
+            if held is None:
+                index[rank] = [places[first:last]]
+                heappush(waiting, rank)
             else:
-                index[new] = [place]
-                heappush(waiting, new)
-
-    def makes(at: int, rank: int) -> bool:
-        return symbols[at] >= 0 and made.get((symbols[at], symbols[following[at]])) == rank
+                held.append(places[first:last])
 
+    if n > 1:
+        ranks = table.rank(symbols[:-1], symbols[1:])
+        places = np.flatnonzero(ranks >= 0)
+        if len(places):
+            add(ranks[places], places)
     while waiting:
-        current = heappop(waiting)
-        places = index.pop(current)
-        places.sort()
-        for at in places:
-            if makes(at, current):
-                urgent: list[tuple[int, int]] = []
-                merge(at, current, urgent, current)
-                while urgent:
-                    rank, place = heappop(urgent)
-                    if makes(place, rank):
-                        merge(place, rank, urgent, current)
-    found = []
-    for start in starts:
-        ids, at = [], start
-        while symbols[at] != SEPARATOR:
-            ids.append(symbols[at])
-            at = following[at]
-        found.append(ids)
-    return found
+        rank = heappop(waiting)
+        held = index.pop(rank)
+        at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+        right = following[at]
+        at = at[table.rank(symbols[at], symbols[right]) == rank]
+        if not len(at):
+            continue
+        right = following[at]
+        if len(at) > 1 and (right[:-1] == at[1:]).any():
+            kept, taken = [], -1
+            for i, r in zip(at.tolist(), right.tolist(), strict=True):
+                if i != taken:
+                    kept.append(i)
+                    taken = r
+            at = np.array(kept)
+            right = following[at]
+        after = following[right]
+        symbols[at], symbols[right] = rank, GONE
+        following[at], before[after] = after, at
+        left = before[at]
+        inner = left >= 0
+        places = np.concatenate([left[inner], at])
+        new = table.rank(symbols[places], symbols[following[places]])
+        made = new >= 0
+        if made.any():
+            new, places = new[made], places[made]
+            if (new < rank).any():
+                again.append(places[new < rank])
+            add(new, places)
+    if again:
+        borders = np.flatnonzero(raw == BORDER)
+        for k in np.unique(np.searchsorted(borders, np.concatenate(again))).tolist():
+            first, last = int(borders[k - 1]) + 1 if k else 0, int(borders[k])
+            ids = merged_alone(table.single[raw[first:last]].tolist(), table.made)
+            symbols[first:last] = GONE
+            symbols[first : first + len(ids)] = ids
+    return symbols
 
 
 class ReplayEncoder:
     def __init__(self, path: str) -> None:
         self.table = MergeTable(path)
         self.words = regex.compile(PATTERN).findall
-        self.cache = ChunkCache(self.chunks)
+        self.cache = ChunkCache(self.chunks, 300_000)
+
+    def laid_out(self, text: str) -> bytes:
+        if text[1:].isalpha() and text[0] == " ":
+            return text.encode("utf-8", "surrogatepass") + b"\xff"
+        return b"".join([word.encode("utf-8", "surrogatepass") + b"\xff" for word in self.words(text)])
 
     def replayed(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that are encoded alone, distinct words of all of them in blocks."""
-        split = [[word.encode("utf-8", "surrogatepass") for word in self.words(text)] for text in texts]
-        ids: dict[bytes, bytes] = {}
-        block, size = [], 0
-        ranks = self.table.ranks
+        """Ids of texts that are encoded alone."""
+        found: list[bytes] = []
+        block, sizes, held = [], [], 0
 
         def flush() -> None:
-            for word, numbers in zip(block, replay(block, self.table), strict=True):
-                ids[word] = np.array(numbers, "<u4").tobytes()
-
-        for word in {word for words in split for word in words}:
-            whole = ranks.get(word)
-            if whole is not None:
-                ids[word] = np.array([whole], "<u4").tobytes()
-                continue
-            block.append(word)
-            size += len(word) + 1
-            if size >= BLOCK_SYMBOLS:
+            symbols = replay(b"".join(block), self.table)
+            kept = np.concatenate(([0], np.cumsum(symbols >= 0)))
+            ids = symbols[symbols >= 0].astype("<u4").tobytes()
+            ends = (4 * kept[np.cumsum(sizes)]).tolist()
+            found.extend(ids[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+        for text in texts:
+            words = self.laid_out(text)
+            block.append(words)
+            sizes.append(len(words))
+            held += len(words)
+            if held >= BLOCK_BYTES:
                 flush()
-                block, size = [], 0
-        flush()
-        return [b"".join([ids[word] for word in words]) for words in split]
+                block, sizes, held = [], [], 0
+        if block:
+            flush()
+        return found
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         return self.replayed([" " + chunk for chunk in chunks])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return encode_texts(texts, self.cache, lambda text: self.replayed([text])[0])
+        return encode_texts(texts, self.cache, self.replayed)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.tokens.__getitem__, ids.tolist()))
@@ -171,7 +206,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), "<i4")))
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], ["doc_id", "ids"])
 
-    return map_steps(id_and_text(docs), work, "doc_id long, ids array<int>")
+    return map_steps(id_and_text(docs), work, "doc_id long, ids array<int>", BLOCK_BYTES)
 
 
 def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
@@ -204,4 +239,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_steps(id_and_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_steps(id_and_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", BLOCK_BYTES)

@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +27,15 @@ from fleetlens.llm.library_tokens import byte_letters
 # The word pattern of the vocabulary for texts of letters and visible ASCII characters; fixed value.
 SIMPLE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 LONG_ENDINGS = ("'re", "'ve", "'ll")
-VISIBLE = frozenset(map(chr, (0x0A, *range(0x21, 0x7F))))
-PAIRS_KEPT = 1_000_000
+PLAIN = re.compile(r"(?:[\n\x21-\x7e]|[^\W\d_])*")
+PAIRS_KEPT = 500_000
+PREFIXES_KEPT = 400_000
+LONG_WORD = 40
+
+
+def endings(tokens: dict[str, int]) -> dict[str, int]:
+    """Every ending of a token, with the token's number if it is one itself, else -1."""
+    return {token[i:]: -1 for token in tokens for i in range(1, len(token))} | tokens
 
 
 class PrefixTable:
@@ -52,7 +61,7 @@ class PrefixTable:
             if token not in self.parts:
                 self.parts[token], self.rank[token] = pair, rank
         self.pair_rank = {pair: rank for rank, pair in reversed([*enumerate(self._pairs(model, vocabulary))])}
-        self.open: dict[str, int] = {}
+        self.opened: dict[str, int] = {}
         self.closed: dict[str, int] = {}
         for token, number in vocabulary.items():
             if number not in self.parts and len(token.removesuffix(self.mark) if self.mark else token) != 1:
@@ -60,14 +69,16 @@ class PrefixTable:
             if self.mark and token.endswith(self.mark):
                 self.closed[token.removesuffix(self.mark)] = number
             else:
-                self.open[token] = number
+                self.opened[token] = number
         if not self.mark:
-            self.closed = self.open
-        self.longest = max(map(len, [*self.open, *self.closed]))
+            self.closed = dict(self.opened)
+        self.opened_ends, self.closed_ends = endings(self.opened), endings(self.closed)
+        self.longest = max(map(len, [*self.opened, *self.closed]))
+        self.table: dict[str, tuple[int, int, tuple[int, ...]]] = {}
         self.fits_memo: dict[tuple[int, int], bool] = {}
         self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = ChunkCache(lambda chunks: [self.chunk(c) for c in chunks])
+        self.cache = ChunkCache(lambda chunks: [self.chunk(c) for c in chunks], 300_000)
 
     @staticmethod
     def _pairs(model: dict, vocabulary: dict[str, int]) -> list[tuple[int, int]]:
@@ -106,20 +117,64 @@ class PrefixTable:
             else:
                 right_until, right = right_rank, parts[right][0]
 
-    def word(self, word: str) -> list[int]:
-        """Counts of tokens of the word's prefixes of 1, 2, ... letters (byte-level), each as a word of its own."""
-        n, opened, closed, fits, longest = len(word), self.open, self.closed, self.fits, self.longest
-        last, count, ends = [-1] * (n + 1), [0] * (n + 1), []
+    def word(self, word: str) -> Sequence[int]:
+        """Counts of tokens of the word's prefixes of 1, 2, ... letters (byte-level), each as a word of its own.
+
+        The table is kept by prefix, so words with a common beginning share it. Of each prefix it has the last
+        token and the count without the mark, and the counts with the mark of all its prefixes.
+        """
+        if len(word) > LONG_WORD:
+            return self.long_word(word)
+        table = self.table
+        found = table.get(word)
+        if found is None:
+            if len(table) > PREFIXES_KEPT:
+                table.clear()
+            known = len(word) - 1
+            while known and word[:known] not in table:
+                known -= 1
+            ends = table[word[:known]][2] if known else ()
+            for end in range(known + 1, len(word) + 1):
+                prefix = word[:end]
+                last, count = self.last(prefix, self.opened_ends, table)
+                ends = (*ends, self.last(prefix, self.closed_ends, table)[1])
+                found = table[prefix] = (last, count, ends)
+        return found[2]
+
+    def last(self, prefix: str, endings: dict[str, int], table: dict[str, tuple]) -> tuple[int, int]:
+        """The last token of a prefix and the count of its tokens: of the tokens that end there, the one that fits."""
+        found, start = [], len(prefix) - 1
+        while start >= 0:
+            token = endings.get(prefix[start:])
+            if token is None:  # no token ends so
+                break
+            if token >= 0:
+                found.append((start, token))
+            start -= 1
+        memo = self.fits_memo
+        for start, token in reversed(found):
+            if not start:
+                return token, 1
+            left = table[prefix[:start]]
+            fits = memo.get((left[0], token))
+            if fits or (fits is None and left[0] >= 0 and self.fits(left[0], token)):
+                return token, left[1] + 1
+        return -1, 0
+
+    def long_word(self, word: str) -> list[int]:
+        """``word`` with the table in arrays, for words too long to keep by prefix."""
+        n, lasts, counts, ends = len(word), [-1], [0], []
         for end in range(1, n + 1):
-            for table in (closed, opened):
-                for start in range(max(0, end - longest), end):
-                    token = table.get(word[start:end])
-                    if token is not None and (not start or (last[start] >= 0 and fits(last[start], token))):
-                        if table is closed:
-                            ends.append(count[start] + 1)
-                        if table is opened:
-                            last[end], count[end] = token, count[start] + 1
+            for tokens in (self.closed, self.opened):
+                for start in range(max(0, end - self.longest), end):
+                    token = tokens.get(word[start:end])
+                    if token is not None and (not start or (lasts[start] >= 0 and self.fits(lasts[start], token))):
+                        (ends if tokens is self.closed else lasts).append(counts[start] + 1 if tokens is self.closed else token)
+                        if tokens is self.opened:
+                            counts.append(counts[start] + 1)
                         break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
         return ends
 
     def piece(self, text: str) -> list[int]:
@@ -128,11 +183,13 @@ class PrefixTable:
             mark = self.word("'")[-1]
             return [mark, mark + self.word(text[1])[-1], self.word(text)[-1]]
         if text.isascii():
-            return self.word(text)
-        raw = text.encode()
-        counts = self.word(raw.decode("latin-1").translate(self.letters))
-        ends = np.cumsum([len(c.encode()) for c in text]) - 1
-        return [counts[i] for i in ends]
+            return list(self.word(text))
+        counts = self.word(text.encode().decode("latin-1").translate(self.letters))
+        found, end = [], -1
+        for c in text:
+            end += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+            found.append(counts[end])
+        return found
 
     def total(self, text: str) -> int:
         """Tokens of a text without special strings, words found by the library."""
@@ -141,10 +198,12 @@ class PrefixTable:
 
     def chunk(self, chunk: str) -> bytes:
         """Counts at the prefixes of a space and the chunk after it, as 32-bit numbers."""
-        counts = [0]
         lower = chunk.lower()
+        if chunk.isascii() and chunk.isalpha():
+            return array("i", (0, *self.word(lower))).tobytes()
+        counts = [0]
         simple = len(lower) == len(chunk) and "Σ" not in chunk and (chunk.isascii() or unicodedata.is_normalized("NFC", chunk))
-        if simple and all(c in VISIBLE or c.isalpha() for c in (chunk if chunk.isascii() else chunk + lower)):
+        if simple and self.plain(chunk) and (chunk.isascii() or self.plain(lower)):
             at = base = 0
             for match in SIMPLE.finditer(lower):
                 counts += [base] * (match.start() - at)  # line ends between words
@@ -154,13 +213,18 @@ class PrefixTable:
             counts += [base] * (len(lower) - at)
         else:
             counts += [self.total(chunk[:i]) for i in range(1, len(chunk) + 1)]
-        return np.array(counts, "<i4").tobytes()
+        return array("i", counts).tobytes()
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Letters, visible ASCII characters and line ends only (digits beyond ASCII count as letters for ``re``)."""
+        return PLAIN.fullmatch(text) is not None and (text.isascii() or all(c < "\x7f" or c.isalpha() for c in text))
 
     def prefixes(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the tokens of its first 0, 1, 2, ... characters."""
         plain = [t for t in texts if not any(s in t for s in self.special)]
         # A chunk's counts begin at 0 where the chunk's space stands; a head has no space before it.
-        tables = iter(encode_texts(plain, self.cache, lambda head: self.chunk(head)[4:]))
+        tables = iter(encode_texts(plain, self.cache, lambda heads: [self.chunk(head)[4:] for head in heads]))
         return [self.summed(next(tables)) if not any(s in t for s in self.special) else self.cut_by_special(t) for t in texts]
 
     @staticmethod
@@ -187,7 +251,7 @@ class PrefixTable:
         return found
 
     def prefixes_plain(self, text: str) -> np.ndarray:
-        return self.summed(encode_texts([text], self.cache, lambda head: self.chunk(head)[4:])[0])
+        return self.summed(encode_texts([text], self.cache, lambda heads: [self.chunk(head)[4:] for head in heads])[0])
 
 
 @lru_cache(maxsize=2)

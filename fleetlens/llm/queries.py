@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import importance, merge_replay, packing, quality_rules, token_counts, token_files
+from fleetlens.llm import importance, merge_replay, packing, private_data, quality_rules, token_counts, token_files
 from fleetlens.llm.common import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return private_data.found(docs, private_data.trained(docs)).drop("redacted")
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_replay.round_trip(documents(spark, sf_dir), BYTE_RANKS)

@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import importance, merge_replay, packing, private_data, quality_rules, token_counts, token_files
+from fleetlens.llm import (
+    importance,
+    merge_replay,
+    packing,
+    private_data,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    token_files,
+)
 from fleetlens.llm.common import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +41,11 @@ def op1_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.found(docs, private_data.trained(docs)).drop("redacted")
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(documents(spark, sf_dir)).drop("kept")
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_replay.round_trip(documents(spark, sf_dir), BYTE_RANKS)

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.llm import (
     importance,
     merge_replay,
+    near_duplicates,
     packing,
     private_data,
     quality_rules,
     substring_dedup,
     token_counts,
     token_files,
+    vector_links,
 )
 from fleetlens.llm.common import work_path
 
@@ -58,6 +60,11 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_checksums(token_files.read_token_files(spark, path))
 
 
+@query
+def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), BYTE_BPE).drop("ids")
@@ -69,6 +76,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rated(docs, quality_rules.language_references(docs))
 
 
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.deduplicated(documents(spark, sf_dir))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir), WORD_BPE, 2048)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Text that one step of a task holds at a time, in bytes; a longer single text is a step of its own.
@@ -42,6 +42,24 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def rest(docs: DataFrame, carry: bool) -> list[Column]:
+    """With ``carry``, all columns but the text as one struct ``rest``, so that no name can clash."""
+    return [F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")] if carry else []
+
+
+def carried(docs: DataFrame, names: list[str], schema: str, carry: bool) -> tuple[list[str], str]:
+    """Names and schema of a result, with ``rest`` after its own columns where it is carried."""
+    if not carry:
+        return names, schema
+    return [*names, "rest"], f"{schema}, rest {docs.select(*rest(docs, True)).schema['rest'].dataType.simpleString()}"
+
+
+def as_documents(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` again from a result that carried them, with the text (and its length) in ``text``."""
+    changed = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return rows.select(*[changed.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
+
+
 def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices of about ``limit`` bytes of text."""
     for batch in batches:

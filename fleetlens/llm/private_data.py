@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import boosting
-from fleetlens.llm.common import id_and_text, map_steps
+from fleetlens.llm.common import carried, id_and_text, map_steps, rest
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -252,12 +252,14 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def found(docs: DataFrame, rater: Rater) -> DataFrame:
+def found(docs: DataFrame, rater: Rater, *, carry: bool = False) -> DataFrame:
     """One row per document: counts of strict spans, ``base_sha256``, ``spans`` of both sources and the redacted text.
 
     A null text is an empty one and has no spans. Rows are kept as they are, with repeated and null ids; an empty
-    table gives no rows; other columns are not read. Texts are handled one by one, without a shuffle.
+    table gives no rows; other columns are not read, unless ``carry`` asks for them as ``rest``. Texts are handled
+    one by one, without a shuffle.
     """
+    names, schema = carried(docs, NAMES, SCHEMA, carry)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -271,9 +273,10 @@ def found(docs: DataFrame, rater: Rater) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [[]] * 8
         kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.string())
         arrays = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays], NAMES)
+        more = [batch.column("rest")] if carry else []
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays, *more], names)
 
-    return map_steps(id_and_text(docs), work, SCHEMA)
+    return map_steps(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *rest(docs, carry)), work, schema)
 
 
 SCHEMA = (

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import map_steps, steps, stored, word_offsets
+from fleetlens.llm.common import carried, map_steps, rest, steps, stored, word_offsets
 
 CLASSES = ("space", "lower", "upper", "letter", "digit", "symbol", "mark", "other")
 SPACE, LOWER, UPPER, LETTER, DIGIT, SYMBOL, MARK, OTHER = range(len(CLASSES))
@@ -124,9 +124,9 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, starts
 
 
-def with_language(docs: DataFrame) -> DataFrame:
+def with_language(docs: DataFrame, carry: bool = False) -> DataFrame:
     lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"), *rest(docs, carry))
 
 
 def language_references(docs: DataFrame, limits: Limits = Limits()) -> References:
@@ -186,13 +186,14 @@ def language_references(docs: DataFrame, limits: Limits = Limits()) -> Reference
     return References(classes, words, totals)
 
 
-def rated(docs: DataFrame, references: References, limits: Limits = Limits()) -> DataFrame:
+def rated(docs: DataFrame, references: References, limits: Limits = Limits(), *, carry: bool = False) -> DataFrame:
     """Base counts, both distances and the verdict ``kept`` of each whole text.
 
     A null text has no words and fails; a null language is the language ``""``; a language without a reference
     of enough words is not judged by distance. Rows are kept as they are, repeated ids too; an empty table gives
-    no rows; other columns are not read.
+    no rows; other columns are not read, unless ``carry`` asks for the text and, as ``rest``, all others.
     """
+    out, schema = carried(docs, NAMES, SCHEMA, carry)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")
@@ -235,9 +236,11 @@ def rated(docs: DataFrame, references: References, limits: Limits = Limits()) ->
             far_class,
             far_word,
         ]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, columns)], NAMES)
+        more = [batch.column("rest"), texts] if carry else []
+        arrays = [batch.column("doc_id").cast(pa.int64()), *map(pa.array, columns), *more]
+        return pa.RecordBatch.from_arrays(arrays, [*out, "text"] if carry else out)
 
-    return map_steps(with_language(docs), work, SCHEMA)
+    return map_steps(with_language(docs, carry), work, schema + ", text string" if carry else schema)
 
 
 SCHEMA = (

@@ -19,21 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import hashed_words, map_steps, mixed, run_hashes
+from fleetlens.llm.common import carried, hashed_words, map_steps, mixed, rest, run_hashes
 
 KEY = ["k1", "k2"]
 WORDS = re.compile(r"[^ \t-\r]+")
 GRAM = 8
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Texts under a key of 96 bits made from id and text, dealt out by it.
 
     Rows with equal id and text share a key and get equal results; each still counts as an occurrence.
     """
     text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select("doc_id", text)
-    rows = rows.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("k1"), F.hash("text", "doc_id").alias("k2"))
+    rows = docs.select("doc_id", text, *rest(docs, carry))
+    rows = rows.withColumns({"k1": F.xxhash64("text", "doc_id"), "k2": F.hash("text", "doc_id")})
     return rows.repartition(*KEY)
 
 
@@ -178,18 +178,23 @@ def kept_words(text: str, ranges: list[dict] | None, length: int) -> tuple[int,
     return len(words), [w for w, gone in zip(words, covered, strict=True) if not gone]
 
 
-def deduplicated(docs: DataFrame, *, length: int = 35, gram: int = GRAM) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_removed, kept_sha256, kept`` (the words left, one space between).
+def deduplicated(docs: DataFrame, *, length: int = 35, gram: int = GRAM, carry: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_removed, kept_sha256`` (of the words left, one space between), ``kept``.
+
+    ``kept`` is the text as it is where nothing goes, else the words left with one space between.
 
     Every word is removed that a window of ``length`` words covers whose words also begin elsewhere, in another or
     the same document; windows are judged on the input. A null text has no words; texts of fewer words than a
     window lose none. Rows are kept as they are: equal rows are copies of each other and lose their windows, null
-    ids are as good as others. An empty table gives no rows; other columns are not read.
+    ids are as good as others. An empty table gives no rows; other columns are not read, unless ``carry`` asks for them as ``rest``.
 
     Equality is by 64-bit hashes of windows, whose anchors of another hash are equal too. What repeats is counted
     before it is shuffled, and joins on anchors, blocks and windows are plain joins that Spark splits where a key is hot.
     """
-    texts = keyed(docs)
+    texts = keyed(docs, carry)
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    names, schema = carried(docs, names, schema, carry)
     ranges = repeated_ranges(texts, length, gram)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,12 +203,13 @@ def deduplicated(docs: DataFrame, *, length: int = 35, gram: int = GRAM) -> Data
         for text, found in zip(batch.column("text").to_pylist(), spans, strict=True):
             n, words = kept_words(text, found, length)
             kept = " ".join(words)
-            rows.append((n, n - len(words), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
+            digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
+            rows.append((n, n - len(words), digest, text if n == len(words) else kept))
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         arrays = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays], names)
+        more = [batch.column("rest")] if carry else []
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays, *more], names)
 
-    joined = texts.join(ranges, KEY, "left").select("doc_id", "text", "ranges")
-    return map_steps(joined, work, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    joined = texts.join(ranges, KEY, "left").select("doc_id", "text", "ranges", *["rest"] * carry)
+    return map_steps(joined, work, schema)

@@ -19,6 +19,8 @@ HEADLINE = (
     "presence_all_sensors",
     "presence_top15",
     "drilldown_model",
+    "drilldown_ranged",
+    "whole_report",
     "location_counts",
     "title_top20",
     "health_summary",

@@ -19,7 +19,8 @@ def health_category(score: str | Column) -> Column:
 
 
 def percentage(part: Column, whole: Column) -> Column:
-    return F.try_divide(part, whole) * 100.0
+    """Multiplied before it is divided: 7 of 100 is 7, so that a threshold of 7 is not passed."""
+    return F.try_divide(part * 100.0, whole)
 
 
 def percent_change(current: Column, previous: Column) -> Column:

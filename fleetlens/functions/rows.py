@@ -16,22 +16,3 @@ def latest_per(df: DataFrame, keys: Sequence[str], time: str, carry: Sequence[st
     """
     newest = F.max(F.struct(time, *carry)).alias("newest")
     return df.groupBy(*keys).agg(newest).select(*keys, *[f"newest.{c}" for c in (time, *carry)])
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark estimates the frame below its broadcast threshold, so that its planner broadcasts it.
-
-    The estimate comes from file sizes and treats filters as if they kept everything.
-    """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
-
-
-def of_machines(facts: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Drops rows of machines outside the cohort early, if the cohort is small enough to broadcast.
-
-    Beyond that size the facts are returned as they are: the semi join would shuffle every raw
-    row by machine, while the join that follows anyway gets rows already reduced per machine.
-    """
-    machines = cohort.select("wguid")
-    return facts.join(machines, "wguid", "left_semi") if fits_broadcast(machines) else facts

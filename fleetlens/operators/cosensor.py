@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 PAIR_KEYS = ("wguid", "sensorsystemid", "resulttime")
 
 
+def pair_sides(pair: str) -> tuple[str, str]:
+    """The two sensors of a name written ``A:B``."""
+    names = pair.split(":")
+    if len(names) != 2 or names[0] == names[1] or "" in names:
+        raise ValueError(f"a pair names two different sensors as 'A:B', not {pair!r}")
+    return names[0], names[1]
+
+
 def _sides(pairs: Sequence[str]) -> Column:
     """A constant map: sensor -> its ``(pair, side)`` entries among the wanted pairs (side 1 or 2)."""
     entries: dict[str, list[Column]] = {}
     for pair in dict.fromkeys(pairs):
-        names = sorted(pair.split(":"))
-        written = F.lit(":".join(names)).alias("pair")
-        for side, name in enumerate(names, start=1):
-            entries.setdefault(name, []).append(F.struct(written, F.lit(side).alias("side")))
+        for side, name in enumerate(pair_sides(pair), start=1):
+            entries.setdefault(name, []).append(F.struct(F.lit(pair).alias("pair"), F.lit(side).alias("side")))
     cells = [cell for name, sides in entries.items() for cell in (F.lit(name), F.array(*sides))]
     return F.create_map(*cells)
 
@@ -25,6 +31,8 @@ def _sides(pairs: Sequence[str]) -> Column:
 def cosensor_results(results: DataFrame, pairs: Sequence[str], *, keys: Sequence[str] = PAIR_KEYS) -> DataFrame:
     """One row ``(keys..., sensor="A:B")`` wherever both sensors of a wanted pair share the keys.
 
+    A pair is returned as it is written, also if it is wanted in both orders.
+
     A row only stands for the pairs that were asked for, and a group is reduced to one bit per
     side before the shuffle. No group's combinations are listed, however many rows it has.
     """

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions import HEALTH_CATEGORIES, day_start, health_category, in_range, moment, of_machines
+from fleetlens.functions import HEALTH_CATEGORIES, day_start, health_category, in_range, moment
 from fleetlens.functions.times import Moment
 from fleetlens.sources.tables import Fleet
 
 WINDOWS = (7, 30)
 
 
-def machine_health(fleet: Fleet, cohort: DataFrame, as_of: Moment) -> DataFrame:
-    """Mean score category of (at least) the cohort's machines: ``(wguid, category_7, category_30)``.
+def machine_health(fleet: Fleet, as_of: Moment) -> DataFrame:
+    """Mean score category of the machines: ``(wguid, category_7, category_30)``.
 
     Both windows come from one scan. The scan keeps whole days; the windows start at the time of ``as_of``.
     """
     facts = in_range(fleet["health_daily"], "vwtime", day_start(as_of, -30), day_start(as_of, 1))
-    facts = of_machines(facts.filter(F.col("activestatus") == 1), cohort)
+    facts = facts.filter(F.col("activestatus") == 1)
     kind = facts.schema["vwtime"].dataType
     clock = moment(as_of) - day_start(as_of)
     means = []
@@ -35,7 +35,7 @@ def health_summary(fleet: Fleet, cohort: DataFrame, as_of: Moment) -> DataFrame:
     The machines themselves are in ``health_members``, as rows: a set of all machines in one cell
     would have to be built by one task.
     """
-    scored = cohort.select("sensor", "wguid").join(machine_health(fleet, cohort, as_of), "wguid", "left")
+    scored = cohort.select("sensor", "wguid").join(machine_health(fleet, as_of), "wguid", "left")
     counts, cells = [], []
     for days in WINDOWS:
         for rank, (name, _) in enumerate(HEALTH_CATEGORIES, start=1):
@@ -54,7 +54,7 @@ def health_summary(fleet: Fleet, cohort: DataFrame, as_of: Moment) -> DataFrame:
 
 def health_members(fleet: Fleet, cohort: DataFrame, as_of: Moment) -> DataFrame:
     """The machines behind ``health_summary``: ``(sensor, days, health_score, wguid)``."""
-    scored = cohort.select("sensor", "wguid").join(machine_health(fleet, cohort, as_of), "wguid")
+    scored = cohort.select("sensor", "wguid").join(machine_health(fleet, as_of), "wguid")
     windows = F.array(
         *[
             F.struct(F.lit(days).alias("days"), F.col(f"category_{days}").alias("health_score"))
@@ -67,6 +67,7 @@ def health_members(fleet: Fleet, cohort: DataFrame, as_of: Moment) -> DataFrame:
 
 def health_window_compare(summary: DataFrame) -> DataFrame:
     """Both windows stacked for display: type, label, value."""
+    # The labels of the display.
     kind = F.when(F.col("days") == 7, F.lit("Last 7 Days")).otherwise(F.lit("Last 30 days"))
     return summary.select(
         "sensor",

@@ -14,12 +14,10 @@ from pyspark.sql.types import StringType
 
 from fleetlens.functions import (
     day_start,
-    fits_broadcast,
     in_range,
     joined_label,
     latest_per,
     moment,
-    of_machines,
     percentage,
     short_label,
 )
@@ -29,7 +27,6 @@ from fleetlens.sources.tables import Fleet
 COMMON = 50.0
 RARE = 5.0
 _DAY, _LATE = "_day", "_late"
-SALTS = 8
 
 
 def has_own_range(cohort: DataFrame) -> bool:
@@ -53,18 +50,10 @@ def _machine_counts(facts: DataFrame, by: Sequence[str], keys: Sequence[str], mo
 def _join_own_ranges(daily: DataFrame, cohort: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Daily rows of the cohort's machines inside the range of each sensor of the machine.
 
-    What follows groups by sensor, machine and key. With a cohort too large to broadcast, machine
-    and salt are the join keys and the group reuses their partitioning; the salt, taken from the
-    keys, spreads the rows of one machine over several tasks.
+    What follows groups by sensor, machine and key. The rows are dealt out by these here, so that the join
+    is not bound to the partitioning of the group, and AQE can split a machine that holds much of the facts.
     """
-    if fits_broadcast(cohort):
-        joined = daily.join(cohort, "wguid").withColumn("_salt", F.lit(0))
-    else:
-        salts = F.array(*[F.lit(i) for i in range(SALTS)])
-        spread = cohort.select("*", F.explode(salts).alias("_salt"))
-        salted = daily.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-        joined = salted.join(spread, ["wguid", "_salt"])
-    return joined.filter(_inside_own_range())
+    return daily.join(cohort, "wguid").filter(_inside_own_range()).repartition("sensor", "wguid", *keys)
 
 
 def _day_columns(time: str) -> tuple[Column, Column]:
@@ -108,15 +97,15 @@ def presence_pct(
     if "sensor" in facts.columns:  # already joined with the cohort
         counts = _machine_counts(facts, ["sensor", *within], keys, mode)
     elif has_own_range(cohort) and time is not None:
-        days = of_machines(facts, cohort).select("*", *_day_columns(time))
+        days = facts.select("*", *_day_columns(time))
         daily = _machine_counts(days, [*within, _DAY, _LATE], keys, mode)
         ranged = _join_own_ranges(daily, cohort, [*keys, "is_total"])
         once = F.col("is_total") | F.lit(mode == "machines")
         n = F.when(F.max(once), F.lit(1).cast("long")).otherwise(F.sum("n")).alias("n")
-        counts = ranged.groupBy("sensor", *within, "wguid", "_salt", *keys, "is_total").agg(n)
+        counts = ranged.groupBy("sensor", *within, "wguid", *keys, "is_total").agg(n)
     else:
         # The next shuffle is by key, so AQE is free to split a machine's partition of this join.
-        counts = _machine_counts(of_machines(facts, cohort), within, keys, mode)
+        counts = _machine_counts(facts, within, keys, mode)
         counts = counts.join(cohort.select("sensor", "wguid"), "wguid")
     group = ["sensor", *within]
     sums = counts.groupBy(*group, *keys, "is_total").agg(F.sum("n").alias("n"))
@@ -132,13 +121,12 @@ def _latest_in_range(
     facts: DataFrame, cohort: DataFrame, key: str, time: str, range_time: str, carry: Sequence[str]
 ) -> DataFrame:
     """Newest row per machine and key. With per-sensor ranges: per sensor, among the rows in its range."""
-    facts = of_machines(facts, cohort)
     if not has_own_range(cohort):
         return latest_per(facts, ["wguid", key], time, carry)
     days = facts.select("*", *_day_columns(range_time))
     daily = latest_per(days, ["wguid", key, _DAY, _LATE], time, carry)
     ranged = _join_own_ranges(daily, cohort, [key])
-    return latest_per(ranged, ["sensor", "wguid", "_salt", key], time, carry).drop("_salt")
+    return latest_per(ranged, ["sensor", "wguid", key], time, carry)
 
 
 def patch_presence(
@@ -210,15 +198,12 @@ def app_fault_presence(
     as_of: Moment,
     *,
     threshold: float = RARE,
-    same_length: bool = True,
 ) -> DataFrame:
     """Newest fault of every application per machine, over the last 7 and 30 days: column ``days``.
 
-    The newest fault is chosen first and then tested against the 7 days. With ``same_length`` the
-    30-day list keeps as many entries as the sensor's 7-day list, the highest percentages first.
+    The newest fault is chosen first and then tested against the 7 days.
     """
     facts = in_range(fleet["app_faults"], "vwtime", day_start(as_of, -30), day_start(as_of, 1))
-    facts = of_machines(facts, cohort)
     # NULL in name or version makes a NULL label, which is then counted as one blank.
     label = F.concat(F.col("appname"), F.lit(" "), F.col("appver")).alias("app")
     latest = latest_per(facts.select("wguid", "appname", "vwtime", label), ["wguid", "appname"], "vwtime", ["app"])
@@ -226,13 +211,15 @@ def app_fault_presence(
     recent = F.col("vwtime") >= week.cast(facts.schema["vwtime"].dataType)
     windows = F.array_compact(F.array(F.lit(30), F.when(recent, F.lit(7))))
     stacked = latest.select("wguid", "app", F.explode(windows).alias("days"))
-    rated = presence_pct(stacked, cohort, ["app"], threshold=threshold, within=["days"])
-    if not same_length:
-        return rated
-    # A listed entry takes more than ``threshold`` percent of the machines, so a sensor has few.
+    return presence_pct(stacked, cohort, ["app"], threshold=threshold, within=["days"])
+
+
+def same_length_faults(faults: DataFrame) -> DataFrame:
+    """For display: the 30-day list with as many entries as the sensor's 7-day list, the highest percentages first."""
+    # A listed entry takes more than the threshold's percent of the machines, so a sensor has few.
     best = Window.partitionBy("sensor", "days").orderBy(F.desc("system_percentage"), "app")
     weekly = F.count_if(F.col("days") == 7).over(Window.partitionBy("sensor"))
-    ranked = rated.withColumn("position", F.row_number().over(best)).withColumn("weekly", weekly)
+    ranked = faults.withColumn("position", F.row_number().over(best)).withColumn("weekly", weekly)
     return ranked.filter(F.col("position") <= F.col("weekly")).drop("position", "weekly")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions import city_label, host_part, of_machines
+from fleetlens.functions import city_label, host_part
 from fleetlens.sources.tables import Fleet
 
 
@@ -22,9 +22,8 @@ def _weighted(machines: DataFrame, cohort: DataFrame, label: str) -> DataFrame:
     return joined.groupBy("sensor", label).agg(F.sum("n").alias("count"))
 
 
-def _hosts(fleet: Fleet, cohort: DataFrame, *columns: str) -> DataFrame:
-    config = of_machines(fleet["system_config"], cohort)
-    config = config.select("wguid", host_part("systemid").alias("hostname"), *columns)
+def _hosts(fleet: Fleet, *columns: str) -> DataFrame:
+    config = fleet["system_config"].select("wguid", host_part("systemid").alias("hostname"), *columns)
     return config.groupBy("wguid", "hostname", *columns).agg(F.count(F.lit(1)).alias("n_hosts"))
 
 
@@ -46,12 +45,12 @@ def _product(hosts: DataFrame, assets: DataFrame) -> DataFrame:
 def manufacture_year_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     """Asset rows per purchase year."""
     assets = _assets(fleet, F.year("invoicedt").alias("year"))
-    return _weighted(_product(_hosts(fleet, cohort), assets), cohort, "year")
+    return _weighted(_product(_hosts(fleet), assets), cohort, "year")
 
 
 def model_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     """Asset rows per machine model."""
-    return _weighted(_product(_hosts(fleet, cohort, "model"), _assets(fleet)), cohort, "model")
+    return _weighted(_product(_hosts(fleet, "model"), _assets(fleet)), cohort, "model")
 
 
 def location_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
@@ -62,13 +61,13 @@ def location_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     located = assets.agg(F.count(F.lit(1)).alias("n_rows")).join(places, "loc_id")
     rows = F.sum(F.col("n_rows") * F.col("n_places")).alias("n_assets")
     per_host = located.groupBy("hostname", "location").agg(rows)
-    return _weighted(_product(_hosts(fleet, cohort), per_host), cohort, "location")
+    return _weighted(_product(_hosts(fleet), per_host), cohort, "location")
 
 
 def asset_info(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     """The asset rows of the cohort's machines, with model and location, per sensor."""
     machines = cohort.select("sensor", "wguid")
-    config = of_machines(fleet["system_config"], machines).select(
+    config = fleet["system_config"].select(
         "wguid", "manufacturer", "model", host_part("systemid").alias("hostname")
     )
     assets = fleet["assets"].select("hostname", "invoicedt", "assetlocation")
@@ -91,7 +90,7 @@ def job_title_counts(fleet: Fleet, cohort: DataFrame) -> DataFrame:
     """Rows per job title of users whose machine is in the directory."""
     listed = fleet["directory_computers"].groupBy(F.col("name").alias("systemid"))
     listed = listed.agg(F.count(F.lit(1)).alias("n_listed"))
-    users = of_machines(fleet["users"], cohort).groupBy("wguid", "systemid", "jobtitle")
+    users = fleet["users"].groupBy("wguid", "systemid", "jobtitle")
     users = users.agg(F.count(F.lit(1)).alias("n_users"))
     joined = users.join(listed, "systemid").withColumn("n", F.col("n_users") * F.col("n_listed"))
     return _weighted(joined, cohort, "jobtitle")
@@ -122,11 +121,22 @@ def share_with_other(counts: DataFrame, label: str, threshold: float = 0.05, oth
     return parts.groupBy("sensor", F.col("part.label").alias("label")).agg(F.sum("part.value").alias("value"))
 
 
-def machines_with(assets: DataFrame, *, model: str | None = None, year: int | None = None) -> DataFrame:
-    """Sub-cohort ``(sensor, wguid)`` of asset rows with the model or the purchase year."""
-    rows = assets
+def machines_with(fleet: Fleet, cohort: DataFrame, *, model: str | None = None, year: int | None = None) -> DataFrame:
+    """The rows of the cohort, with all their columns, whose machine has the model or the purchase year.
+
+    Machines are chosen from hosts and assets alone; a machine without an asset row has neither.
+    """
+    config, assets = fleet["system_config"], fleet["assets"]
     if model is not None:
-        rows = rows.filter(F.col("model") == model)
+        config = config.filter(F.col("model") == model)
     if year is not None:
-        rows = rows.filter(F.year("invoicedt") == year)
-    return rows.select("sensor", "wguid").distinct()
+        assets = assets.filter(F.year("invoicedt") == year)
+    hosts = config.select("wguid", host_part("systemid").alias("hostname"))
+    chosen = hosts.join(assets.select("hostname"), "hostname", "left_semi").select("wguid").distinct()
+    return cohort.join(chosen, "wguid", "left_semi").select(*cohort.columns)
+
+
+def sorted_counts(counts: DataFrame, label: str) -> DataFrame:
+    """Counts per sensor, the largest first, ties by label."""
+    leading = [c for c in ("sensor",) if c in counts.columns and c != label]
+    return counts.orderBy(*leading, F.desc("count"), label)

@@ -18,8 +18,9 @@ MIN_POINTS = 14
 
 
 def daily_series(results: DataFrame, *, time: str = "resulttime", fill_gaps: bool = False) -> DataFrame:
-    """Result rows per sensor and day: ``(sensor, ds, y)``."""
-    series = results.groupBy("sensor", F.to_date(time).alias("ds")).agg(F.count(F.lit(1)).alias("y"))
+    """Result rows per sensor and day: ``(sensor, ds, y)``. Rows without a sensor or time are no series."""
+    known = results.filter(F.col("sensor").isNotNull() & F.col(time).isNotNull())
+    series = known.groupBy("sensor", F.to_date(time).alias("ds")).agg(F.count(F.lit(1)).alias("y"))
     return _with_all_days(series) if fill_gaps else series
 
 

@@ -1,7 +1,7 @@
 """The daily jobs: everything for all sensors, written to shared storage.
 
 Each step reads the tables an earlier step has written, not its plan: a lost executor repeats
-one step's tasks, and an interrupted run goes on with ``backfill``.
+one step's tasks. ``backfill`` runs what an interrupted ``daily_refresh`` has not completed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,14 @@ from fleetlens.functions.times import Moment
 from fleetlens.operators import anomaly, cohort
 from fleetlens.operators.enriched import enriched_daily_series
 from fleetlens.plans.reports import cohort_report
-from fleetlens.sinks import backfill_targets, read_dataset, write_csv, write_dataset
+from fleetlens.sinks import (
+    backfill_targets,
+    clear_complete,
+    mark_complete,
+    read_dataset,
+    write_csv,
+    write_dataset,
+)
 from fleetlens.sources.catalogue import catalogue_frame
 from fleetlens.sources.tables import Fleet
 
@@ -32,21 +39,31 @@ def _store(df: DataFrame, root: str, name: str, replace_all: bool = True) -> Dat
 def daily_refresh(
     fleet: Fleet, sensors: Sequence[str], root: str, as_of: Moment, *, replace_all: bool = True
 ) -> None:
-    """Writes the 30-day report of all sensors: results, timeline, all report datasets, silent sensors."""
+    """Writes the 30-day report of all sensors: results, timeline, all report datasets, silent sensors.
+
+    What says that a sensor is stored is written last, and taken back before an earlier run is replaced.
+    """
     start, end = day_start(as_of, -REPORT_DAYS).date(), day_start(as_of).date()
+    catalogue = catalogue_frame(fleet.spark, sensors)
+    if replace_all:
+        clear_complete(fleet.spark, root)
     results = _store(cohort.sensor_results(fleet, start, end, sensors), root, "results", replace_all)
     write_dataset(cohort.timeline(results), root, "timeline", replace_all=replace_all)
     machines = _store(cohort.cohort(results), root, "cohort", replace_all)
+    machines = machines.join(catalogue.select("sensor"), "sensor", "left_semi")
     for name, dataset in cohort_report(fleet, machines, start, end, as_of).items():
         write_dataset(dataset, root, name, replace_all=replace_all)
-    # Last, as its presence says that the run is complete.
-    silent = cohort.silent_sensors(catalogue_frame(fleet.spark, sensors), machines)
+    silent = cohort.silent_sensors(catalogue, machines)
     silent.write.mode("overwrite" if replace_all else "append").parquet(f"{root}/silent_sensors")
+    mark_complete(catalogue, root, replace_all=replace_all)
 
 
 def backfill(fleet: Fleet, sensors: Sequence[str], root: str, as_of: Moment) -> list[str]:
-    """Runs ``daily_refresh`` for the sensors that are not stored yet; returns their names."""
-    targets = backfill_targets(catalogue_frame(fleet.spark, sensors), root, "results")
+    """Runs ``daily_refresh`` for the sensors that no run has completed; returns their names.
+
+    Whatever an interrupted run has left of such a sensor is replaced.
+    """
+    targets = backfill_targets(catalogue_frame(fleet.spark, sensors), root)
     # Names of the catalogue, which the caller passed in; not data.
     missing = sorted(row.sensor for row in targets.collect())
     if missing:
@@ -57,17 +74,22 @@ def backfill(fleet: Fleet, sensors: Sequence[str], root: str, as_of: Moment) ->
 def anomaly_refresh(fleet: Fleet, sensors: Sequence[str], root: str, as_of: Moment) -> None:
     """Writes one year of series with anomalies, and the report of the anomalous days.
 
-    The anomalous days are also written as a CSV file with one column per sensor.
+    The anomalous days are also written as a CSV file with one column per sensor that has any, the comparison
+    of the last two weeks as ``snapshot`` and the last week's systems as the CSV file ``last_week``. A run that was
+    stopped has no ``complete_sensors``: run it again, every dataset is replaced.
     """
     start, end = day_start(as_of, -ANOMALY_DAYS).date(), day_start(as_of).date()
+    clear_complete(fleet.spark, root)
     series = enriched_daily_series(fleet, start, end, sensors)
     points = _store(anomaly.trend_anomalies(series), root, "points")
     days = anomaly.anomaly_days(points)
-    write_csv(anomaly.anomaly_days_wide(days).orderBy("position"), f"{root}/anomaly_days")
-    results = cohort.on_days(
-        cohort.sensor_results(fleet, start, end, sensors, pair_keys=("wguid", "resulttime")), days
-    )
-    results = _store(results, root, "results")
+    # At most the sensors that the caller named.
+    flagged = sorted(row.sensor for row in days.select("sensor").distinct().collect())
+    write_csv(anomaly.anomaly_days_wide(days, flagged).orderBy("position"), f"{root}/anomaly_days")
+    write_dataset(anomaly.anomaly_snapshot(points, as_of), root, "snapshot")
+    every = cohort.sensor_results(fleet, start, end, sensors, pair_keys=("wguid", "resulttime"))
+    results = _store(cohort.on_days(every, days), root, "results")
+    write_csv(cohort.system_ids(cohort.last_week(results, as_of)), f"{root}/last_week")
     write_dataset(cohort.timeline(results), root, "timeline")
     ranged = _store(anomaly.ranged_cohort(cohort.cohort(results), days), root, "cohort")
     earliest = day_start(as_of, -ANOMALY_DAYS - anomaly.LOOKBACK_DAYS).date()
@@ -75,3 +97,4 @@ def anomaly_refresh(fleet: Fleet, sensors: Sequence[str], root: str, as_of: Mome
         write_dataset(dataset, root, name)
     silent = days.select(F.col("sensor")).distinct()
     cohort.silent_sensors(silent, ranged).write.mode("overwrite").parquet(f"{root}/silent_sensors")
+    mark_complete(catalogue_frame(fleet.spark, sensors), root)

@@ -48,3 +48,29 @@ TABLES = tuple(_DDL)
 
 def schema(table: str) -> StructType:
     return StructType.fromDDL(_DDL[table])
+
+
+# Columns of the stored report datasets.
+_SHARE = "system_percentage double"
+REPORT_SCHEMAS = {
+    "results": "sensor string, wguid string, sensorsystemid string, resulttime timestamp, resultdate date",
+    "timeline": "sensor string, date date, count bigint",
+    "cohort": "sensor string, wguid string",
+    "patches": f"sensor string, patchname string, {_SHARE}",
+    "controllers": f"sensor string, controller string, {_SHARE}",
+    "software": f"sensor string, packagename string, version string, {_SHARE}",
+    "software_changes": f"sensor string, software string, newversion string, {_SHARE}",
+    "bios": f"sensor string, name string, date date, {_SHARE}",
+    "app_faults": f"sensor string, days int, app string, {_SHARE}",
+    "app_usage": f"sensor string, applicationname string, {_SHARE}",
+    "manufacture_years": "sensor string, year int, count bigint",
+    "models": "sensor string, model string, count bigint",
+    "locations": "sensor string, location string, count bigint",
+    "assets": (
+        "sensor string, wguid string, manufacturer string, model string, hostname string, invoicedt timestamp, "
+        "assetlocation string, loc_remark string, country string"
+    ),
+    "job_titles": "sensor string, jobtitle string, count bigint, rank int",
+    "health": "sensor string, days int, rank int, health_score string, machine_count bigint",
+    "health_members": "sensor string, days int, health_score string, wguid string",
+}

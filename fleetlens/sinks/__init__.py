@@ -1,10 +1,23 @@
 from fleetlens.sinks.datasets import (
     backfill_targets,
+    clear_complete,
+    mark_complete,
     publish_view,
     read_dataset,
+    read_report,
     settle,
     write_csv,
     write_dataset,
 )
 
-__all__ = ["backfill_targets", "publish_view", "read_dataset", "settle", "write_csv", "write_dataset"]
+__all__ = [
+    "backfill_targets",
+    "clear_complete",
+    "mark_complete",
+    "publish_view",
+    "read_dataset",
+    "read_report",
+    "settle",
+    "write_csv",
+    "write_dataset",
+]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from fleetlens.schemas import REPORT_SCHEMAS
+
+COMPLETE = "complete_sensors"
+
 
 def write_dataset(df: DataFrame, root: str, name: str, *, replace_all: bool = True) -> None:
     """Writes a dataset under ``root/name``, one Parquet partition per sensor.
@@ -38,19 +43,17 @@ def write_csv(df: DataFrame, path: str, *, time_format: str = "yyyy-MM-dd HH:mm:
     writer.option("timestampFormat", time_format).option("timestampNTZFormat", time_format).csv(path)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes a frame to the cluster's shared folder and reads it back.
+def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes a frame to a shared folder and reads it back.
 
-    For a cohort that several datasets use: its plan runs once, and Spark then knows its true size,
-    so that a small cohort can restrict the facts before they are shuffled. The folder is
-    ``spark.checkpoint.dir``; without it, only a local session gets a folder of its own.
+    For a cohort that several datasets use: its plan runs once, and Spark then knows its true size. ``folder``
+    belongs to the caller, who deletes it when the job is over; without it, the frame goes to
+    ``spark.checkpoint.dir``, which all executors have to share.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="fleetlens-")
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
     path = f"{folder}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,16 +65,34 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def backfill_targets(catalogue: DataFrame, root: str, name: str, silent: str = "silent_sensors") -> DataFrame:
-    """Sensors of the catalogue that an earlier run neither wrote to ``root/name`` nor noted as silent."""
-    spark = catalogue.sparkSession
-    missing = catalogue.select("sensor")
-    for dataset in (name, silent):
-        try:
-            done = spark.read.schema("sensor string").parquet(f"{root}/{dataset}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        missing = missing.join(done.distinct(), "sensor", "left_anti")
-    return missing
+def mark_complete(sensors: DataFrame, root: str, *, replace_all: bool = True) -> None:
+    """Notes that everything of these sensors is stored. Written last, one row per sensor."""
+    mode = "overwrite" if replace_all else "append"
+    sensors.select("sensor").distinct().coalesce(1).write.mode(mode).parquet(f"{root}/{COMPLETE}")
+
+
+def clear_complete(spark: SparkSession, root: str) -> None:
+    """Takes back the notes of an earlier run before its datasets are replaced."""
+    spark.createDataFrame([], "sensor string").write.mode("overwrite").parquet(f"{root}/{COMPLETE}")
+
+
+def backfill_targets(catalogue: DataFrame, root: str) -> DataFrame:
+    """Sensors of the catalogue that no run has completed under ``root``."""
+    try:
+        done = catalogue.sparkSession.read.schema("sensor string").parquet(f"{root}/{COMPLETE}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return catalogue.select("sensor")
+    return catalogue.select("sensor").join(done.distinct(), "sensor", "left_anti")
+
+
+def read_report(
+    spark: SparkSession, root: str, sensors: Sequence[str] | None = None, datasets: Sequence[str] | None = None
+) -> dict[str, DataFrame]:
+    """The stored datasets of a report, of the wanted sensors only; their schemas are declared, not inferred."""
+    found = {}
+    for name in datasets or REPORT_SCHEMAS:
+        df = read_dataset(spark, root, name, StructType.fromDDL(REPORT_SCHEMAS[name]))
+        found[name] = df if sensors is None else df.filter(F.col("sensor").isin(list(sensors)))
+    return found

@@ -46,6 +46,23 @@ class Fleet:
             return self.spark.read.schema(schema(table)).parquet(f"{self._root}/{table}")
         raise KeyError(f"table {table!r} is neither given as a frame nor covered by a database or root")
 
+    def restricted(self, machines: DataFrame) -> Fleet:
+        """The same tables with only the rows of the given machines, where a table names machines.
+
+        For cohorts that hold a small part of the fleet, which the caller knows: the semi join reaches the
+        scans, so that rows of other machines are not reduced first. With large cohorts it would shuffle every
+        raw row; leave it out there.
+        """
+        wanted = machines.select("wguid").distinct()
+
+        def part(table: str) -> Callable[[], DataFrame]:
+            return lambda: self[table].join(wanted, "wguid", "left_semi").select(*self[table].columns)
+
+        known = self._frames if self._frames and not (self._database or self._root) else TABLES
+        machine_tables = [t for t in known if t in TABLES and "wguid" in schema(t).fieldNames()]
+        others = {t: (lambda t=t: self[t]) for t in known if t not in machine_tables}
+        return Fleet(self.spark, frames={t: part(t) for t in machine_tables} | others)
+
     def sql(self, text: str) -> DataFrame:
         """A scan written as SQL over the session's catalogue; lazy like every other."""
         return self.spark.sql(text)

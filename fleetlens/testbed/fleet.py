@@ -11,6 +11,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.schemas import TABLES
 from fleetlens.sources.tables import Fleet
 
 DOMAIN = ".FLEET.EXAMPLE"
@@ -170,17 +171,11 @@ def order_fleet(fleet: Fleet) -> Fleet:
 
     They cover the years of the installed items; the events cover one later month.
     """
-    return Fleet(
-        fleet.spark,
-        frames={
-            "sensor_results_daily": lambda: fleet["derived_sensors"].select(
-                "wguid", "sensorname", "sensorsystemid", "resulttime"
-            ),
-            "patches": lambda: fleet["patches"],
-            "software_changes": lambda: fleet["software_changes"],
-            "app_usage": lambda: fleet["app_usage"],
-        },
+    frames = {name: (lambda name=name: fleet[name]) for name in TABLES}
+    frames["sensor_results_daily"] = lambda: fleet["derived_sensors"].select(
+        "wguid", "sensorname", "sensorsystemid", "resulttime"
     )
+    return Fleet(fleet.spark, frames=frames)
 
 
 def uploaded_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,7 +238,72 @@ _MATRIX = ", ".join(
     f"nullif(count(CASE WHEN sensor = '{e}' THEN 1 END), 0) AS \"{e}\"" for e in s.EVENT_TYPES
 )
 
+_WRITTEN = """
+  SELECT DISTINCT a.wguid, a.resultdate, a.sensor || ':' || b.sensor AS sensor
+  FROM severe a JOIN severe b ON a.wguid = b.wguid AND a.resultdate = b.resultdate
+  WHERE (a.sensor, b.sensor) IN (('view', 'click'), ('click', 'error'))"""
+_UPLOADED = "(SELECT DISTINCT 'uploaded' AS sensor, wguid FROM uploaded)"
+_UPLOADED_ASSETS = f"SELECT u.sensor, h.model, a.invoicedt FROM hosts h JOIN assets a USING (hostname) JOIN {_UPLOADED} u USING (wguid)"
+
+
+def _report(parts: dict[str, tuple[str, Sequence[str], str]]) -> str:
+    """Datasets as rows: name, sensor, the joined columns of a row, its number."""
+    rows = []
+    for name, (body, columns, number) in parts.items():
+        label = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in sorted(columns))
+        rows.append(
+            f"SELECT '{name}' AS dataset, sensor, {label} AS label, round(CAST(sum({number}) AS DOUBLE), 4) AS value "
+            f"FROM ({body}) GROUP BY ALL"
+        )
+    return " UNION ALL ".join(rows)
+
+
+_TITLES_CUT = f"""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY count DESC, jobtitle) AS place
+                 FROM ({_TITLES})) WHERE place <= 20"""
+_ASSET_COLUMNS = "wguid manufacturer model hostname invoicedt assetlocation loc_remark country".split()
+_WHOLE_REPORT = {
+    "patches": (_presence(_PATCHES, ["patchname"], 50), ["patchname"], "system_percentage"),
+    "controllers": (_presence(_CONTROLLERS, ["controller"], 50), ["controller"], "system_percentage"),
+    "software": (_presence(_RECENT_SOFTWARE, ["packagename", "version"], 50), ["packagename", "version"], "system_percentage"),
+    "software_changes": (_presence(_CHANGES, ["software", "newversion"], 50), ["software", "newversion"], "system_percentage"),
+    "bios": (_presence(_BIOS, ["name", "date"], s.LOW), ["name", "date"], "system_percentage"),
+    "app_faults": (_FAULTS, ["app", "days"], "system_percentage"),
+    "app_usage": (_presence(_USAGE, ["applicationname"], 50), ["applicationname"], "system_percentage"),
+    "manufacture_years": (_counts("year", "CAST(year(invoicedt) AS INTEGER)"), ["year"], "count"),
+    "models": (_counts("model", "model"), ["model"], "count"),
+    "locations": (_counts("location", _LOCATION), ["location"], "count"),
+    "assets": ("SELECT *, 1 AS n FROM asset_rows", _ASSET_COLUMNS, "n"),
+    "job_titles": (_TITLES_CUT, ["jobtitle"], "count"),
+    "health": (_HEALTH, ["days", "health_score"], "machine_count"),
+    "health_members": (
+        "SELECT c.sensor, h.days, h.health_score, h.wguid, 1 AS n FROM cohort c JOIN health h ON c.wguid = h.wguid "
+        "WHERE h.health_score IS NOT NULL",
+        ["days", "health_score", "wguid"],
+        "n",
+    ),
+}
+
 _QUERIES = {
+    "whole_report": _report(_WHOLE_REPORT),
+    "uploaded_report": _report(
+        {
+            "manufacture_years": (f"SELECT sensor, year(invoicedt) AS year, 1 AS n FROM ({_UPLOADED_ASSETS})", ["year"], "n"),
+            "models": (f"SELECT sensor, model, 1 AS n FROM ({_UPLOADED_ASSETS})", ["model"], "n"),
+            "bios": (_presence(_BIOS, ["name", "date"], s.LOW, cohort=_UPLOADED), ["name", "date"], "system_percentage"),
+        }
+    ),
+    "cosensor_as_written": _WRITTEN,
+    "sensor_breakdown_sorted": "SELECT sensor, count(*) AS count FROM uploaded_results GROUP BY sensor",
+    "presence_threshold_edge": _presence(_BIOS, ["name", "date"], 7),
+    "drilldown_ranged": _presence(
+        _ALL_PATCHES,
+        ["patchname"],
+        s.LOW,
+        cohort="(SELECT * FROM order_cohort WHERE wguid IN (SELECT h.wguid FROM hosts h JOIN assets a "
+        "ON a.hostname = h.hostname WHERE h.model = 'MACHINERY'))",
+        condition=_OWN_RANGE,
+    ),
     "sensor_timeline": _timeline("SELECT * FROM results"),
     "timeline_labels": f"""
         SELECT sensor, date, count, strftime(date, '%b %d %Y') AS label FROM ({_timeline("SELECT * FROM results")})""",

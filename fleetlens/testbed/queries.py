@@ -61,12 +61,15 @@ def order_points(orders: Fleet) -> DataFrame:
     return anomaly.sigma_anomalies(series, sigmas=s.ORDER_SIGMAS)
 
 
-def order_report(fleet: Fleet, build: Callable[..., DataFrame]) -> DataFrame:
-    orders = order_fleet(fleet)
+def order_cohort(orders: Fleet) -> DataFrame:
     days = anomaly.anomaly_days(order_points(orders))
     hit = cohort.on_days(cohort.daily_results(orders), days)
-    ranged = anomaly.ranged_cohort(cohort.cohort(hit), days)
-    return build(orders, ranged, threshold=s.LOW)
+    return anomaly.ranged_cohort(cohort.cohort(hit), days)
+
+
+def order_report(fleet: Fleet, build: Callable[..., DataFrame]) -> DataFrame:
+    orders = order_fleet(fleet)
+    return build(orders, order_cohort(orders), s.ORDERS_FROM, s.ORDERS_TO, threshold=s.LOW)
 
 
 # Timeline and cohort
@@ -108,6 +111,11 @@ def cosensor_timeline(fleet):
     return cohort.timeline(pairs)
 
 
+@query
+def cosensor_as_written(fleet):
+    return cosensor.cosensor_results(cohort.raw_results(fleet), s.WRITTEN_PAIRS, keys=["wguid", "resultdate"])
+
+
 @query
 def anomaly_day_cohort(fleet):
     days = anomaly.anomaly_days(event_points(fleet))
@@ -130,6 +138,19 @@ def machine_sensor_breakdown(fleet, spark, sf_dir):
     return cohort.sensor_breakdown(_uploaded_results(fleet, spark, sf_dir))
 
 
+@query_with_upload
+def sensor_breakdown_sorted(fleet, spark, sf_dir):
+    return profile.sorted_counts(cohort.sensor_breakdown(_uploaded_results(fleet, spark, sf_dir)), "sensor")
+
+
+@query_with_upload
+def uploaded_report(fleet, spark, sf_dir):
+    found = cohort.machine_lookup(fleet, uploaded_hosts(spark, sf_dir), by="host", domain=DOMAIN)
+    wanted = ("manufacture_years", "models", "bios")
+    bounds = (s.ITEMS_FROM, s.ITEMS_TO, s.AS_OF)
+    return reports.report_rows(reports.uploaded_report(fleet, found, "uploaded", *bounds, datasets=wanted))
+
+
 def _uploaded_results(fleet, spark, sf_dir):
     found = cohort.machine_lookup(fleet, uploaded_hosts(spark, sf_dir), by="host", domain=DOMAIN)
     return cohort.machine_results(fleet, found, s.MONTH_FROM, s.MONTH_TO, ["click", "error"])
@@ -200,12 +221,12 @@ def bios_presence(fleet):
 
 @query
 def app_fault_presence(fleet):
-    return presence.app_fault_presence(fleet, machines(fleet), s.AS_OF)
+    return presence.same_length_faults(presence.app_fault_presence(fleet, machines(fleet), s.AS_OF))
 
 
 @query
 def app_fault_presence_whole(fleet):
-    return presence.app_fault_presence(fleet, machines(fleet), s.AS_OF, same_length=False)
+    return presence.app_fault_presence(fleet, machines(fleet), s.AS_OF)
 
 
 @query
@@ -226,6 +247,11 @@ def presence_all_sensors(fleet):
     return presence.patch_presence(fleet, everywhere, threshold=0.0)
 
 
+@query
+def presence_threshold_edge(fleet):
+    return presence.bios_presence(fleet, machines(fleet), threshold=7.0)
+
+
 @query
 def presence_sorted(fleet):
     return presence.sorted_presence(presence.software_presence(fleet, machines(fleet), threshold=s.LOW))
@@ -245,7 +271,9 @@ def presence_top3(fleet):
 
 @query
 def fault_window_compare(fleet):
-    return presence.fault_window_compare(presence.app_fault_presence(fleet, machines(fleet), s.AS_OF))
+    return presence.fault_window_compare(
+        presence.same_length_faults(presence.app_fault_presence(fleet, machines(fleet), s.AS_OF))
+    )
 
 
 @query
@@ -258,6 +286,18 @@ def drilldown_year(fleet):
     return _drilldown(fleet, "controllers", year=1998)
 
 
+@query
+def drilldown_ranged(fleet):
+    orders = order_fleet(fleet)
+    part = profile.machines_with(orders, order_cohort(orders), model="MACHINERY")
+    return presence.patch_presence(orders.restricted(part), part, s.ORDERS_FROM, s.ORDERS_TO, threshold=s.LOW)
+
+
+@query
+def whole_report(fleet):
+    return reports.report_rows(reports.cohort_report(fleet, machines(fleet), s.ITEMS_FROM, s.ITEMS_TO, s.AS_OF))
+
+
 def _drilldown(fleet, dataset, **chosen):
     wanted = {"datasets": [dataset], **chosen}
     return reports.drilldown(fleet, machines(fleet), s.ITEMS_FROM, s.ITEMS_TO, s.AS_OF, **wanted)[dataset]

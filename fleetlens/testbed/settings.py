@@ -14,6 +14,9 @@ AS_OF = "2024-01-30 12:00:00"
 SNAPSHOT_AS_OF = "2024-01-28"
 ENRICHED_RANGE = ("1996-01-01", "2024-01-20")
 ENRICHED_SENSORS = ["error", "view", "signup", "1-URGENT", "5-LOW"]
+# Encloses the ranges of all derived sensors.
+ORDERS_FROM, ORDERS_TO = "1994-12-01", "2001-12-31"
+WRITTEN_PAIRS = ["view:click", "click:error"]
 COMPARED = (8, 46)
 LOW = 5.0
 EVENT_SIGMAS = 1.0

@@ -1,3 +1,5 @@
+import pytest
+
 from fleetlens.operators import cohort as c
 from fleetlens.operators.cosensor import cosensor_results
 from fleetlens.sources import catalogue_frame
@@ -59,6 +61,16 @@ def test_pairs(spark):
     assert rows(without_system) == [("other", "A:B"), ("three", "A:B"), ("two", "A:B")]
 
 
+def test_pairs_are_returned_as_written_and_checked(spark):
+    rows_in = [("m", "s", at("2024-01-02 05:00:00"), x) for x in "AB"]
+    results = spark.createDataFrame(rows_in, "wguid string, sensorsystemid string, resulttime timestamp, sensor string")
+    found = cosensor_results(results, ["B:A", "A:B"]).select("sensor")
+    assert rows(found) == [("A:B",), ("B:A",)]
+    for name in ("A:B:C", "C:C", "A", "A:"):
+        with pytest.raises(ValueError):
+            cosensor_results(results, [name])
+
+
 def test_single_and_pair_sensors_together(spark):
     moment = "2024-01-02 05:00:00"
     tables = fleet(

@@ -7,11 +7,12 @@ from datetime import date, datetime
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from fleetlens.testbed.oracle import oracle_sql
+from fleetlens.testbed.queries import REGISTRY
 
 SF_DIR = os.environ.get("FLEETLENS_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
-ORACLE = contract.oracle_sql()
+ORACLE = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -38,9 +39,9 @@ def table(names, rows):
     return sorted([tuple(plain(row[i]) for i in order) for row in rows], key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query(spark, duck, name):
-    df = contract.queries()[name](spark, SF_DIR)
+    df = REGISTRY[name](spark, SF_DIR)
     found = [tuple(row) for row in df.collect()]
     if name not in ORACLE:
         assert found and name.startswith("trend_anomalies")

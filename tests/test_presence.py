@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from fleetlens.functions import fits_broadcast, latest_per
+from fleetlens.functions import latest_per
 from fleetlens.operators import presence as p
 from fleetlens.sinks import settle
 from frames import at, cohort, day, fleet, rows
@@ -71,17 +71,18 @@ def test_fault_windows(spark):
         fault("c", "X", "9", "2024-01-31 00:00:01"),  # after the upper bound
     ]
     tables, machines = fleet(spark, app_faults=table), cohort(spark, ["a", "b", "c"])
-    whole = rows(p.app_fault_presence(tables, machines, "2024-01-30 12:00:00", same_length=False))
+    whole = rows(p.app_fault_presence(tables, machines, "2024-01-30 12:00:00"))
     assert whole == [
-        ("S", 30, " ", 1 / 3 * 100),
-        ("S", 30, "X 1", 2 / 3 * 100),
-        ("S", 30, "Z 1", 1 / 3 * 100),
+        ("S", 30, " ", 100 / 3),
+        ("S", 30, "X 1", 200 / 3),
+        ("S", 30, "Z 1", 100 / 3),
         ("S", 7, " ", 50.0),
         ("S", 7, "X 1", 50.0),
         ("S", 7, "Z 1", 50.0),
     ]
-    only_a = rows(p.app_fault_presence(tables, cohort(spark, ["a"]), "2024-01-30 12:00:00"))
-    assert only_a == []  # nothing in 7 days, so the 30-day list is cut to nothing
+    only_a = p.app_fault_presence(tables, cohort(spark, ["a"]), "2024-01-30 12:00:00")
+    assert rows(only_a) == [("S", 30, "X 1", 100.0)]
+    assert rows(p.same_length_faults(only_a)) == []  # nothing in 7 days, so the display list is cut to nothing
 
 
 def test_usage_counts_a_machine_once(spark):
@@ -217,6 +218,21 @@ def test_latest_per(spark):
     assert rows(latest_per(df, ["k"], "t", ["v"])) == [("a", 2, "y"), ("b", None, "z")]
 
 
-def test_size_check(spark):
-    assert fits_broadcast(spark.range(10))
-    assert not fits_broadcast(spark.range(10**9))
+@pytest.mark.parametrize("part", [7, 14, 28, 55, 56])
+def test_a_share_equal_to_the_threshold_is_left_out(spark, part):
+    facts = [(f"m{i}", "x" if i < part else f"other{i}") for i in range(100)]
+    table = spark.createDataFrame(facts, "wguid string, key string")
+    machines = cohort(spark, [f"m{i}" for i in range(100)])
+    at_it = p.presence_pct(table, machines, ["key"], threshold=float(part))
+    below = p.presence_pct(table, machines, ["key"], threshold=part - 0.5)
+    assert rows(at_it) == [] and rows(below) == [("S", "x", float(part))]
+
+
+def test_restricted_tables_give_the_same_report(spark):
+    table = [patch(m, k, "2024-01-02 00:00:00") for m in "abcd" for k in ("x", "y" if m in "ab" else "z")]
+    tables, machines = fleet(spark, patches=table), cohort(spark, ["a", "b"])
+    few = tables.restricted(machines)
+    assert {r.wguid for r in few["patches"].collect()} == {"a", "b"}
+    assert few["patches"].columns == tables["patches"].columns
+    whole = p.patch_presence(tables, machines, threshold=0)
+    assert rows(p.patch_presence(few, machines, threshold=0)) == rows(whole)

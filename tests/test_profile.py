@@ -4,8 +4,9 @@ from hypothesis import strategies as st
 
 from fleetlens.functions import percent_change, percentage
 from fleetlens.operators import compare, health, profile
+from fleetlens.plans import reports
 from pyspark.sql import functions as F
-from frames import at, cohort, fleet, rows
+from frames import at, cohort, day, fleet, rows
 
 
 def assets_fleet(spark):
@@ -39,9 +40,30 @@ def test_counts_equal_counts_of_the_joined_rows(spark):
 
 
 def test_drilldown_members(spark):
-    info = profile.asset_info(assets_fleet(spark), cohort(spark, ["a", "b"]))
-    assert rows(profile.machines_with(info, year=2021)) == [("S", "b")]
-    assert rows(profile.machines_with(info, model="L1")) == [("S", "a")]
+    tables, machines = assets_fleet(spark), cohort(spark, ["a", "b"])
+    assert rows(profile.machines_with(tables, machines, year=2021)) == [("S", "b")]
+    assert rows(profile.machines_with(tables, machines, model="L1")) == [("S", "a")]
+    ranged = machines.selectExpr("*", "date'2024-06-01' AS date_from", "date'2024-06-30' AS date_to")
+    assert rows(profile.machines_with(tables, ranged, model="L1")) == [("S", "a", day("2024-06-01"), day("2024-06-30"))]
+
+
+def test_drilldown_keeps_the_range_of_a_sensor(spark):
+    config = [{"wguid": m, "systemid": f"{m}.x", "model": "L1"} for m in "ab"]
+    patches = [
+        {"wguid": "a", "patchname": "January", "installdate": at("2024-01-15 00:00:00")},
+        {"wguid": "a", "patchname": "June", "installdate": at("2024-06-15 00:00:00")},
+    ]
+    tables = fleet(spark, system_config=config, patches=patches, assets=[{"hostname": "a"}, {"hostname": "a.x"}])
+    ranged = cohort(spark, ["a"]).selectExpr("*", "date'2024-06-01' AS date_from", "date'2024-06-30' AS date_to")
+    bounds = ("2024-01-01", "2024-12-31", "2024-12-31")
+    part = reports.drilldown(tables, ranged, *bounds, model="L1", datasets=["patches"])["patches"]
+    whole = reports.cohort_report(tables, ranged, *bounds, datasets=["patches"])["patches"]
+    assert rows(part) == rows(whole) == [("S", "June", 100.0)]
+
+
+def test_sorted_counts(spark):
+    counts = spark.createDataFrame([("S", "a", 1), ("S", "b", 3), ("S", "c", 3)], "sensor string, model string, count int")
+    assert [r.model for r in profile.sorted_counts(counts, "model").collect()] == ["b", "c", "a"]
 
 
 def test_job_titles(spark):

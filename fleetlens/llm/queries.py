@@ -11,6 +11,7 @@ from fleetlens.llm import (
     importance,
     merge_replay,
     near_duplicates,
+    oracle,
     packing,
     private_data,
     quality_rules,
@@ -92,4 +93,8 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_substring_dedup": oracle.REPEATS,
+        "op5_vector_links": oracle.VECTORS,
+        "op8_near_duplicates": oracle.NEAR,
+    }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,30 +11,33 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import day_start, percent_change
 from fleetlens.functions.times import Moment
-from fleetlens.operators.forest import is_anomaly
+from fleetlens.operators.forest import SAMPLE, is_anomaly
 from fleetlens.operators.timeseries import MIN_POINTS, PERIOD, long_enough, sigma_band, trend
 
 LOOKBACK_DAYS = 7
 
 
-def _label_sensor(series: pd.DataFrame) -> pd.DataFrame:
+def _label_sensor(series: pd.DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
     series = series.sort_values("ds", ignore_index=True)
     known = series["trend"].notna()
     series["is_anomaly"] = False
     values = series.loc[known, "trend"].to_numpy()
-    series.loc[known, "is_anomaly"] = is_anomaly(values, series["sensor"].iloc[0])
+    series.loc[known, "is_anomaly"] = is_anomaly(values, series["sensor"].iloc[0], sample=sample)
     return series
 
 
-def trend_anomalies(series: DataFrame, *, min_points: int = MIN_POINTS, period: int = PERIOD) -> DataFrame:
-    """``(sensor, ds, y, trend, is_anomaly)`` of all series that are long enough.
+def trend_anomalies(
+    series: DataFrame, *, min_points: int = MIN_POINTS, period: int = PERIOD, sample: int = SAMPLE
+) -> DataFrame:
+    """``(sensor, ds, y, trend, is_anomaly)`` of all series that are long enough. Rows without a sensor drop out.
 
-    The only step outside the JVM: one small frame per sensor, with one row per day.
+    The only step outside the JVM: one small frame per sensor, with one row per day. ``sample`` is how many days
+    each tree of the forest is grown on; every day is rated.
     """
     smooth = trend(long_enough(series, min_points), period)
-    smooth = smooth.select("sensor", "ds", F.col("y").cast("long").alias("y"), "trend")
+    smooth = smooth.select("sensor", "ds", F.col("y").cast("long").alias("y"), "trend").filter(F.col("sensor").isNotNull())
     return smooth.groupBy("sensor").applyInPandas(
-        _label_sensor, "sensor string, ds date, y long, trend double, is_anomaly boolean"
+        partial(_label_sensor, sample=sample), "sensor string, ds date, y long, trend double, is_anomaly boolean"
     )
 
 

@@ -284,7 +284,57 @@ _WHOLE_REPORT = {
     ),
 }
 
+
+
+def _forest(smooth: str) -> str:
+    """The forest as recursive SQL: every value of a tree walks from node 1, level by level, with the tree's sample."""
+    key = "'42:' || tree || '"
+    mean_path = "CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} END"
+    return f"""WITH RECURSIVE long_series AS (
+      SELECT *, count(*) OVER (PARTITION BY sensor) AS n_rows FROM ({smooth})),
+    rated AS (
+      SELECT sensor, ds, y, trend, row_number() OVER (PARTITION BY sensor ORDER BY ds) - 1 AS place,
+             count(*) OVER (PARTITION BY sensor) AS n
+      FROM long_series WHERE n_rows >= 14 AND trend IS NOT NULL),
+    drawn AS (
+      SELECT sensor, tree, place, trend AS v, least(n, 256) AS size,
+             row_number() OVER (PARTITION BY sensor, tree ORDER BY
+               CASE WHEN n > 256 THEN md5({key}:s' || place || ':' || sensor) END, place) <= 256 AS in_sample
+      FROM rated, (SELECT unnest(range(100)) AS tree)),
+    walkers AS (
+      SELECT sensor, tree, place, v, size, FALSE AS in_sample FROM drawn
+      UNION ALL SELECT sensor, tree, place, v, size, TRUE FROM drawn WHERE in_sample),
+    steps AS (
+      SELECT *, 1 AS node, 0 AS depth FROM walkers
+      UNION ALL
+      SELECT sensor, tree, place, v, size, in_sample,
+             2 * node + CASE WHEN v <= lo + draw * (hi - lo) AND v < hi THEN 0 ELSE 1 END, depth + 1
+      FROM (SELECT *, CAST('0x' || substr(md5({key}:n' || node || ':' || sensor), 1, 8) AS BIGINT) / 4294967296.0 AS draw
+            FROM (SELECT *, min(CASE WHEN in_sample THEN v END) OVER w AS lo, max(CASE WHEN in_sample THEN v END) OVER w AS hi
+                  FROM steps WINDOW w AS (PARTITION BY sensor, tree, node)))
+      WHERE lo < hi AND depth < ceil(log2(greatest(size, 2)))),
+    leaves AS (SELECT sensor, tree, place, size, max(depth) AS depth, arg_max(node, depth) AS node
+               FROM steps WHERE NOT in_sample GROUP BY ALL),
+    held AS (SELECT sensor, tree, node, count(*) AS n FROM steps WHERE in_sample GROUP BY ALL),
+    paths AS (SELECT l.sensor, place, size, l.depth + {mean_path.format(n="coalesce(h.n, 0)")} AS path
+              FROM leaves l LEFT JOIN held h ON h.sensor = l.sensor AND h.tree = l.tree AND h.node = l.node),
+    scores AS (SELECT sensor, place,
+                      -round(pow(2.0, -(sum(path) / 100) / greatest({mean_path.format(n="any_value(size)")}, 1.0)), 9) AS normality
+               FROM paths GROUP BY sensor, place),
+    limits AS (SELECT sensor, quantile_cont(normality, 0.1) AS least FROM scores GROUP BY sensor)
+    SELECT s.sensor, s.ds, CAST(s.y AS BIGINT) AS y, round(s.trend, 4) AS trend, coalesce(normality < least, FALSE) AS is_anomaly
+    FROM long_series s LEFT JOIN rated r ON r.sensor = s.sensor AND r.ds = s.ds
+    LEFT JOIN scores c ON c.sensor = r.sensor AND c.place = r.place LEFT JOIN limits l ON l.sensor = s.sensor
+    WHERE s.n_rows >= 14"""
+
+
+_ORDER_SMOOTH = """SELECT sensor, ds, y, CASE WHEN count(y) OVER around = 7 THEN avg(y) OVER around END AS trend
+  FROM order_series
+  WINDOW around AS (PARTITION BY sensor ORDER BY ds ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""
+
 _QUERIES = {
+    "trend_anomalies": _forest("SELECT sensor, ds, y, trend FROM smooth"),
+    "trend_anomalies_yearly": _forest(_ORDER_SMOOTH),
     "whole_report": _report(_WHOLE_REPORT),
     "uploaded_report": _report(
         {
@@ -477,5 +527,8 @@ def oracle_sql() -> dict[str, str]:
 
 def _with_common(body: str) -> str:
     """A query with tables of its own adds them to the common WITH list."""
-    own = body.removeprefix("WITH")
-    return f"{_COMMON.rstrip()}{',' if own != body else ''}\n{own}"
+    common = _COMMON.rstrip()
+    if body.startswith("WITH RECURSIVE"):
+        common = common.replace("WITH", "WITH RECURSIVE", 1)
+    own = body.removeprefix("WITH RECURSIVE").removeprefix("WITH")
+    return f"{common}{',' if own != body else ''}\n{own}"

@@ -55,9 +55,9 @@ def test_band_and_rolling(spark):
 
 def test_forest_scores():
     values = np.concatenate([np.linspace(10, 20, 300), [200.0]])
-    scores = anomaly_scores(values, 1)
+    scores = anomaly_scores(values, "one")
     assert scores.argmax() == 300 and scores[300] > 0.7 and ((scores > 0) & (scores < 1)).all()
-    assert (anomaly_scores(np.full(20, 5.0), 1) == anomaly_scores(np.full(20, 5.0), 2)).all()
+    assert (anomaly_scores(np.full(20, 5.0), "a") == anomaly_scores(np.full(20, 5.0), "b")).all()
     assert not is_anomaly(np.full(20, 5.0), "constant").any()
     assert len(is_anomaly(np.zeros(0), "empty")) == 0
 
@@ -91,7 +91,7 @@ def test_forest_agrees_with_the_plain_definition():
     rng = np.random.default_rng(3)
     values = np.sort(rng.normal(50, 10, 40))
     expected = slow_mean_depth(values, 40, 6, 1500, rng)
-    scores = anomaly_scores(values, 5, trees=1500)
+    scores = anomaly_scores(values, "five", trees=1500)
     c = 2 * (math.log(39) + np.euler_gamma) - 2 * 39 / 40
     assert -np.log2(scores) * c == pytest.approx(expected, abs=0.35)
 

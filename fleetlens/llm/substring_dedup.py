@@ -11,7 +11,6 @@ are one maximal repeat of at least ``length`` words.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import carried, hashed_words, map_steps, mixed, rest, run_hashes
 
 KEY = ["k1", "k2"]
-WORDS = re.compile(r"[^ \t-\r]+")
 GRAM = 8
 
 
@@ -37,22 +35,21 @@ def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
     return rows.repartition(*KEY)
 
 
-def windows_of(texts: pa.Array, length: int, gram: int):
-    """Hash of each window of each text, the text it is in, its place there and the place of its anchor.
+def windows_of(texts: pa.Array, length: int, gram: int, whole: bool = True):
+    """Hash of each window of each text (if ``whole``), the text it is in, its place there and its anchor's.
 
-    The anchor is the leftmost least gram of the window; the last item is the hash of each gram.
+    The anchor is the leftmost least gram of the window; the last item is the hash of each anchor.
     """
     words, starts = hashed_words(texts)
     grams = run_hashes(words, gram)
-    hashes = run_hashes(words, length)
-    n = len(hashes)
+    n = max(0, len(words) - length + 1)
+    hashes = run_hashes(words, length) if whole else np.zeros(n, np.uint64)
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     least = np.arange(len(grams))
     size, width = 1, length - gram + 1
-    ranks = mixed(grams)  # another order than that of the values themselves
 
     def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(ranks[b] < ranks[a], b, a)
+        return np.where(grams[b] < grams[a], b, a)
 
     while 2 * size <= width:
         least = lesser(least[:-size], least[size:])
@@ -89,7 +86,7 @@ def among(rows: np.ndarray, places: np.ndarray, wanted_rows: np.ndarray, wanted:
 
 def anchor_rows(length: int, gram: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, owner, _, anchors, hashes = windows_of(batch.column("text"), length, gram)
+        _, owner, _, anchors, hashes = windows_of(batch.column("text"), length, gram, whole=False)
         first = blocks_of(owner, anchors)
         columns = [pa.array(anchors[first].astype(np.int32)), pa.array(hashes[first].view(np.int64))]
         return pa.RecordBatch.from_arrays([*keys_of(batch, owner[first]), *columns], [*KEY, "place", "anchor"])
@@ -142,8 +139,12 @@ def window_rows(length: int, gram: int) -> Callable[[pa.RecordBatch], pa.RecordB
     return work
 
 
-def repeated_ranges(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``k1, k2, starts, sizes``: runs of windows of a text that occur again, none of them twice."""
+def repeats(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """By key: repeated blocks (``done``: start and number of windows), and repeated windows of other blocks (``single``).
+
+    The first frame also has what is still ``open`` and the representatives ``known`` to repeat. Whoever reads
+    it takes all its columns: so both uses share one exchange, and blocks are worked out once for each shuffle.
+    """
     key = "k1 long, k2 int"
     anchors = map_steps(texts, anchor_rows(length, gram), f"{key}, place int, anchor long")
     common = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
@@ -153,28 +154,30 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int) -> DataFrame:
     blocks = map_steps(seeded, block_rows(length, gram), f"{key}, start int, n int, block long")
     least = F.min(F.struct(*KEY, "start"))
     kinds = blocks.groupBy("block").agg(F.count("*").alias("times"), least.alias("least"))
-    judged = blocks.join(kinds, "block")
-    chosen = judged.where((F.col("times") == 1) | (F.struct(*KEY, "start") == F.col("least")))
-    starts = F.collect_set(F.when(F.col("times") > 1, F.col("start")))
-    edges = chosen.groupBy(*KEY).agg(starts.alias("known"), F.collect_set(F.when(F.col("times") == 1, F.col("start"))).alias("open"))
-
-    grown = texts.join(edges, KEY).select(*KEY, "text", "known", "open")
+    single, first = F.col("times") == 1, F.struct(*KEY, "start") == F.col("least")
+    judged = blocks.join(kinds, "block").groupBy(*KEY)
+    judged = judged.agg(
+        F.collect_set(F.when(~single, F.struct("start", "n"))).alias("done"),
+        F.collect_set(F.when(~single & first, F.col("start"))).alias("known"),
+        F.collect_set(F.when(single, F.col("start"))).alias("open"),
+    )
+    grown = texts.join(judged, KEY).select(*KEY, "text", "known", "open", "done")
     windows = map_steps(grown, window_rows(length, gram), f"{key}, start int, window long, open boolean")
     again = windows.groupBy("window").count().where("count > 1").select("window")
-    single = windows.where("open").join(again, "window").select(*KEY, "start", F.lit(1).alias("n"))
-    ranges = judged.where("times > 1").select(*KEY, "start", "n").unionByName(single)
-    return ranges.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+    found = windows.where("open").join(again, "window").groupBy(*KEY).agg(F.collect_set("start").alias("single"))
+    return judged, found
 
 
-def kept_words(text: str, ranges: list[dict] | None, length: int) -> tuple[int, list[str]]:
+def kept_words(text: bytes, done: list[dict] | None, single: list[int] | None, length: int) -> tuple[int, list[bytes]]:
     """How many words a text has, and those that no repeated window covers."""
-    words = WORDS.findall(text)
-    if not ranges:
+    words = text.split()  # of bytes, this splits at the six blanks of the definition and no others
+    if not done and not single:
         return len(words), words
     covered = bytearray(len(words))
-    for span in ranges:
-        a, b = span["start"], min(len(words), span["start"] + span["n"] + length - 1)
-        covered[a:b] = b"\x01" * (b - a)
+    spans = [(d["start"], d["n"]) for d in done or ()] + [(start, 1) for start in single or ()]
+    for start, n in spans:
+        end = min(len(words), start + n + length - 1)
+        covered[start:end] = b"\x01" * (end - start)
     return len(words), [w for w, gone in zip(words, covered, strict=True) if not gone]
 
 
@@ -195,21 +198,22 @@ def deduplicated(docs: DataFrame, *, length: int = 35, gram: int = GRAM, carry:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     names, schema = carried(docs, names, schema, carry)
-    ranges = repeated_ranges(texts, length, gram)
+    judged, found = repeats(texts, length, gram)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        spans = batch.column("ranges").to_pylist()
-        for text, found in zip(batch.column("text").to_pylist(), spans, strict=True):
-            n, words = kept_words(text, found, length)
-            kept = " ".join(words)
-            digest = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((n, n - len(words), digest, text if n == len(words) else kept))
+        lists = (batch.column(c).to_pylist() for c in ("text", "done", "single"))
+        for text, done, single in zip(*lists, strict=True):
+            n, words = kept_words(text.encode(), done, single, length)
+            kept = b" ".join(words)
+            digest = hashlib.sha256(kept).hexdigest()
+            rows.append((n, n - len(words), digest, text if n == len(words) else kept.decode()))
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         arrays = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
         more = [batch.column("rest")] if carry else []
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays, *more], names)
 
-    joined = texts.join(ranges, KEY, "left").select("doc_id", "text", "ranges", *["rest"] * carry)
+    joined = texts.join(judged, KEY, "left").join(found, KEY, "left")
+    joined = joined.select("doc_id", "text", "known", "open", "done", "single", *["rest"] * carry)
     return map_steps(joined, work, schema)

@@ -6,8 +6,10 @@ the sketch of their union, so each may leave its most common values out of the l
 The sketch of the union estimates the similarity of a pair; what may pass is verified on the full sets.
 
 Only the components of the links are wanted, so a list is not turned into all its pairs: its documents are
-compared with a leader first, and again with another leader, and what is then joined needs no more comparing.
-The few documents of a list that are still apart from its largest component are compared with the rest of it.
+compared with a leader first (one that has little of its own), and again with another leader, and what is then
+joined needs no more comparing. Lists that are still split hold documents near one text that differ from it in
+different places. They are described by their differences from what most of them share, and two of them can only
+link if they have enough of these differences in common (see ``apart``).
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import hashed_words, id_and_text, joined_hash, map_steps, mixed, run_hashes, stored
@@ -80,7 +82,7 @@ def sketches(docs: DataFrame, how: Likeness) -> DataFrame:
 
 
 def postings(classes: DataFrame, how: Likeness) -> DataFrame:
-    """``value, id, n``: the inverted lists, without values that one document alone retains.
+    """``value, id, n, own``: the inverted lists, without values that one document alone retains (``own`` of them).
 
     A linked pair shares at least ``c`` values, so it shares one of the first ``s - c + 1`` of either sketch of s
     values when both are ordered alike, rarest first. Only these are listed; common passages come last.
@@ -93,7 +95,7 @@ def postings(classes: DataFrame, how: Likeness) -> DataFrame:
     rows = rows.agg(F.array_sort(F.collect_set(F.struct("count", "value"))).alias("shared"))
     single = size.cast("int") - F.size("shared")
     listed = F.slice("shared", F.lit(1), F.greatest(F.lit(0), size.cast("int") - least + 1 - single))
-    return rows.select("id", "n", F.explode(listed).alias("entry")).select("entry.value", "id", "n")
+    return rows.select("id", "n", single.alias("own"), F.explode(listed).alias("entry")).select("entry.value", "id", "n", "own")
 
 
 def ordered_pairs(rows: DataFrame, how: Likeness) -> DataFrame:
@@ -182,30 +184,112 @@ def links(lists: DataFrame, classes: DataFrame, texts: DataFrame, how: Likeness)
         edges = linked if edges is None else edges.unionByName(linked)
         groups = components(edges)
 
-    def members() -> DataFrame:
+    def grouped(rows: DataFrame) -> DataFrame:
         if groups is None:
-            return lists.withColumn("group", F.col("id"))
-        joined = lists.join(groups, F.col("id") == F.col("node"), "left")
-        return joined.select("value", "id", "n", F.coalesce("component", "id").alias("group"))
+            return rows.withColumn("group", F.col("id"))
+        joined = rows.join(groups, F.col("id") == F.col("node"), "left")
+        return joined.select(*rows.columns, F.coalesce("component", "id").alias("group"))
 
-    for k in range(how.leaders):
-        rows = members()
-        order = F.xxhash64("id", F.lit(k)) if k else F.col("id")
+    def test_leaders(rows: DataFrame, order: Column) -> None:
+        """Compares each document of a list with the first one in an order, if they are apart."""
         leader = rows.groupBy("value").agg(F.min(F.struct(order.alias("order"), "id", "n", "group")).alias("leader"))
         met = rows.join(leader, "value").where(F.col("group") != F.col("leader.group"))
-        test(ordered_pairs(met.select("id", "n", F.col("leader.id").alias("other"), F.col("leader.n").alias("other_n")), how))
-    rows = stored(members(), "members")
-    groups_of = rows.groupBy("value", "group").count()
-    main = groups_of.groupBy("value").agg(F.max(F.struct("count", "group")).alias("main"), F.count("*").alias("groups"))
-    split = main.where("groups > 1").select("value", F.col("main.group").alias("main"))
-    rest = rows.join(split, "value").where(F.col("group") != F.col("main")).drop("main")
-    whole = rows.select("value", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("group").alias("other_group"))
-    near = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * how.percent
-    apart = rest.join(whole, "value").where((F.col("group") != F.col("other_group")) & near)
-    test(ordered_pairs(apart, how))
+        other = F.col("leader.id").alias("other"), F.col("leader.n").alias("other_n")
+        test(ordered_pairs(met.select("id", "n", *other), how))
+
+    def split(rows: DataFrame) -> DataFrame:
+        """The lists whose documents are apart, with their largest component."""
+        sizes = rows.groupBy("value", "group").count().groupBy("value")
+        main = sizes.agg(F.max(F.struct("count", "group")).alias("main"), F.count("*").alias("groups"))
+        return rows.join(main.where("groups > 1").select("value", F.col("main.group").alias("main")), "value")
+
+    for k in range(how.leaders):
+        test_leaders(grouped(lists), F.xxhash64("id", F.lit(k)) if k else F.col("own").cast("long"))
+    parted = stored(split(stored(grouped(lists), "members")), "parted")
+    shingles = shared_shingles(texts, parted.select("id").distinct(), how)
+    shared = shingles.groupBy("id").agg(F.count("*").alias("shared"))
+    # A link needs ``percent * (n + m) <= (100 + percent) * shared`` and sizes that are alike.
+    p = how.percent
+    alive = p * (F.col("n") + F.ceil(F.col("n") * p / 100)) <= (100 + p) * F.col("shared")
+    parted = stored(parted.join(shared, "id").where(alive), "alive")
+    # The document with the least of its own is the one that most others can link with.
+    test_leaders(parted, F.col("n") - F.col("shared"))
+    parted = split(stored(grouped(parted.drop("group", "main")), "members"))
+    members = stored(parted.select("main", "id", "n", "group").distinct(), "parted")
+    test(ordered_pairs(apart(members, shingles, how), how))
     return groups
 
 
+def shared_shingles(texts: DataFrame, ids: DataFrame, how: Likeness) -> DataFrame:
+    """``id, shingle`` of these documents, without shingles that only one of them has."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column("text"), how.shingle)
+        rows = batch.column("id").take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+        values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+        return pa.RecordBatch.from_arrays([rows, pa.array(values)], ["id", "shingle"])
+
+    shingles = map_steps(texts.join(ids, "id", "left_semi").select("id", "text"), work, "id long, shingle long")
+    common = shingles.groupBy("shingle").count().where("count > 1").select("shingle")
+    return stored(shingles.join(common, "shingle").select("id", "shingle"), "shingles")
+
+
+def apart(members: DataFrame, shingles: DataFrame, how: Likeness) -> DataFrame:
+    """Documents that may link, ``id, n, other, other_n``, among those that met in lists with one main component.
+
+    Per main component, the core C is what more than half of its members have. A member X is described by its
+    differences D(X): the part M(X) of C that it lacks, and what it shares beyond C. Then
+
+        shared(X, Y) = |C| - |M(X)| - |M(Y)| + common differences,
+
+    so a link needs at least w(X) + w(Y) common differences, where w(X) = q * n + |M(X)| - |C| / 2 and q = percent /
+    (100 + percent). Where that is nothing, both link with the member of least w, and only that pair is formed. Else
+    the two share one of the first |D| - need + 1 differences of each, in any fixed order; members are dealt into
+    classes of w, and each lists these differences once for each class that it can meet.
+    """
+    q, width = how.percent / (100 + how.percent), 4.0
+    sets = members.select("main", "id").join(shingles, "id")
+    times = sets.groupBy("main", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    size = members.groupBy("main").agg(F.count("*").alias("members"))
+    times = times.join(size, "main").select("main", "shingle", (2 * F.col("times") > F.col("members")).alias("in_core"))
+    core = times.where("in_core").groupBy("main").agg(F.collect_list("shingle").alias("core"))
+    held = sets.join(times, ["main", "shingle"]).groupBy("main", "id")
+    held = held.agg(
+        F.collect_list(F.when(F.col("in_core"), F.col("shingle"))).alias("held"),
+        F.collect_list(F.when(~F.col("in_core"), F.col("shingle"))).alias("extra"),
+    )
+    none = F.array().cast("array<bigint>")
+    known = members.join(held, ["main", "id"], "left").join(core, "main", "left")
+    known = known.withColumns({c: F.coalesce(c, none) for c in ("held", "extra", "core")})
+    known = known.withColumn("lacking", F.array_except("core", "held"))
+    marked = [F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("shingle"))) for k, c in enumerate(("extra", "lacking"))]
+    weight = q * F.col("n") + F.size("lacking") - F.size("core") / 2
+    known = known.select("main", "id", "n", "group", weight.alias("w"), F.array_sort(F.concat(*marked)).alias("differences"))
+    known = stored(known.withColumn("class", F.floor(F.col("w") / width).cast("int")), "differences")
+
+    first = known.groupBy("main").agg(F.min(F.struct("w", "id", "n", "group")).alias("first"), F.collect_set("class").alias("classes"))
+    rows = known.join(first, "main")
+    near = rows.where((F.col("w") + F.col("first.w") <= 0) & (F.col("group") != F.col("first.group")))
+    near = near.select("id", "n", F.col("first.id").alias("other"), F.col("first.n").alias("other_n"))
+
+    listed = rows.withColumn("meets", F.explode("classes"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("w") + F.col("meets") * width - 1e-6)).cast("int")
+    listed = listed.withColumn("length", F.size("differences") - need + 1).where("length > 0")
+    listed = listed.withColumn("difference", F.explode(F.slice("differences", F.lit(1), F.col("length"))))
+    asking = listed.where(F.col("group") != F.col("main")).select("main", "difference", "class", "meets", "id", "n", "group")
+    asked = listed.select(
+        "main",
+        "difference",
+        F.col("meets").alias("class"),
+        F.col("class").alias("meets"),
+        F.col("id").alias("other"),
+        F.col("n").alias("other_n"),
+        F.col("group").alias("other_group"),
+    )
+    met = asking.join(asked, ["main", "difference", "class", "meets"]).where(F.col("group") != F.col("other_group"))
+    return near.unionByName(met.select("id", "n", "other", "other_n"))
+
+
 def deduplicated(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (smallest id of its group) and ``kept``.
 

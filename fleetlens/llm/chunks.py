@@ -1,20 +1,33 @@
 """Texts cut before each space that starts a word, and a cache of what each chunk gives.
 
 A byte-level pattern of the form `` ?letters| ?digits| ?other|spaces`` never looks across a space that stands
-before a visible character, so the chunks between such spaces can be encoded alone. Words repeat, so a task
-encodes each distinct chunk about once.
+before a visible character, nor across a line end between two of them, so the chunks between can be encoded
+alone. Words repeat, so a task encodes each distinct chunk about once.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from weakref import WeakSet
 
 CUT = re.compile(r" (?=\S)")
 
 
 def cut(text: str) -> list[str]:
-    """The head and, without its space, each chunk that began with one."""
+    """The head and then each chunk: without the space it began with, or with the line end."""
+    lines = text.split("\n")
+    if len(lines) == 1 or not all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
+        return cut_line(text)
+    parts = cut_line(lines[0])
+    for line in lines[1:]:
+        more = cut_line(line)
+        more[0] = "\n" + more[0]
+        parts += more
+    return parts
+
+
+def cut_line(text: str) -> list[str]:
     parts = text.split(" ")
     for part in parts[1:]:
         if not part or part[0].isspace():
@@ -22,10 +35,25 @@ def cut(text: str) -> list[str]:
     return parts
 
 
+def led(chunk: str) -> str:
+    """A chunk with the space it began with, if it did not begin with a line end."""
+    return chunk if chunk[0] == "\n" else " " + chunk
+
+
+_KNOWN: WeakSet = WeakSet()
+
+
+def forget_chunks() -> None:
+    """Empties the caches of this worker process, for tasks of other operators."""
+    for cache in _KNOWN:
+        cache.young, cache.old = {}, {}
+
+
 class ChunkCache:
     """Chunk to bytes, in two generations: when the young one is full, what was not used since the last time goes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 200_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 250_000) -> None:
+        _KNOWN.add(self)
         self.encode, self.most = encode, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

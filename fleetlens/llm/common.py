@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +13,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.chunks import forget_chunks
+
 # Text that one step of a task holds at a time, in bytes; a longer single text is a step of its own.
 STEP_BYTES = 4_000_000
 
 
+@lru_cache(maxsize=1)
+def own_folder() -> str:
+    return tempfile.mkdtemp(prefix="fleetlens-llm-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="fleetlens-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of this process only where it is unset (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or own_folder()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -73,10 +77,19 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, column: st
             at = end
 
 
-def map_steps(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = STEP_BYTES):
-    """``mapInArrow`` over slices of bounded text."""
+def map_steps(
+    df: DataFrame,
+    work: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str,
+    limit: int = STEP_BYTES,
+    *,
+    caches: bool = False,
+) -> DataFrame:
+    """``mapInArrow`` over slices of bounded text. Without ``caches``, a worker first forgets what encoders left in it."""
 
     def run(batches):
+        if not caches:
+            forget_chunks()
         for part in steps(batches, limit):
             yield work(part)
 

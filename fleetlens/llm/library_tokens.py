@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from fleetlens.llm.chunks import ChunkCache, encode_texts
+from fleetlens.llm.chunks import ChunkCache, encode_texts, led
 
 MARKS = ".,;:!?"
 
@@ -37,7 +37,7 @@ class LibraryEncoder:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
-        self.cache = ChunkCache(self.chunks, 400_000)
+        self.cache = ChunkCache(self.chunks)
         self.marks: dict[str, bytes] = {}
 
     def piece(self, text: str) -> list[int]:
@@ -48,23 +48,26 @@ class LibraryEncoder:
         tokenize, letters, space = self.model.tokenize, self.letters, self.letters[0x20]
         known, marks = self.cache.young, self.marks
 
-        def letters_only(chunk: str) -> bytes:  # one word of the pattern
-            word = space + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(letters))
+        def letters_only(chunk: str, before: str) -> bytes:  # one word of the pattern
+            word = before + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(letters))
             return array("I", [token.id for token in tokenize(word)]).tobytes()
 
         found = []
         for chunk in chunks:
             if chunk.isalpha():
-                found.append(letters_only(chunk))
+                found.append(letters_only(chunk, space))
                 continue
             stem = chunk.rstrip(MARKS)
-            if stem != chunk and stem.isalpha():  # letters and marks are two words
+            line_end = chunk[0] == "\n" and stem[1:].isalpha()
+            if line_end or stem.isalpha():  # a line end, letters and marks are words of their own
                 tail = chunk[len(stem) :]
-                ids = known.get(stem) or known.setdefault(stem, letters_only(stem))
-                after = marks.get(tail) or marks.setdefault(tail, self.ids(tail))
-                found.append(ids + after)
+                if line_end:
+                    ids = (marks.get("\n") or marks.setdefault("\n", self.ids("\n"))) + letters_only(stem[1:], "")
+                else:
+                    ids = known.get(stem) or known.setdefault(stem, letters_only(stem, space))
+                found.append(ids + (marks.get(tail) or marks.setdefault(tail, self.ids(tail))) if tail else ids)
             else:
-                found.append(self.ids(" " + chunk))
+                found.append(self.ids(led(chunk)))
         return found
 
     def ids(self, text: str) -> bytes:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from fleetlens.llm.chunks import ChunkCache, encode_texts
+from fleetlens.llm.chunks import ChunkCache, encode_texts, led
 from fleetlens.llm.common import id_and_text, map_steps
 
 # The pattern of the vocabulary files; fixed value.
@@ -147,7 +147,7 @@ class ReplayEncoder:
     def __init__(self, path: str) -> None:
         self.table = MergeTable(path)
         self.words = regex.compile(PATTERN).findall
-        self.cache = ChunkCache(self.chunks, 300_000)
+        self.cache = ChunkCache(self.chunks)
 
     def laid_out(self, text: str) -> bytes:
         if text[1:].isalpha() and text[0] == " ":
@@ -179,7 +179,7 @@ class ReplayEncoder:
         return found
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
-        return self.replayed([" " + chunk for chunk in chunks])
+        return self.replayed([led(chunk) for chunk in chunks])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return encode_texts(texts, self.cache, self.replayed)
@@ -206,7 +206,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), "<i4")))
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], ["doc_id", "ids"])
 
-    return map_steps(id_and_text(docs), work, "doc_id long, ids array<int>", BLOCK_BYTES)
+    return map_steps(id_and_text(docs), work, "doc_id long, ids array<int>", BLOCK_BYTES, caches=True)
 
 
 def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
@@ -239,4 +239,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_steps(id_and_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", BLOCK_BYTES)
+    return map_steps(id_and_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", BLOCK_BYTES, caches=True)

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.llm.chunks import forget_chunks
 from fleetlens.llm.common import carried, map_steps, rest, steps, stored, word_offsets
 
 CLASSES = ("space", "lower", "upper", "letter", "digit", "symbol", "mark", "other")
@@ -137,6 +138,7 @@ def language_references(docs: DataFrame, limits: Limits = Limits()) -> Reference
     """
 
     def count(batches):
+        forget_chunks()
         classes: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
 
@@ -160,7 +162,7 @@ def language_references(docs: DataFrame, limits: Limits = Limits()) -> Reference
                 found = np.bincount(codes[mine[owner]], minlength=len(names))
                 seen = np.flatnonzero(found)
                 words.setdefault(lang, Counter()).update({names[i]: int(found[i]) for i in seen})
-            if sum(map(len, words.values())) > 300_000:
+            if sum(map(len, words.values())) > 150_000:
                 yield rows()
                 classes, words = {}, {}
         yield rows()

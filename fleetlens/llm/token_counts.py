@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.chunks import ChunkCache, encode_texts
+from fleetlens.llm.chunks import ChunkCache, encode_texts, led
 from fleetlens.llm.common import id_and_text, map_steps
 from fleetlens.llm.library_tokens import byte_letters
 
@@ -78,7 +78,7 @@ class PrefixTable:
         self.fits_memo: dict[tuple[int, int], bool] = {}
         self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = ChunkCache(lambda chunks: [self.chunk(c) for c in chunks], 300_000)
+        self.cache = ChunkCache(lambda chunks: [self.chunk(led(c)) for c in chunks])
 
     @staticmethod
     def _pairs(model: dict, vocabulary: dict[str, int]) -> list[tuple[int, int]]:
@@ -196,8 +196,12 @@ class PrefixTable:
         normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         return sum(self.word(w)[-1] for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if w)
 
+    def heads(self, heads: list[str]) -> list[bytes]:
+        return [self.chunk(" " + head)[4:] for head in heads]
+
     def chunk(self, chunk: str) -> bytes:
-        """Counts at the prefixes of a space and the chunk after it, as 32-bit numbers."""
+        """Counts at the prefixes of a space or line end and the chunk after it, as 32-bit numbers."""
+        chunk = chunk[1:]
         lower = chunk.lower()
         if chunk.isascii() and chunk.isalpha():
             return array("i", (0, *self.word(lower))).tobytes()
@@ -224,7 +228,7 @@ class PrefixTable:
         """For each text, the tokens of its first 0, 1, 2, ... characters."""
         plain = [t for t in texts if not any(s in t for s in self.special)]
         # A chunk's counts begin at 0 where the chunk's space stands; a head has no space before it.
-        tables = iter(encode_texts(plain, self.cache, lambda heads: [self.chunk(head)[4:] for head in heads]))
+        tables = iter(encode_texts(plain, self.cache, self.heads))
         return [self.summed(next(tables)) if not any(s in t for s in self.special) else self.cut_by_special(t) for t in texts]
 
     @staticmethod
@@ -251,7 +255,7 @@ class PrefixTable:
         return found
 
     def prefixes_plain(self, text: str) -> np.ndarray:
-        return self.summed(encode_texts([text], self.cache, lambda heads: [self.chunk(head)[4:] for head in heads])[0])
+        return self.summed(encode_texts([text], self.cache, self.heads)[0])
 
 
 @lru_cache(maxsize=2)
@@ -275,7 +279,7 @@ def prefix_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(bounds), values)
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), sizes, lists], ["doc_id", "n_bytes", "prefix_tokens"])
 
-    return map_steps(id_and_text(docs), work, "doc_id long, n_bytes long, prefix_tokens array<int>", 2_000_000)
+    return map_steps(id_and_text(docs), work, "doc_id long, n_bytes long, prefix_tokens array<int>", 2_000_000, caches=True)
 
 
 def within_budget(counts: DataFrame, budget: int) -> DataFrame:
@@ -302,4 +306,4 @@ def counted(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
             [batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
         )
 
-    return map_steps(id_and_text(docs), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long", 2_000_000)
+    return map_steps(id_and_text(docs), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long", 2_000_000, caches=True)

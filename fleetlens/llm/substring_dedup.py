@@ -150,7 +150,8 @@ def repeats(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
     common = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
     places = anchors.join(common, "anchor").groupBy(*KEY).agg(F.collect_set("place").alias("places"))
 
-    seeded = texts.join(places, KEY).select(*KEY, "text", "places")
+    # All columns of the texts go along, as a join with fewer would shuffle the texts a second time.
+    seeded = texts.join(places, KEY)
     blocks = map_steps(seeded, block_rows(length, gram), f"{key}, start int, n int, block long")
     least = F.min(F.struct(*KEY, "start"))
     kinds = blocks.groupBy("block").agg(F.count("*").alias("times"), least.alias("least"))
@@ -161,7 +162,7 @@ def repeats(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
         F.collect_set(F.when(~single & first, F.col("start"))).alias("known"),
         F.collect_set(F.when(single, F.col("start"))).alias("open"),
     )
-    grown = texts.join(judged, KEY).select(*KEY, "text", "known", "open", "done")
+    grown = texts.join(judged, KEY)
     windows = map_steps(grown, window_rows(length, gram), f"{key}, start int, window long, open boolean")
     again = windows.groupBy("window").count().where("count > 1").select("window")
     found = windows.where("open").join(again, "window").groupBy(*KEY).agg(F.collect_set("start").alias("single"))

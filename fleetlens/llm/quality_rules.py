@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -25,12 +26,12 @@ CLASSES = ("space", "lower", "upper", "letter", "digit", "symbol", "mark", "othe
 SPACE, LOWER, UPPER, LETTER, DIGIT, SYMBOL, MARK, OTHER = range(len(CLASSES))
 SYMBOLS = "#*$%&|<>"
 TABLE_SIZE = 0x3000  # code points with a class of their own entry; later ones count as letters
-POOLED = "*"
+POOLED = None  # no language: a null one is the language ""
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of the verdict. ``languages`` is how many have references of their own; others share the pooled one."""
+    """Thresholds of the verdict. ``languages`` is how many have their references on the driver; others are joined."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -46,11 +47,16 @@ class Limits:
 
 @dataclass(frozen=True)
 class References:
-    """By language: class counts and common words with their counts and the count of all words."""
+    """By language: class counts and common words with their counts and the sum of these.
 
-    classes: dict[str, np.ndarray] = field(default_factory=dict)
-    words: dict[str, dict[str, int]] = field(default_factory=dict)
-    totals: dict[str, int] = field(default_factory=dict)
+    ``others`` has the same of every further language, a row each: ``lang, classes, words, counts, total``. No document
+    is judged by the sums of the first under ``POOLED``.
+    """
+
+    classes: dict[str | None, np.ndarray] = field(default_factory=dict)
+    words: dict[str | None, dict[str, int]] = field(default_factory=dict)
+    totals: dict[str | None, int] = field(default_factory=dict)
+    others: DataFrame | None = None
 
 
 @lru_cache(maxsize=1)
@@ -125,6 +131,23 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, starts
 
 
+def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    """Each language of a batch with its rows, in order."""
+    coded = batch.column("lang").dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    bounds = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    for k, lang in enumerate(coded.dictionary.to_pylist()):
+        yield lang, order[bounds[k] : bounds[k + 1]]
+
+
+def words_of(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of all words of these rows, in the order of the rows."""
+    sizes = starts[rows + 1] - starts[rows]
+    ends = np.cumsum(sizes)
+    return np.repeat(starts[rows] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def with_language(docs: DataFrame, carry: bool = False) -> DataFrame:
     lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"), *rest(docs, carry))
@@ -134,7 +157,7 @@ def language_references(docs: DataFrame, limits: Limits = Limits()) -> Reference
     """References from all documents. Counts are added up in each task, then by language and word.
 
     What comes to the driver is, for each of the ``limits.languages`` languages with most characters, the class
-    counts and some most common words; the pooled reference of the other languages adds these up.
+    counts and the most common words. Those of all other languages are written as a table.
     """
 
     def count(batches):
@@ -151,18 +174,16 @@ def language_references(docs: DataFrame, limits: Limits = Limits()) -> Reference
             return pa.RecordBatch.from_arrays(arrays, ["lang", "word", "class", "n"])
 
         for batch in steps(batches):
-            texts, langs = batch.column("text"), np.array(batch.column("lang").to_pylist(), object)
+            texts = batch.column("text")
             counts = class_counts(texts.to_pylist())
             codes, names, starts = coded_words(texts)
-            owner = np.repeat(np.arange(len(langs)), np.diff(starts))
             names = names.to_pylist()
-            for lang in set(langs.tolist()):
-                mine = langs == lang
+            for lang, mine in by_language(batch):
                 classes[lang] = classes.get(lang, 0) + counts[mine].sum(axis=0)
-                found = np.bincount(codes[mine[owner]], minlength=len(names))
-                seen = np.flatnonzero(found)
-                words.setdefault(lang, Counter()).update({names[i]: int(found[i]) for i in seen})
-            if sum(map(len, words.values())) > 150_000:
+                own, times = np.unique(codes[words_of(mine, starts)], return_counts=True)
+                found = zip(own.tolist(), times.tolist(), strict=True)
+                words.setdefault(lang, Counter()).update({names[i]: n for i, n in found})
+            if len(CLASSES) * len(classes) + sum(map(len, words.values())) > 150_000:
                 yield rows()
                 classes, words = {}, {}
         yield rows()
@@ -170,12 +191,13 @@ def language_references(docs: DataFrame, limits: Limits = Limits()) -> Reference
     parts = with_language(docs).mapInArrow(count, "lang string, word string, class int, n long")
     sums = stored(parts.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "words")
     sizes = sums.where(F.col("word").isNull()).groupBy("lang").agg(F.sum("n").alias("size"))
-    largest = [r["lang"] for r in sizes.orderBy(F.desc("size"), "lang").limit(limits.languages).collect()]
+    largest = [r["lang"] for r in sizes.orderBy(F.desc("size"), "lang").limit(limits.languages + 1).collect()]
+    more, largest = len(largest) > limits.languages, largest[: limits.languages]
     order = Window.partitionBy("lang", "class").orderBy(F.desc("n"), "word")
     ranked = sums.where(F.col("lang").isin(largest)).withColumn("rank", F.row_number().over(order))
     classes = {POOLED: np.zeros(len(CLASSES), np.int64)}
     counters: dict[str, Counter] = {POOLED: Counter()}
-    for row in ranked.where(F.col("rank") <= 4 * limits.common_words).collect():
+    for row in ranked.where(F.col("rank") <= limits.common_words).collect():
         for lang in (row["lang"], POOLED):
             if row["word"] is None:
                 classes.setdefault(lang, np.zeros(len(CLASSES), np.int64))[row["class"]] += row["n"]
@@ -185,7 +207,20 @@ def language_references(docs: DataFrame, limits: Limits = Limits()) -> Reference
     for lang, counter in counters.items():
         words[lang] = dict(sorted(counter.items(), key=lambda x: (-x[1], x[0]))[: limits.common_words])
     totals = {lang: sum(words[lang].values()) for lang in words}
-    return References(classes, words, totals)
+    others = other_references(sums.where(~F.col("lang").isin(largest)), limits) if more else None
+    return References(classes, words, totals, others)
+
+
+def other_references(sums: DataFrame, limits: Limits) -> DataFrame:
+    """``lang, classes, words, counts, total`` of each language of the sums, written once."""
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    words = sums.where(F.col("word").isNotNull()).withColumn("rank", F.row_number().over(order))
+    words = words.where(F.col("rank") <= limits.common_words).groupBy("lang")
+    words = words.agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("best"), F.sum("n").alias("total"))
+    classes = sums.where(F.col("word").isNull()).groupBy("lang")
+    classes = classes.agg(F.array_sort(F.collect_list(F.struct("class", "n"))).alias("all"))
+    best = F.col("best.word").alias("words"), F.col("best.n").alias("counts")
+    return stored(classes.join(words, "lang").select("lang", F.col("all.n").alias("classes"), *best, "total"), "languages")
 
 
 def rated(docs: DataFrame, references: References, limits: Limits = Limits(), *, carry: bool = False) -> DataFrame:
@@ -196,6 +231,13 @@ def rated(docs: DataFrame, references: References, limits: Limits = Limits(), *,
     no rows; other columns are not read, unless ``carry`` asks for the text and, as ``rest``, all others.
     """
     out, schema = carried(docs, NAMES, SCHEMA, carry)
+    held = {x: (references.classes[x], references.words[x], references.totals[x]) for x in references.words if x is not POOLED}
+
+    def joined_reference(batch: pa.RecordBatch, row: int):
+        found = batch.column("reference")[row].as_py()
+        if found is None:
+            return None
+        return np.array(found["classes"]), dict(zip(found["words"], found["counts"], strict=True)), found["total"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text")
@@ -204,24 +246,21 @@ def rated(docs: DataFrame, references: References, limits: Limits = Limits(), *,
         codes, names, starts = coded_words(texts)
         n_words = np.diff(starts)
         repeats = repeated_words(codes, starts)
-        langs = batch.column("lang").to_pylist()
-        owner = np.repeat(np.arange(len(whole)), n_words)
         far_class, far_word = np.zeros(len(whole)), np.zeros(len(whole))
-        for lang in set(langs):
-            known = lang if lang in references.classes else POOLED
-            if references.totals.get(known, 0) < limits.reference_min_words:
+        for lang, mine in by_language(batch):
+            known = joined_reference(batch, int(mine[0])) if "reference" in batch.schema.names else held.get(lang)
+            if known is None or known[2] < limits.reference_min_words:
                 continue
-            mine = np.array([value == lang for value in langs])
-            far_class[mine] = distance(classes[mine], references.classes[known].astype(float))
-            common = references.words[known]
-            column = pc.index_in(names, pa.array(list(common), names.type)).to_numpy(zero_copy_only=False)
-            column = np.where(np.isnan(column.astype(float)), -1, column).astype(np.int64)[codes] if len(codes) else codes
-            of = mine[owner] & (column >= 0)
-            place = np.cumsum(mine) - 1
-            counts = np.bincount(place[owner[of]] * len(common) + column[of], minlength=int(mine.sum()) * len(common))
+            far_class[mine] = distance(classes[mine], known[0].astype(float))
+            common = known[1]
+            own, place = np.unique(codes[words_of(mine, starts)], return_inverse=True)
+            column = pc.index_in(names.take(pa.array(own)), pa.array(list(common), names.type))
+            column = pc.fill_null(column, -1).to_numpy(zero_copy_only=False).astype(np.int64)[place]
+            owner, of = np.repeat(np.arange(len(mine)), n_words[mine]), column >= 0
+            counts = np.bincount(owner[of] * len(common) + column[of], minlength=len(mine) * len(common))
             counts = counts.reshape(-1, len(common))
             far_word[mine] = distance(counts, np.array(list(common.values()), float))
-            none = np.flatnonzero(mine)[counts.sum(axis=1) == 0]
+            none = mine[counts.sum(axis=1) == 0]
             far_word[none] = np.where(n_words[none] > 0, 1.0, 0.0)  # no common word at all
         failed = (n_words < limits.min_words) | (100 * repeats > limits.max_repeat_percent * n_words)
         judged = n_words >= limits.distance_min_words
@@ -242,7 +281,16 @@ def rated(docs: DataFrame, references: References, limits: Limits = Limits(), *,
         arrays = [batch.column("doc_id").cast(pa.int64()), *map(pa.array, columns), *more]
         return pa.RecordBatch.from_arrays(arrays, [*out, "text"] if carry else out)
 
-    return map_steps(with_language(docs, carry), work, schema + ", text string" if carry else schema)
+    schema = schema + ", text string" if carry else schema
+    rows = with_language(docs, carry)
+    if references.others is None:
+        return map_steps(rows, work, schema)
+    # Only texts of the smaller languages are shuffled, and none of these has a large share of all.
+    large = F.col("lang").isin([x for x in references.words if x is not POOLED])
+    table = references.others.where(F.col("total") >= limits.reference_min_words)
+    table = table.select("lang", F.struct("classes", "words", "counts", "total").alias("reference"))
+    joined = rows.where(~large).join(table, "lang", "left")
+    return map_steps(rows.where(large), work, schema).unionByName(map_steps(joined, work, schema))
 
 
 SCHEMA = (

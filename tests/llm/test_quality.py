@@ -78,6 +78,27 @@ def test_empty_tables_and_unknown_languages(spark, make):
     assert all(r.kept for r in quality_rules.rated(mixed, references, few).collect())
 
 
+def test_every_language_is_judged_by_its_own_words(make):
+    few = quality_rules.Limits(languages=1)
+    own = {"en": "", "xx": "q", "yy": "z", "*": "v"}
+    parts = {lang: [" ".join(w + end for w in prose(10 * k + i, 700 + 900 * (lang == "en")).split()) for i in range(4)]
+             for k, (lang, end) in enumerate(own.items())}
+    rows = [(100 * k + i, t, lang) for k, (lang, texts) in enumerate(parts.items()) for i, t in enumerate(texts)]
+    rows += [(900, " ".join(w + "q" for w in prose(77, 120).split()), "zz"), (901, parts["xx"][0], "yy")]
+    docs = None
+    for i, text, lang in rows:
+        one = make([(i, text)], lang=lang)
+        docs = one if docs is None else docs.unionByName(one)
+    wanted = {r.doc_id: r for r in quality_rules.rated(docs, quality_rules.language_references(docs)).collect()}
+    references = quality_rules.language_references(docs, few)
+    assert set(references.words) == {"en", quality_rules.POOLED} and references.others.count() == 4
+    found = {r.doc_id: r for r in quality_rules.rated(docs, references, few, carry=True).collect()}
+    names = quality_rules.NAMES
+    assert {i: [r[c] for c in names] for i, r in found.items()} == {i: [r[c] for c in names] for i, r in wanted.items()}
+    assert all(r.kept for i, r in found.items() if i != 901) and not found[901].kept
+    assert found[900].word_distance == 0.0 and all(found[i].text == t and found[i]["rest"].kept == "y" for i, t, _ in rows)
+
+
 def test_sample_prefers_what_reads_like_the_target(spark, make):
     good = [(i, prose(i, 80)) for i in range(200)]
     junk = [(1000 + i, " ".join(f"zz{i * k % 97}##" for k in range(80))) for i in range(50)]

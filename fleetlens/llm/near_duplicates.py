@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import hashed_words, id_and_text, joined_hash, map_steps, mixed, run_hashes, stored
+from fleetlens.llm.common import hashed_words, id_and_text, joined_hash, map_steps, mixed, rest, run_hashes, stored
 from fleetlens.llm.components import components
 
 
@@ -315,3 +315,21 @@ def deduplicated(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), component)
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def representatives(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """``doc_id, text, rest`` of one row of each group of near-duplicate rows.
+
+    Each row stands for itself here, whatever its id: repeated rows are copies of each other, rows without an id are
+    compared as others are, and two texts under one id are two. Of a group stays the row with the smallest id (null
+    after all others), of several such the one with the smallest hash of its text. Texts without words all stay.
+    """
+    columns = F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("print"), *rest(docs, True)
+    rows = stored(docs.select(*columns), "rows")  # numbered once, so that all that follows sees the same numbers
+    groups = deduplicated(rows.select(F.col("row").alias("doc_id"), "text"), how)
+    groups = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    members = stored(rows.select("row", "doc_id", "print").join(groups, "row"), "members")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "print", "row")
+    first = members.groupBy("component").agg(F.count("*").alias("times"), F.min(order).alias("first")).where("times > 1")
+    gone = members.join(first, "component").where(F.col("row") != F.col("first.row")).select("row")
+    return rows.join(stored(gone, "gone"), "row", "left_anti").select("doc_id", "text", "rest")

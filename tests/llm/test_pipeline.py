@@ -78,3 +78,17 @@ def test_run_is_all_stages(spark, stored_documents):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(found.columns)
     assert found.select("doc_id").distinct().count() > 30
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules" and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_one_row_of_each_group_goes_on(spark, make):
+    same, other, null = prose(31, 90), prose(32, 90), prose(33, 90)
+    rows = [(7, same), (7, same), (7, same), (None, same), (None, same.replace(" ", "  ")), (3, same + " more"), (3, other)]
+    rows += [(9, other), (None, null), (None, null), (5, prose(34, 90)), (5, prose(35, 90)), (6, None), (6, None)]
+    docs = make(rows)
+    found = corpus_pipeline.near_duplicate(spark, docs, "")
+    assert found.columns == docs.columns
+    wanted = [(3, same + " more"), (3, other), (None, null), (5, prose(34, 90)), (5, prose(35, 90)), (6, None), (6, None)]
+    assert texts(found) == sorted(wanted, key=repr)
+    whole = found.where("text is not null")
+    assert texts(corpus_pipeline.repeated_passages(spark, whole, "")) == texts(whole)
+    assert corpus_pipeline.near_duplicate(spark, make([]), "").collect() == []

@@ -269,7 +269,7 @@ def apart(members: DataFrame, shingles: DataFrame, how: Likeness) -> DataFrame:
 
     first = known.groupBy("main").agg(F.min(F.struct("w", "id", "n", "group")).alias("first"), F.collect_set("class").alias("classes"))
     rows = known.join(first, "main")
-    near = rows.where((F.col("w") + F.col("first.w") <= 0) & (F.col("group") != F.col("first.group")))
+    near = rows.where((F.col("w") + F.col("first.w") <= 1e-6) & (F.col("group") != F.col("first.group")))
     near = near.select("id", "n", F.col("first.id").alias("other"), F.col("first.n").alias("other_n"))
 
     listed = rows.withColumn("meets", F.explode("classes"))

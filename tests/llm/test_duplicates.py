@@ -115,6 +115,14 @@ def test_near_duplicates(make):
     assert found == plain_components(rows)
 
 
+def test_ties_without_common_differences_are_formed(spark):
+    """Of a core of 59, one lacks nothing and one 11; 48 shared of a union of 64 are 75 percent."""
+    members = spark.createDataFrame([(2, 2, 61, 2), (2, 1, 51, 1), (2, 3, 70, 2)], "main long, id long, n long, group long")
+    sets = [(i, x) for i, lacking in ((2, 0), (1, 11), (3, 0)) for x in range(lacking, 59)]
+    found = near_duplicates.apart(members, spark.createDataFrame(sets, "id long, shingle long"), near_duplicates.Likeness())
+    assert (1, 51, 2, 61) in [tuple(r) for r in found.collect()]
+
+
 def test_no_documents_and_none_alike(make):
     assert near_duplicates.deduplicated(make([])).collect() == []
     assert [tuple(r) for r in near_duplicates.deduplicated(make([(1, None)])).collect()] == [(1, 0, 1, True)]

@@ -262,7 +262,10 @@ def apart(members: DataFrame, shingles: DataFrame, how: Likeness) -> DataFrame:
     known = members.join(held, ["main", "id"], "left").join(core, "main", "left")
     known = known.withColumns({c: F.coalesce(c, none) for c in ("held", "extra", "core")})
     known = known.withColumn("lacking", F.array_except("core", "held"))
-    marked = [F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("shingle"))) for k, c in enumerate(("extra", "lacking"))]
+    marked = (
+        F.transform("extra", lambda x: F.struct(F.lit(0).alias("kind"), x.alias("shingle"))),
+        F.transform("lacking", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("shingle"))),
+    )
     weight = q * F.col("n") + F.size("lacking") - F.size("core") / 2
     known = known.select("main", "id", "n", "group", weight.alias("w"), F.array_sort(F.concat(*marked)).alias("differences"))
     known = stored(known.withColumn("class", F.floor(F.col("w") / width).cast("int")), "differences")

@@ -115,6 +115,54 @@ def test_near_duplicates(make):
     assert found == plain_components(rows)
 
 
+def variants(seed: int, number: int) -> list[tuple[int, str]]:
+    """Documents of four cores, each with some of the core's passages and a few changed words."""
+    draw = random.Random(seed)
+    rows = []
+    cores = [prose(7000 + 10 * seed + i, 150).split() for i in range(4)]
+    extras = [[prose(8000 + 100 * seed + 10 * i + j, 12).split() for j in range(4)] for i in range(4)]
+    for doc in range(number):
+        k = draw.randrange(4)
+        words = list(cores[k])
+        for part in draw.sample(extras[k], draw.randrange(0, 4)):
+            at = 30 * draw.randrange(1, 5)
+            words[at:at] = part
+        for _ in range(draw.randrange(0, 4)):
+            words[draw.randrange(len(words))] = f"w{draw.randrange(40)}"
+        rows.append((doc, " ".join(words)))
+    return rows
+
+
+def test_variants_of_a_core_lose_no_link(make):
+    """Ten groups of variants in one table, 600 documents of the first."""
+    rows = [(1000 * seed + i, text) for seed in range(10) for i, text in variants(seed, 600 if seed == 0 else 100)]
+    found = sorted((tuple(r) for r in near_duplicates.deduplicated(make(rows)).collect()), key=repr)
+    assert found == plain_components(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_split_lists_lose_no_pair(spark, seed):
+    """Pairs of one main component that can link are all formed, or both sides with the member of least weight."""
+    draw = random.Random(seed)
+    percent, size = 75, 80
+    sets = {}
+    for i in range(60):
+        own = set(range(size)) - set(draw.sample(range(size), draw.randrange(0, 14)))
+        own |= {1000 + x for x in draw.sample(range(30), draw.randrange(0, 14))}
+        sets[i] = own
+    rows = [(0, i, len(s) + draw.randrange(0, 4), i) for i, s in sets.items()]
+    n = {i: m for _, i, m, _ in rows}
+    members = spark.createDataFrame(rows, "main long, id long, n long, group long")
+    shingles = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id long, shingle long")
+    found = near_duplicates.apart(members, shingles, near_duplicates.Likeness())
+    met = {frozenset((r.id, r.other)) for r in found.collect()}
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (n[a] + n[b] - both) and frozenset((a, b)) not in met:
+                assert any(frozenset((a, c)) in met and frozenset((b, c)) in met for c in sets), (a, b)
+
+
 def test_ties_without_common_differences_are_formed(spark):
     """Of a core of 59, one lacks nothing and one 11; 48 shared of a union of 64 are 75 percent."""
     members = spark.createDataFrame([(2, 2, 61, 2), (2, 1, 51, 1), (2, 3, 70, 2)], "main long, id long, n long, group long")

@@ -13,12 +13,15 @@ from fleetlens.llm import (
     near_duplicates,
     oracle,
     packing,
+    periodic_runs,
+    piece_tokens,
     private_data,
     quality_rules,
     substring_dedup,
     token_counts,
     token_files,
     vector_links,
+    whitening,
 )
 from fleetlens.llm.common import work_path
 
@@ -26,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -92,6 +96,21 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.sampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.found(periodic_runs.planted(documents(spark, sf_dir))))
+
+
+@query
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.round_trip(documents(spark, sf_dir), PIECES)
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": oracle.REPEATS,

@@ -244,8 +244,9 @@ def apart(members: DataFrame, shingles: DataFrame, how: Likeness) -> DataFrame:
 
     so a link needs at least w(X) + w(Y) common differences, where w(X) = q * n + |M(X)| - |C| / 2 and q = percent /
     (100 + percent). Where that is nothing, both link with the member of least w, and only that pair is formed. Else
-    the two share one of the first |D| - need + 1 differences of each, in any fixed order; members are dealt into
-    classes of w, and each lists these differences once for each class that it can meet.
+    the two share one of the first |D| - need + 1 differences of each, when both are ordered alike: rarest first, so
+    that common ones are seldom listed. Members are dealt into classes of w, and each lists these differences once
+    for each class that it can meet.
     """
     q, width = how.percent / (100 + how.percent), 4.0
     sets = members.select("main", "id").join(shingles, "id")
@@ -267,8 +268,13 @@ def apart(members: DataFrame, shingles: DataFrame, how: Likeness) -> DataFrame:
         F.transform("lacking", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("shingle"))),
     )
     weight = q * F.col("n") + F.size("lacking") - F.size("core") / 2
-    known = known.select("main", "id", "n", "group", weight.alias("w"), F.array_sort(F.concat(*marked)).alias("differences"))
+    known = known.select("main", "id", "n", "group", weight.alias("w"), F.concat(*marked).alias("differences"))
     known = stored(known.withColumn("class", F.floor(F.col("w") / width).cast("int")), "differences")
+    single = known.select("main", "id", F.explode("differences").alias("difference"))
+    rarity = single.groupBy("main", "difference").agg(F.count("*").alias("times"))
+    ranked = single.join(rarity, ["main", "difference"]).groupBy("main", "id")
+    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("times", "difference"))).alias("ranked"))
+    known = stored(known.drop("differences").join(ranked, ["main", "id"], "left"), "ranked")
 
     first = known.groupBy("main").agg(F.min(F.struct("w", "id", "n", "group")).alias("first"), F.collect_set("class").alias("classes"))
     rows = known.join(first, "main")
@@ -277,8 +283,9 @@ def apart(members: DataFrame, shingles: DataFrame, how: Likeness) -> DataFrame:
 
     listed = rows.withColumn("meets", F.explode("classes"))
     need = F.greatest(F.lit(1), F.ceil(F.col("w") + F.col("meets") * width - 1e-6)).cast("int")
-    listed = listed.withColumn("length", F.size("differences") - need + 1).where("length > 0")
-    listed = listed.withColumn("difference", F.explode(F.slice("differences", F.lit(1), F.col("length"))))
+    listed = listed.where("ranked IS NOT NULL").withColumn("length", F.size("ranked") - need + 1).where("length > 0")
+    listed = listed.withColumn("entry", F.explode(F.slice("ranked", F.lit(1), F.col("length")))).where("entry.times > 1")
+    listed = listed.withColumn("difference", F.col("entry.difference"))
     asking = listed.where(F.col("group") != F.col("main")).select("main", "difference", "class", "meets", "id", "n", "group")
     asked = listed.select(
         "main",

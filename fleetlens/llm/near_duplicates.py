@@ -170,19 +170,17 @@ def small(batches, rows: int = 512):
 
 def links(lists: DataFrame, classes: DataFrame, texts: DataFrame, how: Likeness) -> DataFrame:
     """``node, component`` over verified links of the documents in the lists."""
-    tested, edges, groups = None, None, None
+    tested, groups = None, None
 
     def test(pairs: DataFrame) -> None:
-        nonlocal tested, edges, groups
+        nonlocal tested, groups
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         passed = stored(estimated(pairs, classes, how), "estimates")
         linked = verified(passed.where("not sure").select("a", "b"), texts, how).unionByName(passed.where("sure").select("a", "b"))
-        linked = stored(linked.distinct(), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = linked if edges is None else edges.unionByName(linked)
-        groups = components(edges)
+        groups = joined_groups(groups, stored(linked, "links"))
 
     def grouped(rows: DataFrame) -> DataFrame:
         if groups is None:
@@ -220,6 +218,22 @@ def links(lists: DataFrame, classes: DataFrame, texts: DataFrame, how: Likeness)
     return groups
 
 
+def joined_groups(groups: DataFrame | None, linked: DataFrame) -> DataFrame:
+    """``node, component`` with new links ``a, b`` taken in: only the links between components are worked through."""
+    if groups is None:
+        return components(linked)
+    for end in "ab":
+        own = groups.select(F.col("node").alias(end), F.col("component").alias("of"))
+        linked = linked.join(own, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    between = stored(linked.where("a <> b").distinct(), "between")
+    if between.isEmpty():
+        return groups
+    moved = components(between)
+    target = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = groups.join(target, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stored(known.unionByName(moved.join(groups, "node", "left_anti")), "groups")
+
+
 def shared_shingles(texts: DataFrame, ids: DataFrame, how: Likeness) -> DataFrame:
     """``id, shingle`` of these documents, without shingles that only one of them has."""
 

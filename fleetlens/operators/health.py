@@ -25,17 +25,26 @@ def machine_health(fleet: Fleet, as_of: Moment) -> DataFrame:
     for days in WINDOWS:
         since = F.lit(str(day_start(as_of, -days) + clock)).cast(kind)
         means.append(F.avg(F.when(F.col("vwtime") >= since, F.col("wscore"))).alias(f"score_{days}"))
-    scores = facts.groupBy("wguid").agg(*means)
+    return score_categories(facts.groupBy("wguid").agg(*means))
+
+
+def score_categories(scores: DataFrame) -> DataFrame:
+    """``(wguid, category_7, category_30)`` of ``(wguid, score_7, score_30)``."""
     return scores.select("wguid", *[health_category(f"score_{d}").alias(f"category_{d}") for d in WINDOWS])
 
 
 def health_summary(fleet: Fleet, cohort: DataFrame, as_of: Moment) -> DataFrame:
+    """``summary`` of the machines' health at ``as_of``."""
+    return summary(machine_health(fleet, as_of), cohort)
+
+
+def summary(categories: DataFrame, cohort: DataFrame) -> DataFrame:
     """Machines per sensor, window and category; every category is listed, also with 0 machines.
 
     The machines themselves are in ``health_members``, as rows: a set of all machines in one cell
     would have to be built by one task.
     """
-    scored = cohort.select("sensor", "wguid").join(machine_health(fleet, as_of), "wguid", "left")
+    scored = cohort.select("sensor", "wguid").join(categories, "wguid", "left")
     counts, cells = [], []
     for days in WINDOWS:
         for rank, (name, _) in enumerate(HEALTH_CATEGORIES, start=1):
@@ -54,7 +63,12 @@ def health_summary(fleet: Fleet, cohort: DataFrame, as_of: Moment) -> DataFrame:
 
 def health_members(fleet: Fleet, cohort: DataFrame, as_of: Moment) -> DataFrame:
     """The machines behind ``health_summary``: ``(sensor, days, health_score, wguid)``."""
-    scored = cohort.select("sensor", "wguid").join(machine_health(fleet, as_of), "wguid")
+    return members(machine_health(fleet, as_of), cohort)
+
+
+def members(categories: DataFrame, cohort: DataFrame) -> DataFrame:
+    """The machines behind ``summary``."""
+    scored = cohort.select("sensor", "wguid").join(categories, "wguid")
     windows = F.array(
         *[
             F.struct(F.lit(days).alias("days"), F.col(f"category_{days}").alias("health_score"))

@@ -33,18 +33,22 @@ def has_own_range(cohort: DataFrame) -> bool:
     return "date_from" in cohort.columns
 
 
-def _machine_counts(facts: DataFrame, by: Sequence[str], keys: Sequence[str], mode: str) -> DataFrame:
+def _machine_counts(
+    facts: DataFrame, by: Sequence[str], keys: Sequence[str], mode: str, weight: str | None = None
+) -> DataFrame:
     """Per machine: one row per key with its row count, and one row that says the machine has any.
 
     Both come out of the same pass, so numerator and denominator need one scan and one shuffle.
-    ``by`` are further columns to keep apart.
+    ``by`` are further columns to keep apart; a row stands for ``weight`` rows where such a column is named.
     """
     total = F.col("is_total")
     doubled = facts.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_total"))
     blanked = [F.when(~total, F.col(k)).alias(k) for k in keys]
-    amount = F.count(F.lit(1)) if mode == "rows" else F.lit(1).cast("long")
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    amount = rows if mode == "rows" else F.lit(1).cast("long")
     n = F.when(total, F.lit(1).cast("long")).otherwise(amount).alias("n")
-    return doubled.select(*by, "wguid", *blanked, "is_total").groupBy(*by, "wguid", *keys, "is_total").agg(n)
+    weights = [weight] if weight else []
+    return doubled.select(*by, "wguid", *blanked, *weights, "is_total").groupBy(*by, "wguid", *keys, "is_total").agg(n)
 
 
 def _join_own_ranges(daily: DataFrame, cohort: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -78,6 +82,7 @@ def presence_pct(
     mode: str = "rows",
     within: Sequence[str] = (),
     time: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Share of the cohort's machines that have each key, in percent; strictly above the threshold.
 
@@ -85,7 +90,8 @@ def presence_pct(
     counts rows, so repeated rows of one machine can pass 100; ``mode="machines"`` counts machines.
     NULL text keys form the group of one blank. ``within`` splits both counts, e.g. by window.
     If the cohort has per-sensor ranges, ``time`` names the fact time they apply to; without it
-    the facts are taken whole.
+    the facts are taken whole. With ``weight``, facts were counted before (``partials``): that column says how many
+    rows a row stands for.
 
     The facts are reduced to one row per machine and key before the join with the cohort, which
     repeats them once per sensor of the machine. The totals are read from the same shuffled result.
@@ -94,6 +100,8 @@ def presence_pct(
         raise ValueError(f"mode must be 'rows' or 'machines', not {mode!r}")
     text = [k for k in keys if isinstance(facts.schema[k].dataType, StringType)]
     facts = facts.na.fill(" ", subset=text) if text else facts
+    if weight and ("sensor" in facts.columns or has_own_range(cohort)):
+        raise ValueError("counted facts belong to one window: no sensors and no ranges of their own")
     if "sensor" in facts.columns:  # already joined with the cohort
         counts = _machine_counts(facts, ["sensor", *within], keys, mode)
     elif has_own_range(cohort) and time is not None:
@@ -105,7 +113,7 @@ def presence_pct(
         counts = ranged.groupBy("sensor", *within, "wguid", *keys, "is_total").agg(n)
     else:
         # The next shuffle is by key, so AQE is free to split a machine's partition of this join.
-        counts = _machine_counts(facts, within, keys, mode)
+        counts = _machine_counts(facts, within, keys, mode, weight)
         counts = counts.join(cohort.select("sensor", "wguid"), "wguid")
     group = ["sensor", *within]
     sums = counts.groupBy(*group, *keys, "is_total").agg(F.sum("n").alias("n"))
@@ -204,11 +212,20 @@ def app_fault_presence(
     The newest fault is chosen first and then tested against the 7 days.
     """
     facts = in_range(fleet["app_faults"], "vwtime", day_start(as_of, -30), day_start(as_of, 1))
-    # NULL in name or version makes a NULL label, which is then counted as one blank.
+    latest = latest_per(labelled_faults(facts), ["wguid", "appname"], "vwtime", ["app"])
+    return latest_fault_presence(latest, cohort, as_of, threshold=threshold)
+
+
+def labelled_faults(facts: DataFrame) -> DataFrame:
+    """``wguid, appname, vwtime, app``; the label is NULL where the name or the version is."""
     label = F.concat(F.col("appname"), F.lit(" "), F.col("appver")).alias("app")
-    latest = latest_per(facts.select("wguid", "appname", "vwtime", label), ["wguid", "appname"], "vwtime", ["app"])
+    return facts.select("wguid", "appname", "vwtime", label)
+
+
+def latest_fault_presence(latest: DataFrame, cohort: DataFrame, as_of: Moment, *, threshold: float = RARE) -> DataFrame:
+    """``app_fault_presence`` from the newest fault per machine and application."""
     week = F.lit(str(day_start(as_of, -7) + (moment(as_of) - day_start(as_of))))
-    recent = F.col("vwtime") >= week.cast(facts.schema["vwtime"].dataType)
+    recent = F.col("vwtime") >= week.cast(latest.schema["vwtime"].dataType)
     windows = F.array_compact(F.array(F.lit(30), F.when(recent, F.lit(7))))
     stacked = latest.select("wguid", "app", F.explode(windows).alias("days"))
     return presence_pct(stacked, cohort, ["app"], threshold=threshold, within=["days"])

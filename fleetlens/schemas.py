@@ -73,4 +73,5 @@ REPORT_SCHEMAS = {
     "job_titles": "sensor string, jobtitle string, count bigint, rank int",
     "health": "sensor string, days int, rank int, health_score string, machine_count bigint",
     "health_members": "sensor string, days int, health_score string, wguid string",
+    "silent_sensors": "sensor string, silent boolean",
 }

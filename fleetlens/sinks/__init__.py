@@ -1,23 +1,17 @@
-from fleetlens.sinks.datasets import (
-    backfill_targets,
-    clear_complete,
-    mark_complete,
-    publish_view,
-    read_dataset,
-    read_report,
-    settle,
-    write_csv,
-    write_dataset,
-)
+from fleetlens.sinks.datasets import publish_view, read_dataset, settle, write_csv, write_dataset
+from fleetlens.sinks.runs import live, new_run, publish, read_published, read_report, runs_of, unpublished
 
 __all__ = [
-    "backfill_targets",
-    "clear_complete",
-    "mark_complete",
+    "live",
+    "new_run",
+    "publish",
     "publish_view",
     "read_dataset",
+    "read_published",
     "read_report",
+    "runs_of",
     "settle",
+    "unpublished",
     "write_csv",
     "write_dataset",
 ]

@@ -3,17 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from fleetlens.schemas import REPORT_SCHEMAS
-
-COMPLETE = "complete_sensors"
-
 
 def write_dataset(df: DataFrame, root: str, name: str, *, replace_all: bool = True) -> None:
     """Writes a dataset under ``root/name``, one Parquet partition per sensor.
@@ -63,36 +56,3 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     """Names a frame for SQL in this session, replacing an earlier one of that name."""
     df.createOrReplaceTempView(name)
     return df
-
-
-def mark_complete(sensors: DataFrame, root: str, *, replace_all: bool = True) -> None:
-    """Notes that everything of these sensors is stored. Written last, one row per sensor."""
-    mode = "overwrite" if replace_all else "append"
-    sensors.select("sensor").distinct().coalesce(1).write.mode(mode).parquet(f"{root}/{COMPLETE}")
-
-
-def clear_complete(spark: SparkSession, root: str) -> None:
-    """Takes back the notes of an earlier run before its datasets are replaced."""
-    spark.createDataFrame([], "sensor string").write.mode("overwrite").parquet(f"{root}/{COMPLETE}")
-
-
-def backfill_targets(catalogue: DataFrame, root: str) -> DataFrame:
-    """Sensors of the catalogue that no run has completed under ``root``."""
-    try:
-        done = catalogue.sparkSession.read.schema("sensor string").parquet(f"{root}/{COMPLETE}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return catalogue.select("sensor")
-    return catalogue.select("sensor").join(done.distinct(), "sensor", "left_anti")
-
-
-def read_report(
-    spark: SparkSession, root: str, sensors: Sequence[str] | None = None, datasets: Sequence[str] | None = None
-) -> dict[str, DataFrame]:
-    """The stored datasets of a report, of the wanted sensors only; their schemas are declared, not inferred."""
-    found = {}
-    for name in datasets or REPORT_SCHEMAS:
-        df = read_dataset(spark, root, name, StructType.fromDDL(REPORT_SCHEMAS[name]))
-        found[name] = df if sensors is None else df.filter(F.col("sensor").isin(list(sensors)))
-    return found

@@ -174,6 +174,25 @@ _CHANGES = """SELECT wguid, software, newversion FROM (
   FROM recent_installs) WHERE newest = 1"""
 _USAGE = f"""SELECT DISTINCT wguid, p_name AS applicationname FROM installs
   WHERE starttime >= TIMESTAMP '{s.ITEMS_FROM}' AND starttime <= TIMESTAMP '{s.ITEMS_TO}'"""
+_MOVED = f"installdate >= TIMESTAMP '{s.MOVED_FROM}' AND installdate <= TIMESTAMP '{s.MOVED_TO}'"
+_MOVED_PATCHES = f"SELECT wguid, p_name AS patchname FROM installs WHERE {_MOVED}"
+_MOVED_SOFTWARE = f"SELECT wguid, p_type AS packagename, p_brand AS version FROM installs WHERE {_MOVED}"
+_MOVED_USAGE = f"""SELECT wguid, p_name AS applicationname FROM installs
+  WHERE starttime >= TIMESTAMP '{s.MOVED_FROM}' AND starttime <= TIMESTAMP '{s.MOVED_TO}'"""
+_MOVED_CHANGES = f"""SELECT wguid, software, newversion FROM (
+  SELECT wguid, p_type AS software, p_brand AS newversion,
+         row_number() OVER (PARTITION BY wguid, p_type ORDER BY installdate DESC, p_brand DESC) AS newest
+  FROM installs WHERE {_MOVED}) WHERE newest = 1"""
+_MIDNIGHT_HEALTH = """
+  SELECT c.sensor, w.days, k.rank, k.health_score, count(h.wguid) AS machine_count
+  FROM cohort c CROSS JOIN (VALUES (7), (30)) w(days)
+  CROSS JOIN (VALUES (1, 'Poor', 0.0, 80.0), (2, 'Fair', 80.0, 90.0), (3, 'Good', 90.0, 97.0), (4, 'Excellent', 97.0, 1e9))
+    k(rank, health_score, above, upto)
+  LEFT JOIN (SELECT user_id AS wguid, d.days, avg(value * 1.8) AS score FROM events, (VALUES (7), (30)) d(days)
+             WHERE event_type <> 'view' AND ts >= TIMESTAMP '2024-01-30' - to_days(d.days) AND ts <= TIMESTAMP '2024-01-31'
+             GROUP BY ALL) h
+  ON h.wguid = c.wguid AND h.days = w.days AND h.score > k.above AND h.score <= k.upto
+  GROUP BY ALL"""
 _LOCATION = "city || ',' || country"
 _TITLES = """SELECT c.sensor, 'Title ' || CAST(u.c_nationkey AS VARCHAR) AS jobtitle, count(*) AS count
   FROM hosts u JOIN (SELECT c_name FROM orders JOIN customer ON o_custkey = c_custkey) d ON d.c_name = u.c_name
@@ -442,6 +461,11 @@ _QUERIES = {
         UNION ALL
         SELECT sensor, 'Other' AS label, CAST(coalesce(sum(CASE WHEN count < 0.05 * total THEN count END), 0) AS BIGINT)
         FROM shares GROUP BY sensor""",
+    "moved_patches": _presence(_MOVED_PATCHES, ["patchname"], s.LOW),
+    "moved_software": _presence(_MOVED_SOFTWARE, ["packagename", "version"], 1),
+    "moved_usage": _presence(_MOVED_USAGE, ["applicationname"], s.LOW, mode="machines"),
+    "merged_changes": _presence(_MOVED_CHANGES, ["software", "newversion"], 1),
+    "merged_health": _MIDNIGHT_HEALTH,
     "health_summary": _HEALTH,
     "health_members": """
         SELECT c.sensor, h.days, h.health_score, h.wguid FROM cohort c JOIN health h ON c.wguid = h.wguid

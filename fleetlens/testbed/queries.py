@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from fleetlens.operators import anomaly, cohort, compare, cosensor, enriched, health, presence, profile, timeseries
-from fleetlens.plans import reports
+from fleetlens.functions import in_range
+from fleetlens.operators import anomaly, cohort, compare, cosensor, enriched, health, partials, presence, profile, timeseries
+from fleetlens.plans import moving, reports
 from fleetlens.sources.tables import Fleet
 from fleetlens.testbed import settings as s
 from fleetlens.testbed.fleet import (
@@ -351,6 +353,56 @@ def health_two_windows(fleet):
     return health.health_window_compare(health.health_summary(fleet, machines(fleet), s.AS_OF))
 
 
+# Windows moved by days
+
+
+def _moved_window(fleet, name):
+    """The counts of a window, moved: each scan reads only the days that enter, leave or were there before."""
+    how = moving.MOVING[name]
+
+    def days(start, end):
+        return how.days(in_range(fleet[how.table], how.time, start, end))
+
+    before = partials.merged(partials.inside(days(s.WINDOW_FROM, s.WINDOW_TO), s.WINDOW_FROM, s.WINDOW_TO), how.keys)
+    gained = partials.entering(days(s.WINDOW_TO, s.MOVED_TO), s.WINDOW_TO, s.MOVED_TO)
+    lost = partials.leaving(days(s.WINDOW_FROM, s.MOVED_FROM), s.WINDOW_FROM, s.MOVED_FROM)
+    return partials.moved(before, gained, lost, how.keys)
+
+
+@query
+def moved_patches(fleet):
+    window = _moved_window(fleet, "patches")
+    return presence.presence_pct(window, machines(fleet), ["patchname"], threshold=s.LOW, weight="n")
+
+
+@query
+def moved_software(fleet):
+    window = _moved_window(fleet, "software")
+    return presence.presence_pct(window, machines(fleet), ["packagename", "version"], threshold=1.0, weight="n")
+
+
+@query
+def moved_usage(fleet):
+    window = _moved_window(fleet, "app_usage")
+    return presence.presence_pct(window, machines(fleet), ["applicationname"], threshold=s.LOW, mode="machines", weight="n")
+
+
+@query
+def merged_changes(fleet):
+    how = moving.MOVING["software_changes"]
+    days = how.days(in_range(fleet[how.table], how.time, s.MOVED_FROM, s.MOVED_TO))
+    newest = partials.merged_newest(partials.inside(days, s.MOVED_FROM, s.MOVED_TO), how.keys, how.time, ["newversion"])
+    return presence.presence_pct(newest, machines(fleet), ["software", "newversion"], threshold=1.0)
+
+
+@query
+def merged_health(fleet):
+    how = moving.MOVING["health"]
+    end = date.fromisoformat(s.MONTH_TO) - timedelta(days=1)
+    facts = in_range(fleet[how.table], how.time, end - timedelta(days=30), end + timedelta(days=1))
+    return health.summary(health.score_categories(moving.window_scores(how.days(facts), end)), machines(fleet))
+
+
 # Two machines
 
 

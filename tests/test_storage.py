@@ -1,14 +1,15 @@
 import os
+import random
 from datetime import timedelta
 
 import pytest
 
 from fleetlens.functions import file_key
 from fleetlens.operators import cohort as c
-from fleetlens.plans import anomaly_refresh, backfill, daily_refresh, refresh, reports
+from fleetlens.plans import anomaly_refresh, backfill, daily_refresh, moving_refresh, refresh, reports
 from fleetlens.plans.reports import DATASETS
 from fleetlens.schemas import TABLES
-from fleetlens.sinks import publish_view, read_dataset, read_report, settle, write_csv, write_dataset
+from fleetlens.sinks import new_run, publish, publish_view, read_dataset, read_report, runs_of, settle, write_csv, write_dataset
 from fleetlens.sources import Fleet, catalogue_frame, read_csv, read_indexed_csv, read_name_list, read_sensor_names
 from frames import at, day, fleet, make, rows
 
@@ -90,17 +91,21 @@ def whole_fleet(spark):
 
 def test_daily_refresh_and_backfill(spark, root):
     tables = whole_fleet(spark)
-    daily_refresh(tables, ["S", "U"], root, "2024-06-30")
-    assert {*DATASETS, "results", "cohort", "timeline", "silent_sensors", "complete_sensors"} == set(os.listdir(root))
-    kept = spark.read.schema("system_percentage double, patchname string, sensor string").parquet(f"{root}/patches")
-    assert rows(kept.select("sensor", "patchname", "system_percentage")) == [("S", "P", 100.0)]
-    assert rows(spark.read.parquet(f"{root}/silent_sensors")) == [("U",)]
+    run = daily_refresh(tables, ["S", "U"], root, "2024-06-30")
+    assert {*DATASETS, "results", "cohort", "timeline", "silent_sensors"} == set(os.listdir(f"{root}/runs/{run}"))
+    assert set(os.listdir(root)) == {"runs", "manifest"}
+    stored = read_report(spark, root)
+    assert rows(stored["patches"]) == [("S", "P", 100.0)]
+    assert rows(stored["silent_sensors"]) == [("U", True)]
     assert backfill(tables, ["S", "T", "U"], root, "2024-06-30") == ["T"]
-    assert rows(spark.read.parquet(f"{root}/cohort").select("sensor", "wguid")) == [("S", "a"), ("T", "b")]
+    assert rows(read_report(spark, root, datasets=["cohort"])["cohort"]) == [("S", "a"), ("T", "b")]
     assert backfill(tables, ["S", "T", "U"], root, "2024-06-30") == []
+    assert [held for _, _, held in runs_of(spark, root)] in (["S", "U"], [["S", "U"], ["T"]], [["T"], ["S", "U"]])
+    daily_refresh(tables, ["T"], root, "2024-06-30")  # a whole run ends what others hold
+    assert rows(read_report(spark, root, datasets=["cohort"])["cohort"]) == [("T", "b")]
 
 
-STAGES = ["results", "timeline", "cohort", "patches", "health_members", "silent_sensors"]
+STAGES = ["results", "timeline", "cohort", "patches", "health_members", "silent_sensors", "publish"]
 
 
 class Stopped(Exception):
@@ -108,46 +113,114 @@ class Stopped(Exception):
 
 
 @pytest.mark.parametrize("stage", STAGES)
-def test_backfill_completes_what_was_stopped(spark, tmp_path, monkeypatch, stage):
-    """Stopped before a dataset is written; backfill then gives what a whole run gives."""
-    tables = whole_fleet(spark)
-    wanted = ("patches", "health_members")
-    monkeypatch.setattr(refresh, "cohort_report", lambda *a: reports.cohort_report(*a, datasets=wanted))
-    whole, stopped = str(tmp_path / "whole"), str(tmp_path / "stopped")
-    daily_refresh(tables, ["S", "U"], whole, "2024-06-30")
-    write, mark = refresh.write_dataset, refresh.mark_complete
+def test_a_stopped_run_changes_nothing_and_is_made_good(spark, tmp_path, monkeypatch, stage):
+    """A run of May is published, one of later in May stopped; readers see the first until a third completes all.
 
-    def stop(df, root, name, **how):
+    The patch of S is from the first month only and T fires in the second only, so that rows of either would show.
+    """
+    tables = whole_fleet(spark)
+    tables = Fleet(spark, frames={**{t: tables[t] for t in TABLES}, "patches": tables["patches"].where("installdate < '2024-05-01'")})
+    wanted = [name for name in DATASETS if name in ("patches", "models", "health_members")]
+    monkeypatch.setattr(refresh, "cohort_report", lambda *a: reports.cohort_report(*a[:5], [n for n in wanted if n in a[5]]))
+    sensors, root, whole = ["S", "T", "U"], str(tmp_path / "stopped"), str(tmp_path / "whole")
+    names = ("results", "timeline", "cohort", "silent_sensors", *wanted)
+    daily_refresh(tables, sensors, root, "2024-04-10")
+    before = {name: rows(df) for name, df in read_report(spark, root, datasets=names).items()}
+    assert before["patches"] == [("S", "P", 100.0)] and before["silent_sensors"] == [("T", True), ("U", True)]
+    write = refresh.write_dataset
+
+    def stop(df, folder, name, **how):
         if name == stage:
             raise Stopped
-        write(df, root, name, **how)
+        write(df, folder, name, **how)
 
-    def no_mark(*a, **how):
+    def no_publishing(*a, **how):
         raise Stopped
 
     with monkeypatch.context() as patched:
         patched.setattr(refresh, "write_dataset", stop)
-        patched.setattr(refresh, "mark_complete", no_mark)
+        patched.setattr(refresh, "publish", no_publishing)
         with pytest.raises(Stopped):
-            daily_refresh(tables, ["S", "U"], stopped, "2024-06-30")
-    assert refresh.mark_complete is mark
-    assert backfill(tables, ["S", "U"], stopped, "2024-06-30") == ["S", "U"]
-    assert backfill(tables, ["S", "U"], stopped, "2024-06-30") == []
-    names = ("results", "timeline", "cohort", *wanted)
-    for name, df in read_report(spark, whole, datasets=names).items():
-        assert rows(read_report(spark, stopped, datasets=[name])[name]) == rows(df), name
+            daily_refresh(tables, sensors, root, "2024-06-24")
+    assert {name: rows(df) for name, df in read_report(spark, root, datasets=names).items()} == before
+    assert backfill(tables, sensors, root, "2024-06-30") == sensors
+    assert backfill(tables, sensors, root, "2024-06-30") == []
+    daily_refresh(tables, sensors, whole, "2024-06-30")
+    wanted, found = read_report(spark, whole, datasets=names), read_report(spark, root, datasets=names)
+    for name, df in wanted.items():
+        assert rows(found[name]) == rows(df), name
+    assert rows(found["silent_sensors"]) == [("U", True)] and rows(found["patches"]) == []
+
+
+def moving_fleet(spark, first=None, last=None):
+    """Facts of every kind on many days, some at midnight; with bounds, only those in them, as if others were lost."""
+    draw = random.Random(12)
+    days = [day("2024-05-25") + timedelta(days=i) for i in range(45)]
+    tables = {name: [] for name in TABLES}
+
+    def add(table, time, **values):
+        when = at(f"{draw.choice(days)} {draw.choice(['00:00:00', '00:00:01', '13:30:00', '23:59:59'])}")
+        if (first is None or when >= at(first)) and (last is None or when <= at(last)):
+            tables[table].append({time: when, **values})
+
+    for _ in range(260):
+        m = draw.choice("abcd")
+        add("sensor_results_daily", "resulttime", wguid=m, sensorname=draw.choice("ST"), sensorsystemid="w")
+        add("sensor_results_raw", "resulttime", wguid=m, systemid="w", sensorname=draw.choice("ST"), severity=9)
+        add("patches", "installdate", wguid=m, patchname=draw.choice(["P", "Q", None, " "]))
+        add("controllers", "datemodified", wguid=m, caption=draw.choice("xy"))
+        add("software", "installdate", wguid=m, packagename=draw.choice("kl"), version=draw.choice(["1", None]))
+        add("software_changes", "changetime", wguid=m, software=draw.choice(["o", None]), newversion=draw.choice("123"))
+        add("app_faults", "vwtime", wguid=m, appname=draw.choice("vw"), appver=draw.choice(["1", "2", None]))
+        add("app_usage", "starttime", wguid=m, applicationname=draw.choice("fgh"))
+        add("health_daily", "vwtime", wguid=m, wscore=float(draw.randrange(60, 101)), activestatus=draw.randrange(2))
+    tables["bios"] = [{"wguid": "a", "name": "B", "date": day("2020-01-01")}]
+    return fleet(spark, **tables)
+
+
+def same_report(spark, left, right):
+    wanted = read_report(spark, right)
+    for name, df in read_report(spark, left).items():
+        assert rows(df) == rows(wanted[name]), name
+
+
+def test_moving_the_window_reads_the_facts_of_the_new_days_only(spark, tmp_path):
+    """Facts before the run of the day before, and after the day, are missing; the report is that of all facts."""
+    sensors, moved = ["S", "T", "S:T", "U"], str(tmp_path / "moved")
+    moving_refresh(moving_fleet(spark), sensors, moved, "2024-06-25")
+    previous = "2024-06-25"
+    for as_of, until in (("2024-06-26", "2024-06-27 00:00:00"), ("2024-06-29", "2024-06-30 00:00:00")):
+        moving_refresh(moving_fleet(spark, f"{previous} 00:00:00", until), sensors, moved, as_of)
+        whole = str(tmp_path / f"whole-{as_of}")
+        daily_refresh(moving_fleet(spark), sensors, whole, as_of)
+        same_report(spark, moved, whole)
+        stored = read_report(spark, moved)
+        assert all(rows(stored[name]) for name in ("patches", "software_changes", "app_faults", "app_usage", "health_members"))
+        previous = as_of
+
+
+def test_moving_starts_anew_for_other_sensors_and_after_a_long_pause(spark, tmp_path):
+    moved, whole = str(tmp_path / "moved"), str(tmp_path / "whole")
+    moving_refresh(moving_fleet(spark), ["S"], moved, "2024-05-26")
+    moving_refresh(moving_fleet(spark), ["S", "T"], moved, "2024-05-27")
+    moving_refresh(moving_fleet(spark), ["S", "T"], moved, "2024-07-01")
+    daily_refresh(moving_fleet(spark), ["S", "T"], whole, "2024-07-01")
+    same_report(spark, moved, whole)
 
 
 def test_reading_a_stored_report_of_some_sensors(spark, root):
     shares = spark.createDataFrame([("007", "x", 60.0), ("A ", "y", 70.0)], "sensor string, patchname string, system_percentage double")
-    write_dataset(shares.select("patchname", "system_percentage", "sensor"), root, "patches")
+    run, folder = new_run(root, "2024-06-30")
+    write_dataset(shares.select("patchname", "system_percentage", "sensor"), folder, "patches")
+    assert read_report(spark, root, datasets=["patches"])["patches"].count() == 0
+    publish(shares, root, run, "2024-06-30")
     stored = read_report(spark, root, ["007"], ["patches"])["patches"]
     assert rows(stored) == [("007", "x", 60.0)] and stored.columns == ["sensor", "patchname", "system_percentage"]
     assert rows(read_report(spark, root, ["A "], ["patches"])["patches"]) == [("A ", "y", 70.0)]
 
 
 def test_anomaly_refresh(spark, root):
-    anomaly_refresh(whole_fleet(spark), ["S", "T", "U"], root, "2024-06-30")
+    root = f"{root}/runs/{anomaly_refresh(whole_fleet(spark), ['S', 'T', 'U'], root, '2024-06-30')}"
     points = spark.read.parquet(f"{root}/points")
     flagged = {r.ds for r in points.filter("is_anomaly").collect()}
     wide = read_csv(spark, f"{root}/anomaly_days", dates=["S"])

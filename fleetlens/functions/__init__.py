@@ -1,3 +1,4 @@
+from fleetlens.functions.arrays import count_upto
 from fleetlens.functions.labels import (
     city_label,
     file_key,
@@ -20,6 +21,7 @@ from fleetlens.functions.times import day_start, in_range, is_workday, moment
 __all__ = [
     "HEALTH_CATEGORIES",
     "city_label",
+    "count_upto",
     "day_start",
     "file_key",
     "health_category",

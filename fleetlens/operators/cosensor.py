@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.sinks import settle
+
 PAIR_KEYS = ("wguid", "sensorsystemid", "resulttime")
 
 
@@ -41,3 +43,36 @@ def cosensor_results(results: DataFrame, pairs: Sequence[str], *, keys: Sequence
     sides = present.select(*keys, hits.alias("hit")).select(*keys, "hit.pair", "hit.side")
     both = sides.groupBy(*keys, "pair").agg(F.bit_or("side").alias("found")).filter(F.col("found") == 3)
     return both.select(*keys, F.col("pair").alias("sensor"))
+
+
+def frequent_pairs(results: DataFrame, least: int, *, keys: Sequence[str] = PAIR_KEYS, folder: str | None = None) -> DataFrame:
+    """``(sensor="A:B", groups)``: all pairs of sensors, A before B, that share at least ``least`` groups of equal keys.
+
+    A pair can only share as many groups as the rarer of its sensors has, so sensors of fewer groups are left out before
+    any pair is formed (their number of groups is counted first). Of a group, the sensors that are left are kept as one
+    sorted list, equal lists are counted together, and pairs are formed once per distinct list: a thousand groups with
+    the same many sensors list their combinations once. Rows repeat without effect; rows without a sensor or a key do
+    not count. ``folder`` as in ``sinks.settle``, for the distinct rows.
+    """
+    if least < 1:
+        raise ValueError("a pair shares one group at least")
+    present = settle(results.dropna(subset=[*keys, "sensor"]).select(*keys, "sensor").distinct(), folder)
+    support = present.groupBy("sensor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("sensor")
+    lists = present.join(support, "sensor").groupBy(*keys).agg(F.sort_array(F.collect_set("sensor")).alias("sensors"))
+    # As long as the catalogue of sensors at most, however many rows a group has.
+    counted = lists.where(F.size("sensors") > 1).groupBy("sensors").agg(F.count(F.lit(1)).alias("groups"))
+    left = counted.select("sensors", "groups", F.posexplode("sensors").alias("at", "left"))
+    others = F.slice("sensors", F.col("at") + 2, F.size("sensors"))
+    pairs = left.select("left", F.explode(others).alias("right"), "groups").groupBy("left", "right").agg(F.sum("groups").alias("groups"))
+    found = pairs.where(F.col("groups") >= least)
+    return found.select(F.concat_ws(":", "left", "right").alias("sensor"), "groups")
+
+
+def frequent_cosensor_results(
+    results: DataFrame, least: int, *, keys: Sequence[str] = PAIR_KEYS, folder: str | None = None
+) -> DataFrame:
+    """``cosensor_results`` of all frequent pairs, which are names of the catalogue: one row per pair and shared group."""
+    pairs = sorted(row.sensor for row in frequent_pairs(results, least, keys=keys, folder=folder).collect())
+    if not pairs:
+        return results.select(*keys, "sensor").limit(0)
+    return cosensor_results(results, pairs, keys=keys)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fleetlens.functions import (
+    count_upto,
     day_start,
     in_range,
     joined_label,
@@ -26,7 +27,7 @@ from fleetlens.sources.tables import Fleet
 
 COMMON = 50.0
 RARE = 5.0
-_DAY, _LATE = "_day", "_late"
+_PLACE = "_place"
 
 
 def has_own_range(cohort: DataFrame) -> bool:
@@ -51,26 +52,31 @@ def _machine_counts(
     return doubled.select(*by, "wguid", *blanked, *weights, "is_total").groupBy(*by, "wguid", *keys, "is_total").agg(n)
 
 
-def _join_own_ranges(daily: DataFrame, cohort: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Daily rows of the cohort's machines inside the range of each sensor of the machine.
+def _place(time: str) -> Column:
+    """The day of a time and whether it is later than its midnight, as one number; it decides any range of dates."""
+    day = F.to_date(time)
+    return (2 * F.unix_date(day) + (F.col(time) > day).cast("int")).alias(_PLACE)
 
-    What follows groups by sensor, machine and key. The rows are dealt out by these here, so that the join
-    is not bound to the partitioning of the group, and AQE can split a machine that holds much of the facts.
-    """
-    return daily.join(cohort, "wguid").filter(_inside_own_range()).repartition("sensor", "wguid", *keys)
 
+def _own_range() -> tuple[Column, Column]:
+    """The places of the range's last midnight and of what comes right before its first day."""
+    return 2 * F.unix_date(F.col("date_to").cast("date")), 2 * F.unix_date(F.col("date_from").cast("date")) - 1
 
-def _day_columns(time: str) -> tuple[Column, Column]:
-    """The day of a time and whether it is later than its midnight; together they decide any range of dates."""
-    day = F.to_date(time)
-    return day.alias(_DAY), (F.col(time) > day).alias(_LATE)
 
+def _in_own_ranges(daily: DataFrame, cohort: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Counts of each key inside the range of each sensor of the machine, from counts by day.
 
-def _inside_own_range() -> Column:
-    until = F.col("date_to")
-    return (F.col(_DAY) >= F.col("date_from")) & (
-        (F.col(_DAY) < until) | ((F.col(_DAY) == until) & ~F.col(_LATE))
-    )
+    A machine and key become one row with its days in order and the counts up to each of them. The join with the
+    cohort repeats that row once per sensor of the machine, and looks up the two ends of the sensor's range.
+    """
+    group = [*by, "wguid", *keys, "is_total"]
+    until_here = Window.partitionBy(*group).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = daily.where(F.col(_PLACE).isNotNull()).withColumn("n", F.sum("n").over(until_here))
+    days = running.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(_PLACE, "n"))).alias("days"))
+    days = days.select(*group, F.col(f"days.{_PLACE}").alias("places"), F.col("days.n").alias("running"))
+    up_to = [F.coalesce(F.get("running", count_upto(F.col("places"), end) - 1), F.lit(0)) for end in _own_range()]
+    ranged = days.join(cohort.where("date_from IS NOT NULL"), "wguid")
+    return ranged.select("sensor", *group, (up_to[0] - up_to[1]).alias("n")).where("n > 0")
 
 
 def presence_pct(
@@ -105,12 +111,10 @@ def presence_pct(
     if "sensor" in facts.columns:  # already joined with the cohort
         counts = _machine_counts(facts, ["sensor", *within], keys, mode)
     elif has_own_range(cohort) and time is not None:
-        days = facts.select("*", *_day_columns(time))
-        daily = _machine_counts(days, [*within, _DAY, _LATE], keys, mode)
-        ranged = _join_own_ranges(daily, cohort, [*keys, "is_total"])
+        daily = _machine_counts(facts.select("*", _place(time)), [*within, _PLACE], keys, mode)
+        ranged = _in_own_ranges(daily, cohort, within, keys)
         once = F.col("is_total") | F.lit(mode == "machines")
-        n = F.when(F.max(once), F.lit(1).cast("long")).otherwise(F.sum("n")).alias("n")
-        counts = ranged.groupBy("sensor", *within, "wguid", *keys, "is_total").agg(n)
+        counts = ranged.withColumn("n", F.when(once, F.lit(1).cast("long")).otherwise(F.col("n")))
     else:
         # The next shuffle is by key, so AQE is free to split a machine's partition of this join.
         counts = _machine_counts(facts, within, keys, mode, weight)
@@ -125,16 +129,22 @@ def presence_pct(
     return rated.filter(F.col("system_percentage") > threshold)
 
 
-def _latest_in_range(
-    facts: DataFrame, cohort: DataFrame, key: str, time: str, range_time: str, carry: Sequence[str]
-) -> DataFrame:
-    """Newest row per machine and key. With per-sensor ranges: per sensor, among the rows in its range."""
+def _latest_in_range(facts: DataFrame, cohort: DataFrame, key: str, time: str, carry: Sequence[str]) -> DataFrame:
+    """Newest row per machine and key. With per-sensor ranges: per sensor, among the rows in its range.
+
+    For ranges, a machine and key become one row with the newest of each of its days in order; the last one at the end
+    of a sensor's range is the newest inside, if it is not from before the range.
+    """
     if not has_own_range(cohort):
         return latest_per(facts, ["wguid", key], time, carry)
-    days = facts.select("*", *_day_columns(range_time))
-    daily = latest_per(days, ["wguid", key, _DAY, _LATE], time, carry)
-    ranged = _join_own_ranges(daily, cohort, [key])
-    return latest_per(ranged, ["sensor", "wguid", key], time, carry)
+    daily = latest_per(facts.select("*", _place(time)).where(F.col(_PLACE).isNotNull()), ["wguid", key, _PLACE], time, carry)
+    days = daily.groupBy("wguid", key).agg(F.sort_array(F.collect_list(F.struct(_PLACE, time, *carry))).alias("days"))
+    days = days.withColumn("places", F.col(f"days.{_PLACE}"))
+    last, before = _own_range()
+    found = F.get("days", count_upto(F.col("places"), last) - 1).alias("found")
+    ranged = days.join(cohort, "wguid").select("sensor", "wguid", key, found, before.alias("before"))
+    ranged = ranged.where(F.col(f"found.{_PLACE}") > F.col("before"))
+    return ranged.select("sensor", "wguid", key, *[f"found.{c}" for c in (time, *carry)])
 
 
 def patch_presence(
@@ -191,7 +201,7 @@ def software_change_presence(
 ) -> DataFrame:
     """Newest change of every software per machine in the range."""
     facts = in_range(fleet["software_changes"], "changetime", start, end)
-    latest = _latest_in_range(facts, cohort, "software", "changetime", "changetime", ["newversion"])
+    latest = _latest_in_range(facts, cohort, "software", "changetime", ["newversion"])
     return presence_pct(latest, cohort, ["software", "newversion"], threshold=threshold)
 
 

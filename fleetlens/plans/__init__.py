@@ -1,4 +1,4 @@
-from fleetlens.plans.moving import moving_refresh
+from fleetlens.plans.moving import moving_refresh, stored_report
 from fleetlens.plans.refresh import anomaly_refresh, backfill, daily_refresh
 from fleetlens.plans.reports import cohort_report, drilldown, report_rows, uploaded_report
 
@@ -10,5 +10,6 @@ __all__ = [
     "drilldown",
     "moving_refresh",
     "report_rows",
+    "stored_report",
     "uploaded_report",
 ]

@@ -14,13 +14,14 @@ from datetime import date, timedelta
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetlens.functions import day_start, in_range
 from fleetlens.functions.times import Moment
-from fleetlens.operators import cohort, health, partials, presence
+from fleetlens.operators import cohort, health, partials, presence, profile
 from fleetlens.plans.refresh import REPORT_DAYS, store_dataset, write_report
-from fleetlens.sinks import new_run, publish, read_dataset, runs_of
+from fleetlens.plans.reports import DATASETS, cohort_report
+from fleetlens.sinks import new_run, publish, read_dataset, runs_of, settle
 from fleetlens.sources.catalogue import catalogue_frame
 from fleetlens.sources.tables import Fleet
 
@@ -169,6 +170,48 @@ def window_report(
     }
 
 
+def stored_report(
+    fleet: Fleet,
+    root: str,
+    sensors: Sequence[str] | None = None,
+    *,
+    model: str | None = None,
+    year: int | None = None,
+    folder: str | None = None,
+) -> dict[str, DataFrame]:
+    """The published report again for the machines with a model or a purchase year, without reading facts.
+
+    The datasets of facts are shares of counted windows and partials that a moving run has stored, the others come
+    from the tables of machines. With neither model nor year, the report is that of the whole cohort. ``folder`` as in
+    ``reports.drilldown``. Only sensors whose run has stored its windows can be asked for.
+    """
+    spark = fleet.spark
+    wanted = None if sensors is None else set(sensors)
+    runs = [(run, as_of, held) for run, as_of, held in runs_of(spark, root) if wanted is None or wanted & set(held)]
+    if len(runs) != 1:
+        raise ValueError(f"the sensors are held by {len(runs)} runs; a report is drilled down within one")
+    run, end, held = runs[0]
+    held = held if wanted is None else sorted(set(held) & wanted)
+    start, old = end - timedelta(days=REPORT_DAYS), f"{root}/runs/{run}"
+    kind = fleet["sensor_results_daily"].schema["wguid"].dataType
+    schema = StructType([StructField("sensor", StringType()), StructField("wguid", kind)])
+    machines = read_dataset(spark, old, "cohort", schema).where(F.col("sensor").isin(held))
+    if model is not None or year is not None:
+        machines = profile.machines_with(fleet, machines, model=model, year=year)
+    if folder is not None:
+        machines = settle(machines, folder)
+    windows, days = {}, {}
+    for name, moving in MOVING.items():
+        shape = moving.days(fleet[moving.table])  # for its schema; nothing of it is read
+        declared = [f for f in shape.schema.fields if f.name != partials.DAY]
+        parts = spark.read.schema(StructType([*declared, shape.schema[partials.DAY]])).parquet(f"{root}/partials/{name}")
+        days[name] = parts
+        if moving.counted:
+            windows[name] = spark.read.schema(partials.merged(parts, moving.keys).schema).parquet(f"{old}/{WINDOWS}/{name}")
+    found = window_report(windows, days, machines, start, end, end)
+    return found | cohort_report(fleet, machines, start, end, end, [name for name in DATASETS if name not in found])
+
+
 def window_scores(days: DataFrame, end: date) -> DataFrame:
     """``(wguid, score_7, score_30)``: mean scores from sums by day, as ``health.machine_health`` at the midnight of ``end``."""
     parts = partials.inside(days, end - timedelta(days=max(health.WINDOWS)), end + timedelta(days=1))

@@ -362,6 +362,13 @@ _QUERIES = {
             "bios": (_presence(_BIOS, ["name", "date"], s.LOW, cohort=_UPLOADED), ["name", "date"], "system_percentage"),
         }
     ),
+    "cosensor_frequent": f"""
+        WITH both_kinds AS (SELECT wguid, sensor FROM severe UNION SELECT wguid, sensor FROM derived)
+        SELECT a.sensor || ':' || b.sensor AS sensor, count(*) AS groups
+        FROM both_kinds a JOIN both_kinds b ON a.wguid = b.wguid AND a.sensor < b.sensor
+        GROUP BY ALL HAVING count(*) >= {s.SHARED}""",
+    "cosensor_frequent_results": f"""
+        SELECT * FROM ({_PAIRS}) p WHERE sensor IN (SELECT sensor FROM ({_PAIRS}) GROUP BY sensor HAVING count(*) >= {s.SHARED})""",
     "cosensor_as_written": _WRITTEN,
     "sensor_breakdown_sorted": "SELECT sensor, count(*) AS count FROM uploaded_results GROUP BY sensor",
     "presence_threshold_edge": _presence(_BIOS, ["name", "date"], 7),

@@ -118,6 +118,20 @@ def cosensor_as_written(fleet):
     return cosensor.cosensor_results(cohort.raw_results(fleet), s.WRITTEN_PAIRS, keys=["wguid", "resultdate"])
 
 
+@query
+def cosensor_frequent(fleet):
+    """All pairs of events and order priorities that many machines have both."""
+    seen = fleet["derived_sensors"].select("wguid", F.col("sensorname").alias("sensor"))
+    both = cohort.raw_results(fleet).select("wguid", "sensor").unionByName(seen)
+    return cosensor.frequent_pairs(both, s.SHARED, keys=["wguid"])
+
+
+@query
+def cosensor_frequent_results(fleet):
+    raw = cohort.raw_results(fleet)
+    return cosensor.frequent_cosensor_results(raw, s.SHARED, keys=["wguid", "resultdate"])
+
+
 @query
 def anomaly_day_cohort(fleet):
     days = anomaly.anomaly_days(event_points(fleet))

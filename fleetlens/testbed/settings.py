@@ -24,3 +24,4 @@ ORDER_SIGMAS = 3.0
 # A window of two years, moved by thirty days.
 WINDOW_FROM, WINDOW_TO = "1995-01-01", "1996-12-31"
 MOVED_FROM, MOVED_TO = "1995-01-31", "1997-01-30"
+SHARED = 5

@@ -120,3 +120,26 @@ def test_silent_sensors_and_catalogue(spark):
     assert rows(catalogue) == [("A", False, None, None), ("A:B", True, "A", "B"), ("B", False, None, None)]
     raised = spark.createDataFrame([("A", "m"), ("A", "n")], "sensor string, wguid string")
     assert rows(c.silent_sensors(catalogue, raised)) == [("A:B",), ("B",)]
+
+
+def test_frequent_pairs_of_large_and_repeated_groups(spark):
+    """One machine with 60 sensors and a third of all rows, many machines with the same ones, and some without a name."""
+    import collections
+    import itertools
+    import random
+
+    from fleetlens.operators.cosensor import frequent_cosensor_results, frequent_pairs
+
+    draw = random.Random(2)
+    groups = {"big": [f"s{i:02}" for i in range(60)]} | {f"m{i}": draw.sample([f"s{i:02}" for i in range(12)], 4) for i in range(200)}
+    groups |= {f"same{i}": ["s01", "s02", "s59"] for i in range(50)}
+    found = [(m, x) for m, names in groups.items() for x in names] + [("big", "s00")] * 600 + [(None, "s01"), ("m1", None)]
+    draw.shuffle(found)
+    results = spark.createDataFrame(found, "wguid string, sensor string")
+    count = collections.Counter(pair for names in groups.values() for pair in itertools.combinations(sorted(names), 2))
+    for least in (1, 2, 20, 51, 1000):
+        wanted = {f"{a}:{b}": n for (a, b), n in count.items() if n >= least}
+        assert {r.sensor: r.groups for r in frequent_pairs(results, least, keys=["wguid"]).collect()} == wanted
+    shared = frequent_cosensor_results(results, 51, keys=["wguid"]).groupBy("sensor").count().collect()
+    assert {r.sensor: r["count"] for r in shared} == {f"{a}:{b}": n for (a, b), n in count.items() if n >= 51}
+    assert frequent_cosensor_results(results, 1000, keys=["wguid"]).collect() == []

@@ -1,11 +1,13 @@
 import collections
 import random
+from datetime import timedelta
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from fleetlens.functions import latest_per
+from fleetlens.functions import count_upto, latest_per
 from fleetlens.operators import presence as p
 from fleetlens.sinks import settle
 from frames import at, cohort, day, fleet, rows
@@ -236,3 +238,41 @@ def test_restricted_tables_give_the_same_report(spark):
     assert few["patches"].columns == tables["patches"].columns
     whole = p.patch_presence(tables, machines, threshold=0)
     assert rows(p.patch_presence(few, machines, threshold=0)) == rows(whole)
+
+
+def test_lookups_in_short_and_long_arrays(spark):
+    arrays = [[], [4], list(range(0, 32, 2)), list(range(0, 2000, 3)), [7] * 40]
+    asked = [-1, 0, 3, 4, 7, 30, 31, 1001, 1998, 5000]
+    df = spark.createDataFrame([(a, x) for a in arrays for x in asked], "places array<int>, most int")
+    for r in df.withColumn("n", count_upto(F.col("places"), F.col("most"))).collect():
+        assert r.n == sum(p <= r.most for p in r.places)
+
+
+def test_own_ranges_against_brute_force(spark):
+    """Many days per machine and key, ranges that overlap, begin late, are one day long or hold nothing."""
+    draw = random.Random(3)
+    first = day("2024-01-01")
+    facts = [
+        (draw.choice("abc"), draw.choice(["P", "Q", None]), at(f"{first + timedelta(days=draw.randrange(40))} {draw.choice(['00:00:00', '09:00:00'])}"))
+        for _ in range(400)
+    ]
+    ranges = {f"S{i}": (draw.randrange(-5, 45), draw.randrange(0, 30)) for i in range(12)} | {"one": (7, 0)}
+    members = [
+        (s, m, first + timedelta(days=a), first + timedelta(days=a + n)) for s, (a, n) in ranges.items() for m in "abcd" if draw.random() < 0.7
+    ]
+    frame = spark.createDataFrame(facts, "wguid string, patchname string, installdate timestamp")
+    cohort_rows = spark.createDataFrame(members, "sensor string, wguid string, date_from date, date_to date")
+    for mode in ("rows", "machines"):
+        found = {(r.sensor, r.patchname): r.system_percentage for r in p.presence_pct(
+            frame, cohort_rows, ["patchname"], threshold=0.0, mode=mode, time="installdate").collect()}
+        wanted = {}
+        for sensor in {s for s, *_ in members}:
+            hits = [
+                (m, key or " ") for s, own, a, b in members if s == sensor for m, key, t in facts
+                if m == own and at(f"{a} 00:00:00") <= t <= at(f"{b} 00:00:00")
+            ]
+            machines = len({m for m, _ in hits})
+            for key in {k for _, k in hits}:
+                n = sum(k == key for _, k in hits) if mode == "rows" else len({m for m, k in hits if k == key})
+                wanted[sensor, key] = 100.0 * n / machines
+        assert found == pytest.approx(wanted)

@@ -6,7 +6,7 @@ import pytest
 
 from fleetlens.functions import file_key
 from fleetlens.operators import cohort as c
-from fleetlens.plans import anomaly_refresh, backfill, daily_refresh, moving_refresh, refresh, reports
+from fleetlens.plans import anomaly_refresh, backfill, daily_refresh, moving_refresh, refresh, reports, stored_report
 from fleetlens.plans.reports import DATASETS
 from fleetlens.schemas import TABLES
 from fleetlens.sinks import new_run, publish, publish_view, read_dataset, read_report, runs_of, settle, write_csv, write_dataset
@@ -199,6 +199,32 @@ def test_moving_the_window_reads_the_facts_of_the_new_days_only(spark, tmp_path)
         previous = as_of
 
 
+def test_stored_report_scans_no_facts(spark, tmp_path):
+    """The drill-down by model from stored windows equals that from the facts, whose tables are empty by then."""
+    root = str(tmp_path / "moved")
+    models = [{"wguid": m, "systemid": f"h{m}", "manufacturer": "M", "model": "X" if m in "abd" else "Y"} for m in "abcd"]
+    owned = {"assets": [{"hostname": f"h{m}", "invoicedt": at("2021-05-05 00:00:00"), "assetlocation": "1"} for m in "abc"]}
+    extra = {"system_config": make(spark, "system_config", models), "assets": make(spark, "assets", owned["assets"])}
+    facts = moving_fleet(spark)
+    whole = Fleet(spark, frames={**{t: facts[t] for t in TABLES}, **extra})
+    moving_refresh(whole, ["S", "T"], root, "2024-06-25")
+    moving_refresh(whole, ["S", "T"], root, "2024-06-26")
+    empty = Fleet(spark, frames={t: whole[t] if t in (*extra, "bios") else make(spark, t, []) for t in TABLES})
+    cohort = read_report(spark, root, datasets=["cohort"])["cohort"]
+    for chosen in ({"model": "X"}, {"year": 2021}, {}):
+        part = reports.drilldown if chosen else reports.cohort_report
+        wanted = part(whole, cohort, "2024-05-27", "2024-06-26", "2024-06-26", **chosen)
+        found = stored_report(empty, root, **chosen)
+        assert set(found) == set(wanted) == set(DATASETS)
+        for name in DATASETS:
+            assert rows(found[name].select(wanted[name].columns)) == rows(wanted[name]), (name, chosen)
+        assert rows(found["patches"]) and rows(found["models"])
+    only = stored_report(empty, root, ["T"], model="X", folder=str(tmp_path / "parts"))
+    assert {r.sensor for r in only["patches"].collect()} == {"T"}
+    with pytest.raises(ValueError, match="0 runs"):
+        stored_report(empty, root, ["U"])
+
+
 def test_moving_starts_anew_for_other_sensors_and_after_a_long_pause(spark, tmp_path):
     moved, whole = str(tmp_path / "moved"), str(tmp_path / "whole")
     moving_refresh(moving_fleet(spark), ["S"], moved, "2024-05-26")

@@ -9,6 +9,13 @@ from fleetlens.testbed.fleet import DOMAIN, USER_PREFIX
 
 _WEEK_AGO = "TIMESTAMP '2024-01-23 12:00:00'"
 _MONTH_AGO = "TIMESTAMP '2023-12-31 12:00:00'"
+_COHORT = f"""cohort AS (
+  SELECT DISTINCT sensor, wguid FROM results
+  WHERE resulttime >= TIMESTAMP '{s.COHORT_FROM}' AND resulttime <= TIMESTAMP '{s.COHORT_TO}')"""
+# The machines of the uploaded list in place of a sensor's.
+_LISTED = """cohort AS (
+  SELECT DISTINCT 'uploaded' AS sensor, c_custkey AS wguid FROM customer
+  WHERE 'HOST-0' || substr(c_name, 10, 9) IN (SELECT substr('HOST-0' || substr(s_name, 10, 9) || '-DOCK', 1, 15) FROM supplier))"""
 _COMMON = f"""
 WITH results AS (
   SELECT user_id AS wguid, upper(substr(event_type, 1, 1)) || '-' || CAST(user_id AS VARCHAR) AS systemid,
@@ -23,9 +30,7 @@ derived AS (
          CAST(floor(o_totalprice / 10000) AS INTEGER) AS severity, o_orderdate AS resulttime,
          CAST(o_orderdate AS DATE) AS resultdate, o_orderstatus AS instancevalue
   FROM orders),
-cohort AS (
-  SELECT DISTINCT sensor, wguid FROM results
-  WHERE resulttime >= TIMESTAMP '{s.COHORT_FROM}' AND resulttime <= TIMESTAMP '{s.COHORT_TO}'),
+{_COHORT},
 installs AS (
   SELECT o_custkey AS wguid, p_name, p_type, p_brand, CAST(p_size AS VARCHAR) AS p_size, l_partkey,
          l_shipdate AS installdate, o_orderdate AS starttime
@@ -261,8 +266,6 @@ _WRITTEN = """
   SELECT DISTINCT a.wguid, a.resultdate, a.sensor || ':' || b.sensor AS sensor
   FROM severe a JOIN severe b ON a.wguid = b.wguid AND a.resultdate = b.resultdate
   WHERE (a.sensor, b.sensor) IN (('view', 'click'), ('click', 'error'))"""
-_UPLOADED = "(SELECT DISTINCT 'uploaded' AS sensor, wguid FROM uploaded)"
-_UPLOADED_ASSETS = f"SELECT u.sensor, h.model, a.invoicedt FROM hosts h JOIN assets a USING (hostname) JOIN {_UPLOADED} u USING (wguid)"
 
 
 def _report(parts: dict[str, tuple[str, Sequence[str], str]]) -> str:
@@ -355,13 +358,7 @@ _QUERIES = {
     "trend_anomalies": _forest("SELECT sensor, ds, y, trend FROM smooth"),
     "trend_anomalies_yearly": _forest(_ORDER_SMOOTH),
     "whole_report": _report(_WHOLE_REPORT),
-    "uploaded_report": _report(
-        {
-            "manufacture_years": (f"SELECT sensor, year(invoicedt) AS year, 1 AS n FROM ({_UPLOADED_ASSETS})", ["year"], "n"),
-            "models": (f"SELECT sensor, model, 1 AS n FROM ({_UPLOADED_ASSETS})", ["model"], "n"),
-            "bios": (_presence(_BIOS, ["name", "date"], s.LOW, cohort=_UPLOADED), ["name", "date"], "system_percentage"),
-        }
-    ),
+    "uploaded_report": _report(_WHOLE_REPORT),
     "cosensor_frequent": f"""
         WITH both_kinds AS (SELECT wguid, sensor FROM severe UNION SELECT wguid, sensor FROM derived)
         SELECT a.sensor || ':' || b.sensor AS sensor, count(*) AS groups
@@ -553,7 +550,8 @@ _QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _with_common(body.strip()) for name, body in _QUERIES.items()}
+    found = {name: _with_common(body.strip()) for name, body in _QUERIES.items()}
+    return found | {"uploaded_report": found["uploaded_report"].replace(_COHORT, _LISTED)}
 
 
 def _with_common(body: str) -> str:

@@ -162,9 +162,8 @@ def sensor_breakdown_sorted(fleet, spark, sf_dir):
 @query_with_upload
 def uploaded_report(fleet, spark, sf_dir):
     found = cohort.machine_lookup(fleet, uploaded_hosts(spark, sf_dir), by="host", domain=DOMAIN)
-    wanted = ("manufacture_years", "models", "bios")
     bounds = (s.ITEMS_FROM, s.ITEMS_TO, s.AS_OF)
-    return reports.report_rows(reports.uploaded_report(fleet, found, "uploaded", *bounds, datasets=wanted))
+    return reports.report_rows(reports.uploaded_report(fleet, found, "uploaded", *bounds))
 
 
 def _uploaded_results(fleet, spark, sf_dir):

@@ -1,5 +1,5 @@
 from fleetlens.sources.catalogue import catalogue_frame, pair_members, read_name_list, read_sensor_names
-from fleetlens.sources.csv_files import read_csv, read_indexed_csv
+from fleetlens.sources.csv_files import read_csv, read_csv_checked, read_indexed_csv
 from fleetlens.sources.tables import Fleet
 
 __all__ = [
@@ -7,6 +7,7 @@ __all__ = [
     "catalogue_frame",
     "pair_members",
     "read_csv",
+    "read_csv_checked",
     "read_indexed_csv",
     "read_name_list",
     "read_sensor_names",

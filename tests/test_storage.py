@@ -10,7 +10,15 @@ from fleetlens.plans import anomaly_refresh, backfill, daily_refresh, moving_ref
 from fleetlens.plans.reports import DATASETS
 from fleetlens.schemas import TABLES
 from fleetlens.sinks import new_run, publish, publish_view, read_dataset, read_report, runs_of, settle, write_csv, write_dataset
-from fleetlens.sources import Fleet, catalogue_frame, read_csv, read_indexed_csv, read_name_list, read_sensor_names
+from fleetlens.sources import (
+    Fleet,
+    catalogue_frame,
+    read_csv,
+    read_csv_checked,
+    read_indexed_csv,
+    read_name_list,
+    read_sensor_names,
+)
 from frames import at, day, fleet, make, rows
 
 
@@ -46,6 +54,21 @@ def test_csv(spark, root):
     assert rows(read_csv(spark, root, timestamps=["date"])) == rows(df)
 
 
+def test_malformed_rows_are_kept_aside_and_counted(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("name,n,day,line\nx,1,2024-01-02,l\nshort,2\ny,many,2024-01-02,l\nz,3,2024-13-45,l\nw,,,\n")
+    (folder / "b.csv").write_text("name,n,day,line\nlong,4,2024-01-03,l,more,fields\n\"a,b\",5,2024-01-04,l\n")
+    good, bad = read_csv_checked(spark, str(folder), "name string, n int, day date, line string", str(tmp_path / "bad"))
+    assert rows(good) == [("a,b", 5, day("2024-01-04"), "l"), ("w", None, None, None), ("x", 1, day("2024-01-02"), "l")]
+    assert {r.file.rsplit("/", 1)[1]: r.rows for r in bad.collect()} == {"a.csv": 3, "b.csv": 1}
+    kept = spark.read.parquet(str(tmp_path / "bad"))
+    assert sorted(r.line for r in kept.collect()) == ["long,4,2024-01-03,l,more,fields", "short,2", "y,many,2024-01-02,l", "z,3,2024-13-45,l"]
+    (tmp_path / "fine.csv").write_text("name,n,day,line\nx,1,2024-01-02,l\n")
+    good, bad = read_csv_checked(spark, str(tmp_path / "fine.csv"), "name string, n int, day date, line string", str(tmp_path / "none"))
+    assert good.count() == 1 and bad.collect() == []
+
+
 def test_lists(spark, tmp_path):
     (tmp_path / "names.csv").write_text("h1\nh2\nh1\n")
     (tmp_path / "sensors.txt").write_text("A \nB\n\n")

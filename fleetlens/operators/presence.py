@@ -67,7 +67,8 @@ def _in_own_ranges(daily: DataFrame, cohort: DataFrame, by: Sequence[str], keys:
     """Counts of each key inside the range of each sensor of the machine, from counts by day.
 
     A machine and key become one row with its days in order and the counts up to each of them. The join with the
-    cohort repeats that row once per sensor of the machine, and looks up the two ends of the sensor's range.
+    cohort repeats that row once per sensor of the machine, and looks up the two ends of the sensor's range. Rows with
+    nothing in a range stay, with 0: a filter here would be pushed into the join and look everything up twice.
     """
     group = [*by, "wguid", *keys, "is_total"]
     until_here = Window.partitionBy(*group).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -76,7 +77,7 @@ def _in_own_ranges(daily: DataFrame, cohort: DataFrame, by: Sequence[str], keys:
     days = days.select(*group, F.col(f"days.{_PLACE}").alias("places"), F.col("days.n").alias("running"))
     up_to = [F.coalesce(F.get("running", count_upto(F.col("places"), end) - 1), F.lit(0)) for end in _own_range()]
     ranged = days.join(cohort.where("date_from IS NOT NULL"), "wguid")
-    return ranged.select("sensor", *group, (up_to[0] - up_to[1]).alias("n")).where("n > 0")
+    return ranged.select("sensor", *group, (up_to[0] - up_to[1]).alias("n"))
 
 
 def presence_pct(
@@ -114,13 +115,13 @@ def presence_pct(
         daily = _machine_counts(facts.select("*", _place(time)), [*within, _PLACE], keys, mode)
         ranged = _in_own_ranges(daily, cohort, within, keys)
         once = F.col("is_total") | F.lit(mode == "machines")
-        counts = ranged.withColumn("n", F.when(once, F.lit(1).cast("long")).otherwise(F.col("n")))
+        counts = ranged.withColumn("n", F.when(once, F.least("n", F.lit(1))).otherwise(F.col("n")))
     else:
         # The next shuffle is by key, so AQE is free to split a machine's partition of this join.
         counts = _machine_counts(facts, within, keys, mode, weight)
         counts = counts.join(cohort.select("sensor", "wguid"), "wguid")
     group = ["sensor", *within]
-    sums = counts.groupBy(*group, *keys, "is_total").agg(F.sum("n").alias("n"))
+    sums = counts.groupBy(*group, *keys, "is_total").agg(F.sum("n").alias("n")).where("n > 0")
     totals = sums.groupBy(*group).agg(F.max(F.when(F.col("is_total"), F.col("n"))).alias("machines"))
     # One predicate over both sides: a filter on is_total alone would be pushed below the shuffle
     # of one side, and the two uses of ``sums`` could no longer share it.

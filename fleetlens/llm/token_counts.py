@@ -31,11 +31,36 @@ PLAIN = re.compile(r"(?:[\n\x21-\x7e]|[^\W\d_])*")
 PAIRS_KEPT = 500_000
 PREFIXES_KEPT = 400_000
 LONG_WORD = 40
+START = -2  # stands for the last token where a word begins
+FIRST = (START, 0, ())  # the entry of the empty prefix
 
 
-def endings(tokens: dict[str, int]) -> dict[str, int]:
-    """Every ending of a token, with the token's number if it is one itself, else -1."""
-    return {token[i:]: -1 for token in tokens for i in range(1, len(token))} | tokens
+def endings(opened: dict[str, int], closed: dict[str, int]) -> dict[str, tuple[int, int] | None]:
+    """Every ending of a token: its numbers without and with the mark (-1 for none), or None if it is no token itself."""
+    found = dict.fromkeys(token[i:] for tokens in (opened, closed) for token in tokens for i in range(1, len(token)))
+    return found | {token: (opened.get(token, -1), closed.get(token, -1)) for token in opened.keys() | closed.keys()}
+
+
+@lru_cache(maxsize=1)
+def joining() -> frozenset[str]:
+    """Characters that can become one with the character before them when a text is composed."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # second and third parts of Hangul
+    for c in map(chr, range(0x20000)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
+def clusters(text: str) -> list[str]:
+    """The text cut where composing one side never changes the other: before characters that do not join."""
+    joins, found, at = joining(), [], 0
+    for i in range(1, len(text)):
+        c = text[i]
+        if c < "\u0300" or (c not in joins and not unicodedata.combining(c)):
+            found.append(text[at:i])
+            at = i
+    return [*found, text[at:]]
 
 
 class PrefixTable:
@@ -72,12 +97,13 @@ class PrefixTable:
                 self.opened[token] = number
         if not self.mark:
             self.closed = dict(self.opened)
-        self.opened_ends, self.closed_ends = endings(self.opened), endings(self.closed)
+        self.ends = endings(self.opened, self.closed)
         self.longest = max(map(len, [*self.opened, *self.closed]))
         self.table: dict[str, tuple[int, int, tuple[int, ...]]] = {}
         self.fits_memo: dict[tuple[int, int], bool] = {}
         self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.normal = lru_cache(maxsize=PAIRS_KEPT // 10)(self._normal)
         self.cache = ChunkCache(lambda chunks: [self.chunk(led(c)) for c in chunks])
 
     @staticmethod
@@ -133,56 +159,90 @@ class PrefixTable:
             known = len(word) - 1
             while known and word[:known] not in table:
                 known -= 1
-            ends = table[word[:known]][2] if known else ()
+            closed = table[word[:known]][2] if known else ()
             for end in range(known + 1, len(word) + 1):
                 prefix = word[:end]
-                last, count = self.last(prefix, self.opened_ends, table)
-                ends = (*ends, self.last(prefix, self.closed_ends, table)[1])
-                found = table[prefix] = (last, count, ends)
+                last, count, final = self.last(prefix, table)
+                closed = (*closed, final)
+                found = table[prefix] = (last, count, closed)
         return found[2]
 
-    def last(self, prefix: str, endings: dict[str, int], table: dict[str, tuple]) -> tuple[int, int]:
-        """The last token of a prefix and the count of its tokens: of the tokens that end there, the one that fits."""
-        found, start = [], len(prefix) - 1
-        while start >= 0:
-            token = endings.get(prefix[start:])
-            if token is None:  # no token ends so
-                break
-            if token >= 0:
-                found.append((start, token))
-            start -= 1
-        memo = self.fits_memo
-        for start, token in reversed(found):
-            if not start:
-                return token, 1
-            left = table[prefix[:start]]
-            fits = memo.get((left[0], token))
-            if fits or (fits is None and left[0] >= 0 and self.fits(left[0], token)):
-                return token, left[1] + 1
-        return -1, 0
+    def first_ending(self, text: str, start: int, end: int) -> int:
+        """Where the longest ending of a token that ends at ``end`` begins: every ending of an ending is one, too."""
+        ends, first, last = self.ends, start, end - 1
+        while first < last:
+            if text[start:end] in ends:
+                last = start
+            else:
+                first = start + 1
+            start = (first + last) // 2
+        return first
+
+    def last(self, prefix: str, table: dict[str, tuple]) -> tuple[int, int, int]:
+        """The last token of a prefix, the count of its tokens, and the count with the mark on its last letter.
+
+        Of the tokens that end there, the last one is the one that fits.
+        """
+        ends, memo, fits = self.ends, self.fits_memo, self.fits
+        n = len(prefix)
+        start = self.first_ending(prefix, max(0, n - self.longest), n)
+        last, count, closed = -1, 0, 0
+        while start < n:
+            tokens = ends.get(prefix[start:])
+            if tokens:
+                inner, final = tokens
+                before, counted, _ = table[prefix[:start]] if start else FIRST
+                if before != -1:
+                    if last < 0 and inner >= 0:
+                        fit = not start or memo.get((before, inner))
+                        if fit or (fit is None and fits(before, inner)):
+                            last, count = inner, counted + 1
+                    if not closed and final >= 0:
+                        fit = not start or memo.get((before, final))
+                        if fit or (fit is None and fits(before, final)):
+                            closed = counted + 1
+                    if closed and last >= 0:
+                        break
+            start += 1
+        return last, count, closed
 
     def long_word(self, word: str) -> list[int]:
         """``word`` with the table in arrays, for words too long to keep by prefix."""
-        n, lasts, counts, ends = len(word), [-1], [0], []
-        for end in range(1, n + 1):
-            for tokens in (self.closed, self.opened):
-                for start in range(max(0, end - self.longest), end):
-                    token = tokens.get(word[start:end])
-                    if token is not None and (not start or (lasts[start] >= 0 and self.fits(lasts[start], token))):
-                        (ends if tokens is self.closed else lasts).append(counts[start] + 1 if tokens is self.closed else token)
-                        if tokens is self.opened:
-                            counts.append(counts[start] + 1)
-                        break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
-        return ends
+        return self.grown(word, [START], [0], 0)[2]
+
+    def grown(self, word: str, lasts: list[int], counts: list[int], known: int) -> tuple[list[int], list[int], list[int]]:
+        """Last tokens, counts, and counts with the mark, of prefixes; those up to ``known`` letters are given."""
+        ends, memo, fits, closed = self.ends, self.fits_memo, self.fits, []
+        for end in range(known + 1, len(word) + 1):
+            last, count, final_count = -1, 0, 0
+            for start in range(self.first_ending(word, max(0, end - self.longest), end), end):
+                tokens, before = ends.get(word[start:end]), lasts[start]
+                if not tokens or before == -1:
+                    continue
+                inner, final = tokens
+                if last < 0 and inner >= 0:
+                    fit = before == START or memo.get((before, inner))
+                    if fit or (fit is None and fits(before, inner)):
+                        last, count = inner, counts[start] + 1
+                if not final_count and final >= 0:
+                    fit = before == START or memo.get((before, final))
+                    if fit or (fit is None and fits(before, final)):
+                        final_count = counts[start] + 1
+                if final_count and last >= 0:
+                    break
+            if not final_count:
+                raise ValueError("the vocabulary lacks a byte")
+            lasts.append(last)
+            counts.append(count)
+            closed.append(final_count)
+        return lasts, counts, closed
 
     def piece(self, text: str) -> list[int]:
         """Counts at the prefixes of one word of the pattern, by character of ``text``."""
         if text in LONG_ENDINGS:  # cut after two letters, these are two words
             mark = self.word("'")[-1]
             return [mark, mark + self.word(text[1])[-1], self.word(text)[-1]]
-        if text.isascii():
+        if text.isascii() and text.isprintable():
             return list(self.word(text))
         counts = self.word(text.encode().decode("latin-1").translate(self.letters))
         found, end = [], -1
@@ -192,9 +252,75 @@ class PrefixTable:
         return found
 
     def total(self, text: str) -> int:
-        """Tokens of a text without special strings, words found by the library."""
-        normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
-        return sum(self.word(w)[-1] for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if w)
+        """Tokens of a normalised text without special strings, words found by the library."""
+        return sum(self.word(w)[-1] for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if w)
+
+    def _normal(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def hard(self, chunk: str) -> list[int]:
+        """Counts at the prefixes of any chunk, by character of ``chunk``.
+
+        The chunk is normalised cluster by cluster, the library finds the words of the whole, and the table gives the
+        counts at their prefixes. A cut inside a cluster can leave other letters than the whole cluster has; only the
+        word it stands in is then worked out again, and of a long word only the end.
+        """
+        parts = clusters(chunk)
+        forms = [self.normal(part) for part in parts]
+        text = "".join(forms)
+        counts, begins, stops = [0], [0], {}  # of each normalised prefix: tokens, and where its last word begins
+        for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+            base = counts[-1]
+            for at in range(len(counts), a + 1):
+                counts.append(base)
+                begins.append(at)
+            counts += [base + c for c in self.piece(text[a:b])]
+            begins += [a] * (b - a)
+            stops[a] = b
+        for at in range(len(counts), len(text) + 1):
+            counts.append(counts[-1])
+            begins.append(at)
+        found, at, known, table = [], 0, -1, ()
+        for part, form in zip(parts, forms, strict=True):
+            for k in range(1, len(part)):
+                cut = self.normal(part[:k])
+                if form.startswith(cut):
+                    found.append(counts[at + len(cut)])
+                    continue
+                first = begins[at]
+                ending = False  # whether what is left may be an ending such as 's
+                if first and text[first - 1] == "'":
+                    first, ending = begins[first], True
+                elif at and text[at - 1] == "'":
+                    ending = True
+                if ending or at - first <= LONG_WORD:
+                    found.append(counts[first] + self.total(text[first:at] + cut))
+                    continue
+                if known != first:
+                    known, table = first, self.long_table(text[first : stops[first]])
+                found.append(counts[first] + self.end_count(table, text[first:at], cut, counts[at] - counts[first]))
+            at += len(form)
+            found.append(counts[at])
+        return found
+
+    def long_table(self, word: str) -> tuple[str, list[int], list[int], list[int]]:
+        """A word in byte letters, where its characters end there, and last token and count of its prefixes."""
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        lasts, counts, _ = self.grown(letters, [START], [0], 0)
+        ends = np.cumsum([0, *(len(c.encode()) for c in word)]).tolist()
+        return letters, ends, lasts, counts
+
+    def end_count(self, table: tuple, head: str, cut: str, count: int) -> int:
+        """Tokens of ``head + cut``: ``head``, of ``count`` tokens, begins a long word that has this table."""
+        letters, ends, lasts, counts = table
+        words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(head[-1] + cut) if w]
+        more = words[0][len(head[-1].encode()) :]
+        if more:
+            done = ends[len(head)]
+            window = max(0, done - self.longest)
+            near = slice(window, done + 1)
+            count = self.grown(letters[window:done] + more, lasts[near], counts[near], done - window)[2][-1]
+        return count + sum(self.word(w)[-1] for w in words[1:])
 
     def heads(self, heads: list[str]) -> list[bytes]:
         return [self.chunk(" " + head)[4:] for head in heads]
@@ -216,7 +342,7 @@ class PrefixTable:
                 base, at = counts[-1], match.end()
             counts += [base] * (len(lower) - at)
         else:
-            counts += [self.total(chunk[:i]) for i in range(1, len(chunk) + 1)]
+            counts += self.hard(chunk)
         return array("i", counts).tobytes()
 
     @staticmethod
@@ -267,7 +393,7 @@ def prefix_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_bytes, prefix_tokens``: element i is the count of tokens of the first i characters (code points).
 
     A null text is an empty one, with the single count 0. Rows are kept as they are, with repeated and null ids;
-    other columns are not read. Each text is handled alone, so the job has no shuffle.
+    other columns are not read; an empty table gives no rows. Each text is handled alone, so the job has no shuffle.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -293,7 +419,12 @@ def within_budget(counts: DataFrame, budget: int) -> DataFrame:
 
 
 def counted(docs: DataFrame, vocabulary: str, budget: int) -> DataFrame:
-    """``within_budget`` answered in the task that makes the prefix table, which is then not written."""
+    """``within_budget`` answered in the task that makes the prefix table, which is then not written.
+
+    One row per row of ``docs``, with repeated and null ids; a null or empty text has 0 bytes and 0 tokens and is
+    within any budget; an empty table gives no rows; other columns are not read. A text of any length takes time in
+    proportion to it: its words are counted once, and a cut between letters that compose looks at one word's end.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -156,6 +157,31 @@ def test_prefix_counts_are_the_library(make):
         assert (len(text.encode()), wanted) in found[i], text
 
 
+HARD_LETTERS = ["a", "e", "s", "r", "l", "'", "'s", "'re", "!", "。", "日", "é", "e\u0301", "s\u030c", "'r\u0301e", "\u0338", "=",
+                "Σ", "İ", "\u212a", "\u0958", "한", "\u1112", "\u1161", "\u11ab", "\u3000", "\xa0", "\t", "🙂", "\u200d",
+                "\u0e20", "\u0e32", "\u0e35", "½", "\x85", "\x1c", "n\u0303", " ", "LL"]
+
+
+def test_prefixes_of_hard_letters_are_the_library():
+    tokenizer, table, draw = Tokenizer.from_file(WORD_BPE), token_counts.prefix_table(WORD_BPE), random.Random(6)
+    for _ in range(400):
+        letters = draw.sample(HARD_LETTERS, draw.randrange(2, 12))
+        text = "".join(draw.choice(letters) for _ in range(draw.choice([3, 9, 30, 120])))
+        cuts = tokenizer.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)
+        assert table.prefixes([text])[0].tolist() == [len(e.ids) for e in cuts], ascii(text)
+
+
+@pytest.mark.parametrize("part", ["日本語のテキスト。これは、試験です!", "🙂👩\u200d👧", "e\u0301a\u0300", "漢字", "\u1112\u1161\u11ab", "\u0e20\u0e32\u0e35"])
+def test_time_grows_with_the_length_of_a_chunk(part):
+    """100,000 characters without a blank; in time with the square of the length this would take hours."""
+    tokenizer, text = Tokenizer.from_file(WORD_BPE), part * (100_000 // len(part))
+    began = time.process_time()
+    counts = token_counts.prefix_table(WORD_BPE).prefixes([text])[0]
+    assert time.process_time() - began < 30
+    for k in (*range(99_000, 99_010), len(text)):
+        assert counts[k] == len(tokenizer.encode(text[:k], add_special_tokens=False).ids)
+
+
 def test_budgets(make):
     docs = make([(1, prose(1, 50)), (2, None), (3, "word" * 2000), (4, "one two three")])
     stored = token_counts.within_budget(token_counts.prefix_counts(docs, WORD_BPE), 30)

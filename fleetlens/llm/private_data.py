@@ -3,8 +3,8 @@
 Generators of high recall propose spans that may overlap: anything that looks a little like an address or a
 number of one of the kinds. Boosted trees rate a span by its format and its surroundings. They learn from the
 spans that the strict patterns confirm, also rewritten the ways people write them (without the plus, with other
-separators, with "at" and "dot" spelled out), against the proposals that no strict pattern touches. A threshold
-per kind is calibrated on held-out spans; spans above it join those of the strict patterns, which always stay.
+separators, with "at" and "dot" spelled out), against the proposals that no strict pattern touches, save those
+that may well be such spans (``unsure``). A threshold per kind is calibrated on held-out spans; spans above it join those of the strict patterns, which always stay.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm import boosting
@@ -36,7 +37,11 @@ DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 # Generators: spelled-out addresses, and runs of digits with anything that may separate them.
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(<]?(?:at|AT|@)[\])>]? ?[A-Za-z0-9-]{1,63}(?: ?[\[(<]?(?:dot|DOT|\.)[\])>]? ?[A-Za-z0-9-]{1,63}){1,5}")
+SPELLED = re.compile(
+    r"[\[(<]?(?:@|(?<![A-Za-z0-9])(?:at|AT)(?![A-Za-z0-9]))[\])>]? ?[A-Za-z0-9-]{1,63}"
+    r"(?:(?: ?[\[(<](?:dot|DOT|\.)[\])>] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]{1,63}){1,5}"
+)
+BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?\Z")
 RUN = re.compile(r"[+(]?[0-9](?:[ ().\[\]/_-]{0,3}[0-9])+")
 HINTS = {
     "email": ("mail", "contact", "write", "@"),
@@ -44,7 +49,15 @@ HINTS = {
     "card": ("card", "visa", "credit", "pay"),
     "phone": ("phone", "tel", "call", "fax", "mobile"),
 }
+# Words that name a kind when they stand alone, and signs of an address written out.
+NAMED = {
+    "ip": re.compile(r"(?i)\b(?:ip|ipv4|host|address)\b"),
+    "card": re.compile(r"(?i)\b(?:card|visa|mastercard|credit)\b"),
+    "phone": re.compile(r"(?i)\b(?:phone|tel|telephone|call|fax|mobile)\b"),
+}
+BRACKETS = re.compile(r"[\[(<](?:at|AT|@|dot|DOT|\.)[\])>]")
 AGAINST = ("password", "token", "key", "sha", "isbn", "order", "id", "http", "version")
+RATED_AT_ONCE = 20_000  # candidates of a kind whose features are held at a time
 SIDES = {" ": 1, "\n": 1, "\t": 1, "": 1, ",": 2, ".": 2, ";": 2, ":": 3, "=": 4, '"': 5, "'": 5, "(": 6, ")": 6}
 
 
@@ -93,9 +106,11 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> Iterator[Span]:
     """Spans that may be of a kind; one place can be proposed for several kinds."""
-    if "@" in text or "at]" in text or "at)" in text or " dot " in text or " DOT " in text:
-        for match in SPELLED.finditer(text):
-            yield ("email", *match.span())
+    for match in SPELLED.finditer(text):
+        at = match.start()
+        local = BEFORE_AT.search(text[max(0, at - 65) : at])
+        if local:
+            yield ("email", at - len(local[0]), match.end())
     if DIGIT.search(text):
         for match in RUN.finditer(text):
             length = match.end() - match.start()
@@ -110,6 +125,30 @@ def candidates(text: str) -> Iterator[Span]:
                 yield ("phone", *match.span())
 
 
+class Cover:
+    """Places taken by spans; those that overlap or touch are one, so that a question is one binary search."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1]):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end) - 1
+        return at >= 0 and self.ends[at] > start
+
+    def add(self, start: int, end: int) -> None:
+        """Takes a place that overlaps none before."""
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def features(kind: str, span: str, before: str, after: str) -> list[float]:
     """Numbers about the format of a span and the characters around it."""
     digits = NOT_DIGIT.sub("", span)
@@ -147,15 +186,29 @@ def rewritten(kind: str, span: str, draw: random.Random) -> str:
     return draw.choice(("", "00" + digits[:1] + " ")) + style.format(rest[:3], rest[3:6], rest[6:])
 
 
+def unsure(kind: str, span: str, before: str) -> bool:
+    """Whether a proposal may well be of its kind, written in another way; it is then no example of either label.
+
+    So is an address with "at" or "dot" in brackets or " dot " spelled out, and a number shortly after a word that
+    names its kind. Trees that learned these as wrong would reject the very spans they are to find.
+    """
+    if kind == "email":
+        return BRACKETS.search(span) is not None or " dot " in span.lower()
+    return NAMED[kind].search(before) is not None
+
+
 @dataclass(frozen=True)
 class Training:
-    """``documents`` bounds the sample of texts the trees learn from, ``per_document`` the spans taken from one text.
+    """Bounds of the sample the trees learn from, and what they have to reach.
 
-    ``precision`` is what a threshold has to reach on the held-out quarter of the spans.
+    ``documents`` is the number of texts, ``per_document`` that of spans taken from one text, ``spans`` that of each
+    kind and label, those with the smallest hashes. ``precision`` is the share of right spans that a threshold has to
+    reach on the held-out quarter of the texts.
     """
 
     documents: int = 40_000
     per_document: int = 50
+    spans: int = 20_000
     precision: float = 0.98
     seed: int = 11
 
@@ -167,23 +220,29 @@ class Rater:
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Candidates above their threshold that overlap no strict span and no better candidate."""
-        taken = [(a, b) for _, a, b in base]
-        rated = []
-        for kind, start, end in candidates(text):
-            if kind in self.trees and not any(a < end and start < b for a, b in taken):
-                rated.append((kind, start, end))
-        if not rated:
-            return []
-        found = []
-        for kind in self.trees:
-            mine = [s for s in rated if s[0] == kind]
+        taken, found = Cover(base), []
+        waiting: dict[str, list[Span]] = {kind: [] for kind in self.trees}
+
+        def rate(kind: str) -> None:
+            mine = waiting[kind]
+            rows = np.array([features(k, text[a:b], text[max(0, a - 32) : a], text[b : b + 8]) for k, a, b in mine])
+            scores = self.trees[kind].scores(rows).tolist()
+            found.extend((s, *span) for s, span in zip(scores, mine, strict=True) if s >= self.thresholds[kind])
+            mine.clear()
+
+        for span in candidates(text):
+            kind = span[0]
+            if kind in waiting and not taken.overlaps(span[1], span[2]):
+                waiting[kind].append(span)
+                if len(waiting[kind]) == RATED_AT_ONCE:
+                    rate(kind)
+        for kind, mine in waiting.items():
             if mine:
-                rows = np.array([features(k, text[a:b], text[max(0, a - 32) : a], text[b : b + 8]) for k, a, b in mine])
-                scores = self.trees[kind].scores(rows)
-                found += [(s, *span) for s, span in zip(scores.tolist(), mine, strict=True) if s >= self.thresholds[kind]]
-        chosen: list[Span] = []
+                rate(kind)
+        chosen, places = [], Cover([])
         for _, kind, start, end in sorted(found, key=lambda x: (-x[0], KINDS.index(x[1]), x[2])):
-            if not any(a < end and start < b for _, a, b in chosen):
+            if not places.overlaps(start, end):
+                places.add(start, end)
                 chosen.append((kind, start, end))
         return chosen
 
@@ -200,9 +259,9 @@ def training_rows(docs: DataFrame, training: Training) -> DataFrame:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             base = base_spans(text)
             draw = random.Random(f"{training.seed}:{doc_id}")
-            spans = [(k, a, b, True) for k, a, b in base]
+            spans, taken = [(k, a, b, True) for k, a, b in base], Cover(base)
             for kind, a, b in candidates(text):
-                if not any(x < b and a < y for _, x, y in base):
+                if not taken.overlaps(a, b) and not unsure(kind, text[a:b], text[max(0, a - 32) : a]):
                     spans.append((kind, a, b, False))
             draw.shuffle(spans)
             held = draw.random() < 0.25
@@ -216,20 +275,27 @@ def training_rows(docs: DataFrame, training: Training) -> DataFrame:
         arrays = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, ["kind", "features", "label", "held"])
 
-    return map_steps(chosen, work, "kind string, features array<double>, label boolean, held boolean")
+    rows = map_steps(chosen, work, "kind string, features array<double>, label boolean, held boolean")
+    first = Window.partitionBy("kind", "label").orderBy(F.xxhash64("features", F.lit(training.seed)), "features", "held")
+    return rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= training.spans).drop("place")
 
 
 def trained(docs: DataFrame, training: Training = Training()) -> Rater:
     """Trees and thresholds by kind; a kind with too few examples of either label has none and adds no spans."""
-    rows = training_rows(docs, training).limit(training.documents * 5).collect()
+    rows = training_rows(docs, training).toArrow()
+    if not rows.num_rows:
+        return Rater({}, {})
+    every = np.array(rows.column("features").combine_chunks().flatten()).reshape(rows.num_rows, -1)
+    kinds, marks, sides = (np.array(rows.column(c).to_pylist()) for c in ("kind", "label", "held"))
     trees, thresholds = {}, {}
     for kind in KINDS:
-        mine = sorted((r for r in rows if r["kind"] == kind), key=lambda r: (r["features"], r["label"], r["held"]))
-        labels = np.array([r["label"] for r in mine], bool)
-        held = np.array([r["held"] for r in mine], bool)
+        mine = np.flatnonzero(kinds == kind)
+        if not len(mine):
+            continue
+        order = np.lexsort((sides[mine], marks[mine], *every[mine].T))  # the same on any partitioning
+        table, labels, held = every[mine][order], marks[mine][order].astype(bool), sides[mine][order].astype(bool)
         if min(labels[~held].sum(), (~labels[~held]).sum(), held.sum()) < 20:
             continue
-        table = np.array([r["features"] for r in mine])
         model = boosting.fit(table[~held], labels[~held])
         limit = boosting.threshold(model.scores(table[held]), labels[held], training.precision)
         if np.isfinite(limit):

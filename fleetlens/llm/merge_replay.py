@@ -46,9 +46,21 @@ class MergeTable:
         self.pairs = np.array(sorted(made), np.int64)
         self.ranks_of_pairs = np.array([made[p] for p in self.pairs.tolist()] or [0], np.int64)
         self.single = np.array([ranks.get(bytes([b]), GONE) for b in range(256)], np.int64)
+        lefts = self.pairs >> 32
+        # Tokens that make one of a lower rank with what follows them.
+        self.early = set(lefts[self.ranks_of_pairs[: len(lefts)] < lefts].tolist())
+        # A word that is a token is that token, even if no merges lead to it (none in vocabularies in training order).
+        single = self.single.tolist()
+        self.whole = {
+            token: rank
+            for token, rank in ranks.items()
+            if len(token) > 1 and BORDER not in token and merged_alone([single[b] for b in token], made) != [rank]
+        }
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The token each pair makes, or -1."""
+        if not len(self.pairs):
+            return np.full(len(left), GONE)
         keys = left << 32 | right
         at = np.searchsorted(self.pairs, keys)
         at[at == len(self.pairs)] = 0
@@ -74,8 +86,9 @@ def replay(text: bytes, table: MergeTable) -> np.ndarray:
     """Ids at their places for words with ``BORDER`` between them; -1 where a byte was merged and at borders.
 
     ``text`` ends with a border. All places of a rank are merged at once, leftmost first where two overlap. If a
-    merge makes a pair of a lower rank than its own, its word needs that pair before its other places of the
-    present rank; such a word (none in vocabularies in training order) is encoded again on its own.
+    merge makes a pair of a lower rank than its own, with what stands at its left then or stood at its right before
+    the next place was merged, its word needs that pair first; such a word (none in vocabularies in training order)
+    is encoded again on its own.
     """
     raw = np.frombuffer(text, np.uint8)
     n = len(raw)
@@ -121,6 +134,11 @@ def replay(text: bytes, table: MergeTable) -> np.ndarray:
             at = np.array(kept)
             right = following[at]
         after = following[right]
+        if rank in table.early:
+            sooner = table.rank(np.full(len(at), rank), symbols[after])
+            sooner = (sooner >= 0) & (sooner < rank)
+            if sooner.any():
+                again.append(at[sooner])
         symbols[at], symbols[right] = rank, GONE
         following[at], before[after] = after, at
         left = before[at]
@@ -140,6 +158,14 @@ def replay(text: bytes, table: MergeTable) -> np.ndarray:
             ids = merged_alone(table.single[raw[first:last]].tolist(), table.made)
             symbols[first:last] = GONE
             symbols[first : first + len(ids)] = ids
+    if table.whole:
+        at = 0
+        for word in text.split(b"\xff"):
+            rank = table.whole.get(word)
+            if rank is not None:
+                symbols[at : at + len(word)] = GONE
+                symbols[at] = rank
+            at += len(word) + 1
     return symbols
 
 
@@ -223,7 +249,11 @@ def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Encodes and decodes in the same task: ``doc_id, n_tokens`` and hashes of the ids and of the decoded bytes."""
+    """Encodes and decodes in the same task: ``doc_id, n_tokens`` and hashes of the ids and of the decoded bytes.
+
+    A null text is an empty one: no tokens, hashes of nothing. Rows are kept as they are, with repeated and null ids;
+    an empty table gives no rows; other columns are not read.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = replay_encoder(vocabulary)

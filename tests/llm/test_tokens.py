@@ -76,6 +76,21 @@ def test_a_pair_of_lower_rank_is_merged_first(tmp_path):
         assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(text), text
 
 
+def test_random_vocabularies_are_the_library(tmp_path):
+    """Vocabularies in no order: words that are tokens no merges lead to, and lower ranks between two merges of one rank."""
+    draw = random.Random(9)
+    for case in range(150):
+        longer = {"".join(draw.choice("abc"[: 1 + case % 3]) for _ in range(draw.randrange(2, 8))).encode() for _ in range(12)}
+        tokens = [bytes([b]) for b in range(256)] + draw.sample(sorted(longer), len(longer))
+        path = tmp_path / f"{case}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+        encoding = tiktoken.Encoding("o", pat_str=public_tokenizers.PATTERN,
+                                     mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+        texts = ["".join(draw.choice("aabbc ") for _ in range(draw.randrange(1, 30))) for _ in range(200)]
+        for text, ids in zip(texts, merge_replay.ReplayEncoder(str(path)).encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(text), (text, tokens[256:])
+
+
 def test_token_files(spark, make, tmp_path):
     path = str(tmp_path / "files")
     token_files.write_token_files(make(ROWS), path, BYTE_BPE)

@@ -28,11 +28,11 @@ BLOCK_TOKENS = 8_000_000
 
 
 @lru_cache(maxsize=2)
-def combinations(window: int, step: int) -> np.ndarray:
-    """Pairs and triples (a <= b <= c, 0 for none) of lengths that sum to ``window``; ``step`` thins the triples."""
+def combinations(window: int) -> np.ndarray:
+    """All pairs and triples (a <= b <= c, 0 for none) of lengths that sum to ``window``."""
     a = np.arange(1, window // 2 + 1)
     pairs = np.stack([np.zeros_like(a), a, window - a], axis=1)
-    first, second = np.meshgrid(np.arange(step, window // 3 + 1, step), np.arange(1, window), indexing="ij")
+    first, second = np.meshgrid(np.arange(1, window // 3 + 1), np.arange(1, window), indexing="ij")
     first, second = first.ravel(), second.ravel()
     third = window - first - second
     held = (first <= second) & (second <= third)
@@ -82,7 +82,7 @@ def plan(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
                 left[length] -= 1
             sequences.append(pieces)
 
-    combos = combinations(window, max(1, window // 256))
+    combos = combinations(window)
     present = counts > 0
     present[0] = True
     combos = combos[present[combos].all(axis=1)]

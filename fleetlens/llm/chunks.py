@@ -11,7 +11,19 @@ import re
 from collections.abc import Callable
 from weakref import WeakSet
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 CUT = re.compile(r" (?=\S)")
+UNEVEN = re.compile(r" (?:\s|\Z)")  # a space that starts no word
+
+
+def even(text: str) -> bool:
+    """Whether spaces and line ends stand alone between visible characters, so that each begins a chunk."""
+    if UNEVEN.search(text):
+        return False
+    return "\n" not in text or all(line and not line[0].isspace() and not line[-1].isspace() for line in text.split("\n"))
 
 
 def cut(text: str) -> list[str]:
@@ -58,9 +70,8 @@ class ChunkCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def join(self, parts: list[list[str]]) -> list[bytes]:
-        """For each list of chunks, their bytes in order."""
-        wanted = set().union(*parts) if parts else set()
+    def bytes_of(self, wanted: list[str]) -> list[bytes]:
+        """The bytes of distinct chunks."""
         young, old = self.young, self.old
         if len(young) > self.most:
             self.old = old = young
@@ -74,14 +85,47 @@ class ChunkCache:
                 else:
                     young[chunk] = value
         young.update(zip(missing, self.encode(missing), strict=True))
-        get = young.__getitem__
+        return [young[chunk] for chunk in wanted]
+
+    def join(self, parts: list[list[str]]) -> list[bytes]:
+        """For each list of chunks, their bytes in order."""
+        wanted = list(set().union(*parts))
+        get = dict(zip(wanted, self.bytes_of(wanted), strict=True)).__getitem__
         return [b"".join(map(get, part)) for part in parts]
 
 
+def encode_even(texts: list[str], cache: ChunkCache, heads: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """``encode_texts`` for even texts: Arrow cuts them, finds the distinct chunks and lays out their bytes."""
+    lists = pc.split_pattern(pa.array([text.replace("\n", " \n") for text in texts], pa.large_string()), " ")
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = flat.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = bounds[:-1]
+    inner = np.ones(len(codes), bool)
+    inner[first] = False
+    used = np.flatnonzero(np.bincount(codes[inner], minlength=len(coded.dictionary)))
+    begun, of_text = np.unique(codes[first], return_inverse=True)
+    names = coded.dictionary
+    places = np.zeros(len(names), np.int64)
+    places[used] = np.arange(len(used))
+    rows = places[codes]
+    rows[first] = len(used) + of_text
+    opening = names.take(pa.array(begun)).to_pylist()
+    new = iter(heads([head for head in opening if head]))
+    values = cache.bytes_of(names.take(pa.array(used)).to_pylist()) + [next(new) if head else b"" for head in opening]
+    laid = pa.array(values, pa.large_binary()).take(pa.array(rows))
+    ends = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset : laid.offset + len(laid) + 1][bounds].tolist()
+    data = memoryview(laid.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def encode_texts(texts: list[str], cache: ChunkCache, heads: Callable[[list[str]], list[bytes]]) -> list[bytes]:
     """Each text's bytes: those of its head (no space before it), then those of its chunks."""
-    parts = [cut(text) for text in texts]
+    plain = [even(text) for text in texts]
+    laid = iter(encode_even([t for t, p in zip(texts, plain, strict=True) if p], cache, heads) if any(plain) else ())
+    parts = [cut(text) for text, p in zip(texts, plain, strict=True) if not p]
     first = list({part[0] for part in parts if part[0]})
     of = dict(zip(first, heads(first), strict=True)) | {"": b""}
     tails = cache.join([part[1:] for part in parts])
-    return [of[part[0]] + tail for part, tail in zip(parts, tails, strict=True)]
+    uneven = iter([of[part[0]] + tail for part, tail in zip(parts, tails, strict=True)])
+    return [next(laid) if p else next(uneven) for p in plain]

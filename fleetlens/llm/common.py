@@ -25,8 +25,14 @@ def own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of this process only where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or own_folder()
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of this process in local mode; on a cluster, whose executors could not read that, an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or own_folder()
 
 
 def work_path(spark: SparkSession, name: str) -> str:

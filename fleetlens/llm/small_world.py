@@ -135,24 +135,25 @@ class SmallWorld:
         return np.flatnonzero(seen)
 
 
-def audited_beam(graph: SmallWorld, least: float, beam: int, recall: float, sample: int, seed: int) -> int:
-    """A beam that finds enough of what brute force finds, doubled until it does.
+def audited_beam(graph: SmallWorld, asked: np.ndarray, least: float, beam: int, recall: float, sample: int) -> int:
+    """A beam that finds enough of what brute force finds at ``least``, doubled until it does.
 
-    The audit asks for up to ``sample`` nodes, moved away until their similarity to where they were is just above
-    ``least``; what must be found are all nodes within ``least`` of the moved point.
+    The audit asks with up to ``sample`` of the vectors that will be asked, evenly spaced, and does not tell the
+    search where they are; of these, only vectors near any node say something, so more are taken until ``sample`` of
+    them do or four times as many were looked at. Brute force compares blocks of them with all nodes.
     """
-    n, dim = graph.vectors.shape
-    draw = np.random.default_rng(seed)
-    chosen = draw.choice(n, min(sample, n), replace=False)
-    aim = least + 0.25 * (1 - least)
-    queries, wanted = [], []
-    for node in chosen:
-        away = draw.normal(size=dim)
-        away -= (away @ graph.vectors[node]) * graph.vectors[node]
-        size = np.linalg.norm(away)
-        moved = graph.vectors[node] if size < 1e-12 else aim * graph.vectors[node] + np.sqrt(1 - aim**2) * away / size
-        queries.append(moved)
-        wanted.append(np.flatnonzero(graph.vectors @ moved >= least))
+    n, queries, wanted = len(graph.vectors), [], []
+    step = max(1, len(asked) // sample)
+    for offset in range(step):
+        block = asked[offset::step]
+        near = block @ graph.vectors.T >= least
+        if asked is graph.vectors:  # a node is no link of its own
+            near[np.arange(len(block)), np.arange(offset, n, step)] = False
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            queries.append(block[k])
+            wanted.append(np.flatnonzero(near[k]))
+        if len(queries) >= sample or (offset + 1) * len(block) >= 4 * sample:
+            break
     total = sum(map(len, wanted))
     while beam < n:
         found = sum(np.isin(w, graph.within(q, least, beam)).sum() for q, w in zip(queries, wanted, strict=True))

@@ -204,10 +204,10 @@ def vectors(spark):
     return rows, frame.selectExpr("*", "1 AS id", "2 AS shard")
 
 
-@pytest.mark.parametrize("shard", [8192, 60])
-def test_linked_vectors(spark, shard):
+@pytest.mark.parametrize(("shard", "lot"), [(8192, 16), (60, 16), (25, 2)])
+def test_linked_vectors(spark, shard, lot):
     rows, frame = vectors(spark)
-    found = vector_links.linked(frame, vector_links.Linking(shard=shard)).collect()
+    found = vector_links.linked(frame, vector_links.Linking(shard=shard, lot=lot)).collect()
     assert len(found) == len(rows)
     good = [(k, i, np.array(v, float), lab) for k, (i, v, lab) in enumerate(rows)
             if i is not None and v and lab is not None and None not in v and np.isfinite(v).all() and any(v)]
@@ -236,13 +236,38 @@ def test_linked_vectors(spark, shard):
     assert vector_links.linked(frame.limit(0)).collect() == []
 
 
+def test_links_count_at_both_ends_even_where_some_are_missed(spark):
+    _, frame = vectors(spark)
+    frame = frame.where("vec_id < 2000").dropDuplicates(["vec_id"])
+    whole = sum(r.n_links for r in vector_links.linked(frame).collect())
+    for how in (vector_links.Linking(shard=25, lot=2, beam=1, recall=0.0), vector_links.Linking(beam=1, recall=0.0)):
+        found = vector_links.linked(frame, how).collect()
+        sizes = collections.Counter(r.component_id for r in found)
+        assert sum(r.n_links for r in found) % 2 == 0 and 0 < sum(r.n_links for r in found) <= whole
+        assert all((r.n_links > 0) == (sizes[r.component_id] > 1) for r in found)
+
+
+def test_audit_with_vectors_of_another_shard():
+    draw = np.random.default_rng(4)
+    centre = draw.normal(size=24)
+    table = np.concatenate([draw.normal(size=(900, 24)), centre + 0.3 * draw.normal(size=(300, 24))])
+    asked = np.concatenate([draw.normal(size=(300, 24)), centre + 0.3 * draw.normal(size=(100, 24))])
+    table, asked = (t / np.linalg.norm(t, axis=1, keepdims=True) for t in (table, asked))
+    graph = SmallWorld(table)
+    beam = audited_beam(graph, asked, 0.93, 1, 0.99, 64)
+    wanted = [set(np.flatnonzero(table @ q >= 0.93).tolist()) for q in asked]
+    hits = sum(len(w & set(graph.within(q, 0.93, beam).tolist())) for w, q in zip(wanted, asked, strict=True))
+    assert hits >= 0.97 * sum(map(len, wanted)) > 0
+    assert audited_beam(graph, asked[:0], 0.93, 8, 0.99, 64) == 8
+
+
 def test_graph_recall_and_audit():
     draw = np.random.default_rng(9)
     table = draw.normal(size=(1500, 32))
     table[500:700] = table[0] + 0.1 * draw.normal(size=(200, 32))
     table /= np.linalg.norm(table, axis=1, keepdims=True)
     graph = SmallWorld(table)
-    beam = audited_beam(graph, 0.9, 16, 0.98, 64, 1)
+    beam = audited_beam(graph, graph.vectors, 0.9, 16, 0.98, 64)
     hits = total = 0
     for k in range(0, 1500, 7):
         near = set(np.flatnonzero(table @ table[k] >= 0.9))

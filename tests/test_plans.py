@@ -67,6 +67,13 @@ def test_no_python_outside_the_forest(spark):
         assert not re.search(r"PythonUDF|BatchEvalPython|ArrowEvalPython|Join Cross", plan), name
 
 
+@pytest.mark.parametrize("name", ["software_change_presence", "app_fault_presence"])
+def test_newest_rows_are_cut_before_the_shuffle(spark, name):
+    plan = REGISTRY[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    final, partial = plan.index("WindowGroupLimit"), plan.rindex("Partial", 0, plan.rindex("WindowGroupLimit") + 400)
+    assert final < plan.index("Exchange hashpartitioning", final) < partial
+
+
 def test_job_titles_are_cut_before_the_shuffle(spark):
     plan = REGISTRY["title_top20"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 1

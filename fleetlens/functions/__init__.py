@@ -12,8 +12,10 @@ from fleetlens.functions.labels import (
 from fleetlens.functions.measures import (
     HEALTH_CATEGORIES,
     health_category,
+    mean_score,
     percent_change,
     percentage,
+    score_sums,
 )
 from fleetlens.functions.rows import latest_per
 from fleetlens.functions.times import day_start, in_range, is_workday, moment
@@ -32,9 +34,11 @@ __all__ = [
     "is_workday",
     "joined_label",
     "latest_per",
+    "mean_score",
     "moment",
     "percent_change",
     "percentage",
+    "score_sums",
     "short_label",
     "user_name",
 ]

@@ -18,6 +18,30 @@ def health_category(score: str | Column) -> Column:
     return label
 
 
+def exact_score(score: Column) -> Column:
+    """A score to 12 decimals, as sums of decimals do not depend on the order of the rows.
+
+    NULL where that is not the score: NaN, infinite, 10^18 and more, or next to nothing.
+    """
+    exact = score.try_cast("decimal(30,12)")
+    return F.when(F.abs(exact.cast("double") - score) <= 1e-9 * F.abs(score), exact)
+
+
+def score_sums(score: Column) -> dict[str, Column]:
+    """What a mean score is made of: the sum and number of all scores, and of those with an exact decimal."""
+    exact = exact_score(score)
+    return {"total": F.sum(score), "n": F.count(score), "exact": F.sum(exact), "n_exact": F.count(exact)}
+
+
+def mean_score(sums: dict[str, Column]) -> Column:
+    """The mean of ``score_sums``: a mean on the edge of a category stays on it, in whatever order its rows are added.
+
+    Doubles are added where a score has no decimal (``exact_score``).
+    """
+    total = F.when(sums["n_exact"] == sums["n"], sums["exact"].cast("double")).otherwise(sums["total"])
+    return F.try_divide(total, sums["n"])
+
+
 def percentage(part: Column, whole: Column) -> Column:
     """Multiplied before it is divided: 7 of 100 is 7, so that a threshold of 7 is not passed."""
     return F.try_divide(part * 100.0, whole)

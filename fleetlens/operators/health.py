@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions import HEALTH_CATEGORIES, day_start, health_category, in_range, moment
+from fleetlens.functions import HEALTH_CATEGORIES, day_start, health_category, in_range, mean_score, moment, score_sums
 from fleetlens.functions.times import Moment
 from fleetlens.sources.tables import Fleet
 
@@ -24,7 +24,7 @@ def machine_health(fleet: Fleet, as_of: Moment) -> DataFrame:
     means = []
     for days in WINDOWS:
         since = F.lit(str(day_start(as_of, -days) + clock)).cast(kind)
-        means.append(F.avg(F.when(F.col("vwtime") >= since, F.col("wscore"))).alias(f"score_{days}"))
+        means.append(mean_score(score_sums(F.when(F.col("vwtime") >= since, F.col("wscore")))).alias(f"score_{days}"))
     return score_categories(facts.groupBy("wguid").agg(*means))
 
 

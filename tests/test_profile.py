@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from fleetlens.functions import percent_change, percentage
 from fleetlens.operators import compare, health, profile
 from fleetlens.plans import reports
+from fleetlens.sources import Fleet
 from pyspark.sql import functions as F
 from frames import at, cohort, day, fleet, rows
 
@@ -114,6 +115,25 @@ def test_health(spark):
     assert [r.machine_count for r in nobody.collect()] == [0] * 8
 
 
+# Their products with 1.8 add up to 12 times 90; added as doubles, their mean is 90.00000000000001.
+ON_THE_EDGE = [64.11, 39.78, 13.14, 40.52, 12.76, 68.42, 82.04, 2.75, 2.21, 16.34, 92.28, 165.65]
+
+
+def test_health_on_the_edge(spark):
+    table = [
+        {"wguid": m, "vwtime": at("2024-01-29"), "wscore": v * 1.8, "activestatus": 1}
+        for m, scores in (("a", ON_THE_EDGE), ("b", sorted(ON_THE_EDGE)), ("c", ON_THE_EDGE[::-1]))
+        for v in scores
+    ]
+    others = {"d": [float("inf"), 1.0], "e": [1e-14], "f": [None], "g": [90.000000001], "h": [1e300, 2.0], "i": [float("nan")]}
+    table += [{"wguid": m, "vwtime": at("2024-01-29"), "wscore": v, "activestatus": 1} for m, vs in others.items() for v in vs]
+    for parts in (1, 5):
+        facts = fleet(spark, health_daily=table)["health_daily"].repartition(parts)
+        found = health.machine_health(Fleet(spark, frames={"health_daily": facts}), "2024-01-30")
+        kinds = {r.wguid: r.category_30 for r in found.collect()}
+        assert kinds == dict.fromkeys("abc", "Fair") | {"d": "Excellent", "e": "Poor", "f": None, "g": "Good", "h": "Excellent", "i": None}
+
+
 def test_compare(spark):
     def software(wguid, name, package_id="1"):
         return {"wguid": wguid, "packagename": name, "package_id": package_id, "installdate": at("2024-01-02")}

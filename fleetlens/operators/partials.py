@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions import day_start, latest_per
+from fleetlens.functions import day_start, latest_per, score_sums
 from fleetlens.functions.times import Moment
 
 DAY, LATE = "day", "late"
@@ -30,8 +30,8 @@ def day_counts(facts: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
 
 
 def day_sums(facts: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
-    """As ``day_counts``, with ``total``, the sum of a value, and ``n``, its number."""
-    sums = F.sum(value).alias("total"), F.count(value).alias("n")
+    """As ``day_counts``, with ``total``, the sum of a value, ``n``, its number, and the same of its exact decimals."""
+    sums = [column.alias(name) for name, column in score_sums(F.col(value)).items()]
     return by_day(facts, time).groupBy(DAY, LATE, *keys).agg(*sums)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from fleetlens.functions import day_start, in_range
+from fleetlens.functions import day_start, in_range, mean_score
 from fleetlens.functions.times import Moment
 from fleetlens.operators import cohort, health, partials, presence, profile
 from fleetlens.plans.refresh import REPORT_DAYS, store_dataset, write_report
@@ -218,6 +218,8 @@ def window_scores(days: DataFrame, end: date) -> DataFrame:
     means = []
     for width in health.WINDOWS:
         within = F.col(partials.DAY) >= F.lit(end - timedelta(days=width))
-        total, n = (F.sum(F.when(within, F.col(c))) for c in ("total", "n"))
-        means.append(F.try_divide(total, n).alias(f"score_{width}"))
+        sums = {c: F.sum(F.when(within, F.col(c))) for c in ("total", "n", "exact")}
+        # Days kept by an earlier version have no exact sums: they count as scores without a decimal.
+        sums["n_exact"] = F.sum(F.when(within, F.coalesce("n_exact", F.lit(0))))
+        means.append(mean_score(sums).alias(f"score_{width}"))
     return parts.groupBy("wguid").agg(*means)

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from fleetlens.functions import percent_change, percentage
 from fleetlens.operators import compare, health, profile
-from fleetlens.plans import reports
+from fleetlens.plans import moving, reports
 from fleetlens.sources import Fleet
 from pyspark.sql import functions as F
 from frames import at, cohort, day, fleet, rows
@@ -134,6 +134,27 @@ def test_health_on_the_edge(spark):
         assert kinds == dict.fromkeys("abc", "Fair") | {"d": "Excellent", "e": "Poor", "f": None, "g": "Good", "h": "Excellent", "i": None}
 
 
+def test_merged_health_on_the_edge(spark):
+    days = [f"2024-01-{d}" for d in range(18, 30)]
+    table = [
+        {"wguid": m, "vwtime": at(d), "wscore": v * 1.8, "activestatus": 1}
+        for m, scores in (("a", ON_THE_EDGE), ("b", sorted(ON_THE_EDGE)), ("c", ON_THE_EDGE[::-1]))
+        for d, v in zip(days, scores, strict=True)
+    ]
+    kept = moving.MOVING["health"].days(fleet(spark, health_daily=table)["health_daily"])
+
+    def kinds(parts):
+        scores = moving.window_scores(parts.repartition(3), day("2024-01-30"))
+        return {r.wguid: r.category_30 for r in health.score_categories(scores).collect()}
+
+    assert kinds(kept) == dict.fromkeys("abc", "Fair")
+    # Days of an earlier version are read as they were.
+    blank = {c: F.lit(None).cast(kept.schema[c].dataType) for c in ("exact", "n_exact")}
+    old = F.col("day") < F.lit(day("2024-01-20"))
+    mixed = kept.where(~old).unionByName(kept.where(old).withColumns(blank))
+    assert all(kind in ("Fair", "Good") for kind in kinds(mixed).values())
+
+
 def test_compare(spark):
     def software(wguid, name, package_id="1"):
         return {"wguid": wguid, "packagename": name, "package_id": package_id, "installdate": at("2024-01-02")}

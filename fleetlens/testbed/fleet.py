@@ -65,8 +65,12 @@ def standin_fleet(spark: SparkSession, sf_dir: str) -> Fleet:
 
     @cache
     def installs() -> DataFrame:
-        """Order lines with their machine and item; each fleet table names the columns it uses."""
-        lines = table("lineitem").join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        """Order lines with their machine and item; each fleet table names the columns it uses.
+
+        A task hashes its orders, which are few and have a key each, and does not sort its lines.
+        """
+        orders = table("orders").hint("shuffle_hash")
+        lines = table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         return lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
 
     def items(**columns: str) -> DataFrame:

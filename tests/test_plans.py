@@ -41,6 +41,13 @@ def test_presence_scans_the_facts_once(spark, limit):
         assert "BroadcastHashJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["compare_machines", "patch_presence", "anomaly_report_patches"])
+def test_lines_are_not_sorted_for_their_orders(spark, limit, name):
+    plan = REGISTRY[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [l_orderkey" in plan
+    assert not re.search(r"Sort \[l_orderkey", plan)
+
+
 def test_drilldown_restricts_the_facts(spark):
     plan = REGISTRY["drilldown_model"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "nation.parquet" not in plan

@@ -37,19 +37,27 @@ def has_own_range(cohort: DataFrame) -> bool:
 def _machine_counts(
     facts: DataFrame, by: Sequence[str], keys: Sequence[str], mode: str, weight: str | None = None
 ) -> DataFrame:
-    """Per machine: one row per key with its row count, and one row that says the machine has any.
+    """Per machine: one row per key with its row count, ``n``.
 
-    Both come out of the same pass, so numerator and denominator need one scan and one shuffle.
     ``by`` are further columns to keep apart; a row stands for ``weight`` rows where such a column is named.
     """
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    n = rows if mode == "rows" else F.lit(1).cast("long")
+    return facts.groupBy(*by, "wguid", *keys).agg(n.alias("n"))
+
+
+def _with_totals(counts: DataFrame, group: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Sums per key, and one row per machine that has any (``is_total``); nothing with a sum of 0.
+
+    Both come out of the same pass, so numerator and denominator need one scan and one shuffle. Rows are doubled here,
+    after the join with the cohort, where a machine's rows meet in few tasks: its own row is combined before the shuffle.
+    """
     total = F.col("is_total")
-    doubled = facts.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_total"))
+    doubled = counts.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_total"))
+    machine = F.when(total, F.col("wguid")).alias("wguid")
     blanked = [F.when(~total, F.col(k)).alias(k) for k in keys]
-    rows = F.sum(weight) if weight else F.count(F.lit(1))
-    amount = rows if mode == "rows" else F.lit(1).cast("long")
-    n = F.when(total, F.lit(1).cast("long")).otherwise(amount).alias("n")
-    weights = [weight] if weight else []
-    return doubled.select(*by, "wguid", *blanked, *weights, "is_total").groupBy(*by, "wguid", *keys, "is_total").agg(n)
+    doubled = doubled.select(*group, machine, *blanked, "is_total", "n")
+    return doubled.groupBy(*group, "wguid", *keys, "is_total").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def _place(time: str) -> Column:
@@ -70,7 +78,7 @@ def _in_own_ranges(daily: DataFrame, cohort: DataFrame, by: Sequence[str], keys:
     cohort repeats that row once per sensor of the machine, and looks up the two ends of the sensor's range. Rows with
     nothing in a range stay, with 0: a filter here would be pushed into the join and look everything up twice.
     """
-    group = [*by, "wguid", *keys, "is_total"]
+    group = [*by, "wguid", *keys]
     until_here = Window.partitionBy(*group).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = daily.where(F.col(_PLACE).isNotNull()).withColumn("n", F.sum("n").over(until_here))
     days = running.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(_PLACE, "n"))).alias("days"))
@@ -113,16 +121,16 @@ def presence_pct(
         counts = _machine_counts(facts, ["sensor", *within], keys, mode)
     elif has_own_range(cohort) and time is not None:
         daily = _machine_counts(facts.select("*", _place(time)), [*within, _PLACE], keys, mode)
-        ranged = _in_own_ranges(daily, cohort, within, keys)
-        once = F.col("is_total") | F.lit(mode == "machines")
-        counts = ranged.withColumn("n", F.when(once, F.least("n", F.lit(1))).otherwise(F.col("n")))
+        counts = _in_own_ranges(daily, cohort, within, keys)
+        if mode == "machines":
+            counts = counts.withColumn("n", F.least("n", F.lit(1)))
     else:
         # The next shuffle is by key, so AQE is free to split a machine's partition of this join.
         counts = _machine_counts(facts, within, keys, mode, weight)
         counts = counts.join(cohort.select("sensor", "wguid"), "wguid")
     group = ["sensor", *within]
-    sums = counts.groupBy(*group, *keys, "is_total").agg(F.sum("n").alias("n")).where("n > 0")
-    totals = sums.groupBy(*group).agg(F.max(F.when(F.col("is_total"), F.col("n"))).alias("machines"))
+    sums = _with_totals(counts, group, keys)
+    totals = sums.groupBy(*group).agg(F.count_if("is_total").alias("machines"))
     # One predicate over both sides: a filter on is_total alone would be pushed below the shuffle
     # of one side, and the two uses of ``sums`` could no longer share it.
     share = F.when(~F.col("is_total"), percentage(F.col("n"), F.col("machines")))

@@ -48,6 +48,25 @@ def test_lines_are_not_sorted_for_their_orders(spark, limit, name):
     assert not re.search(r"Sort \[l_orderkey", plan)
 
 
+def _below(plan: str, node: str) -> list[str]:
+    """What is below each such node of a plan, as text."""
+    lines, found = plan.splitlines(), []
+    depth = [re.search(r"[A-Za-z]", line).start() if re.search(r"[A-Za-z]", line) else 0 for line in lines]
+    for i, line in enumerate(lines):
+        if node in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            found.append("\n".join(lines[i + 1 : end]))
+    return found
+
+
+@pytest.mark.parametrize("name", ["anomaly_report_patches"])
+def test_rows_are_doubled_after_the_join_with_the_cohort(spark, name):
+    """Facts are shuffled and hashed once, not a second time for the number of machines."""
+    plan = REGISTRY[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    parts = _below(plan, "Generate explode([false,true])")
+    assert parts and all(re.search(r"Join Inner, \(wguid#\d+L? = wguid#\d+L?\)", part) for part in parts)
+
+
 def test_drilldown_restricts_the_facts(spark):
     plan = REGISTRY["drilldown_model"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "nation.parquet" not in plan

@@ -59,7 +59,7 @@ def _below(plan: str, node: str) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["anomaly_report_patches"])
+@pytest.mark.parametrize("name", ["anomaly_report_patches", "anomaly_report_patch_machines", "patch_presence"])
 def test_rows_are_doubled_after_the_join_with_the_cohort(spark, name):
     """Facts are shuffled and hashed once, not a second time for the number of machines."""
     plan = REGISTRY[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()

@@ -138,8 +138,8 @@ def test_merged_health_on_the_edge(spark):
     days = [f"2024-01-{d}" for d in range(18, 30)]
     table = [
         {"wguid": m, "vwtime": at(d), "wscore": v * 1.8, "activestatus": 1}
-        for m, scores in (("a", ON_THE_EDGE), ("b", sorted(ON_THE_EDGE)), ("c", ON_THE_EDGE[::-1]))
-        for d, v in zip(days, scores, strict=True)
+        for turn, m in enumerate("abcdefghijkl")
+        for d, v in zip(days, ON_THE_EDGE[turn:] + ON_THE_EDGE[:turn], strict=True)
     ]
     kept = moving.MOVING["health"].days(fleet(spark, health_daily=table)["health_daily"])
 
@@ -147,7 +147,7 @@ def test_merged_health_on_the_edge(spark):
         scores = moving.window_scores(parts.repartition(3), day("2024-01-30"))
         return {r.wguid: r.category_30 for r in health.score_categories(scores).collect()}
 
-    assert kinds(kept) == dict.fromkeys("abc", "Fair")
+    assert kinds(kept) == dict.fromkeys("abcdefghijkl", "Fair")
     # Days of an earlier version are read as they were.
     blank = {c: F.lit(None).cast(kept.schema[c].dataType) for c in ("exact", "n_exact")}
     old = F.col("day") < F.lit(day("2024-01-20"))

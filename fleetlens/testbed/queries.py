@@ -70,8 +70,10 @@ def order_cohort(orders: Fleet) -> DataFrame:
 
 
 def order_report(fleet: Fleet, build: Callable[..., DataFrame]) -> DataFrame:
+    """Few machines have a result on an abnormal day, so the facts are restricted to them."""
     orders = order_fleet(fleet)
-    return build(orders, order_cohort(orders), s.ORDERS_FROM, s.ORDERS_TO, threshold=s.LOW)
+    found = order_cohort(orders)
+    return build(orders.restricted(found), found, s.ORDERS_FROM, s.ORDERS_TO, threshold=s.LOW)
 
 
 # Timeline and cohort

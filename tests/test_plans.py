@@ -79,6 +79,14 @@ def test_the_report_restricts_the_orders_before_the_lines(spark):
     assert joins and all("Join LeftSemi, (o_custkey" in part for part in joins)
 
 
+@pytest.mark.parametrize("dataset", ["patches", "patch_machines", "changes", "usage"])
+def test_anomaly_reports_restrict_the_orders_before_the_lines(spark, dataset):
+    """Lines of machines without an abnormal day are neither hashed nor shuffled again."""
+    plan = REGISTRY[f"anomaly_report_{dataset}"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    joins = _below(plan, "Join Inner, (l_orderkey")
+    assert joins and all("Join LeftSemi, (o_custkey" in part for part in joins)
+
+
 @pytest.mark.parametrize("name", ["anomaly_report_patches", "drilldown_ranged"])
 def test_ranged_reports_bound_the_scan(spark, name):
     plan = REGISTRY[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
